@@ -21,6 +21,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy call works on.
 CHUNK = 1 << 20
+#: Rows of an Arrow batch.
+ROWS = 256
 #: The ASCII white space of the contracts: space, and tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,6 +49,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to ROWS rows: a batch is in memory whole, on both sides, and texts can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,6 +100,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", key: str = "do
 
 def map_texts(df: DataFrame, fn: Callable[[Texts], dict], schema: str, *, text: str = "text", key: str = "doc_id", more: tuple[str, ...] = (), size: int = CHUNK) -> DataFrame:
     """fn over chunks of (key, text, *more); fn gives arrays by column name, which become rows of schema."""
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):

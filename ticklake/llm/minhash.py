@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Texts, map_texts, mix, roll, span_hashes, stored, word_spans
+from .common import LOWER, Texts, map_texts, mix, roll, small_batches, span_hashes, stored, word_spans
 
 #: Slots of a signature and bands of 4 slots: a pair at the threshold 0.8 shares no band with a
 #: chance of (1 - 0.8^4)^24 = 3e-6.
@@ -178,6 +178,7 @@ def _verify(percent: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of (a, b) pairs of set keys, those linked on full sets."""
+    small_batches(pairs.sparkSession)
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
