@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def _summed(frame: DataFrame, fn, parts: int = 16) -> np.ndarray:
                 got = fn(x, batch.column("y").to_numpy().astype(float))
                 total = got if total is None else total + got
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([hash(total.tobytes()[:64]) % parts]), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts]), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
 
     def added(batches):
         totals: dict[int, np.ndarray] = {}
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
 
     Classes are weighed alike. Without labels, or with one class only, all scores are that share (0.5 without any).
     """
-    known = labels.select(F.col(key).cast("long").alias(key), F.col(label).cast("double").alias("y")).where("y is not null").dropDuplicates([key])
+    known = labels.select(F.col(key).cast("long").alias(key), F.col(label).cast("double").alias("y")).where("y is not null").groupBy(key).agg(F.max("y").alias("y"))
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).join(known, key)
     x = map_texts(rows, lambda t: {"x": (statistics(t).ravel(), np.arange(len(t) + 1) * N_STATS), "y": t.batch.column("y")}, "x array<double>, y double", text=text, key=key, more=("y",)).persist()
     try:
@@ -155,8 +156,8 @@ def _scored(x: np.ndarray, model: dict) -> np.ndarray:
     return np.clip(0.98 * np.interp(raw, model["at"], model["level"]) + 0.01 * (1 + np.tanh(raw)), 0, 1)
 
 
-def score(docs: DataFrame, model: dict, *, text: str = "text", key: str = "doc_id", keep: bool = False) -> DataFrame:
-    """Per document: its key and score in [0, 1] (keep: with the text)."""
+def score(docs: DataFrame, model: dict, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per document: its key and score in [0, 1]."""
 
     def run(t: Texts) -> dict:
         return {key: t.batch.column(key), "score": _scored(statistics(t), model)}

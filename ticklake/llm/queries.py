@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import classifier, minhash, quality_rules
 from .common import table
 
 
@@ -14,8 +15,24 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.clean(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = classifier.fit(docs.where(third != 1), table(spark, sf_dir, "labels"))
+    scores = classifier.score(docs, model)
+    return scores.select("doc_id", (third == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash": op2_minhash}
+    return {
+        "op2_minhash": op2_minhash,
+        "op7_quality_rules": op7_quality_rules,
+        "op9_quality_classifier": op9_quality_classifier,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
