@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, minhash, mixing, quality_rules, secret_scan, warc
+from . import classifier, minhash, mixing, quality_rules, secret_scan, token_files, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ FROM f
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash": op2_minhash,
+        "op3_token_files": op3_token_files,
         "op4_mixing": op4_mixing,
         "op6_secret_scan": op6_secret_scan,
         "op7_quality_rules": op7_quality_rules,
