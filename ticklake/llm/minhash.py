@@ -10,8 +10,7 @@ same least values as going element by element.
 Equal sets are merged first (a map-side min), so a group of exact copies costs one row. Bands of
 the signature make buckets of the remaining sets. In each of a few leader rounds every member of a
 bucket meets one leader of that bucket and the pair is verified on full sets; what is linked is
-united. Whatever still shares a bucket without being united is compared completely, in blocks, each
-pair in the first bucket that it shares. So no pair of a bucket goes untested unless both sides are
+united. Whatever still shares a bucket without being united is compared completely, in blocks. So no pair of a bucket goes untested unless both sides are
 in one group already, and no step makes all pairs of a group of copies.
 """
 
@@ -31,8 +30,8 @@ from .common import LOWER, Texts, map_texts, mix, roll, small_batches, span_hash
 SLOTS, BANDS = 96, 24
 #: Rounds of comparing bucket members with one leader each before the rest is compared completely.
 LEADER_ROUNDS = 3
-#: Members of a bucket that one task compares with others at once.
-BLOCK = 512
+#: Sets that a task holds while it compares others with them.
+BLOCK = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +124,7 @@ def _set_keys(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def signatures(docs: DataFrame, width: int, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: its key, n_shingles, two halves of its set's name, band hashes and 16-bit slots."""
+    """Per document: its key, n_shingles, two halves of its set's name and band hashes."""
 
     def run(t: Texts) -> dict:
         flat, off = shingle_sets(t.data, t.offsets, width)
@@ -140,10 +139,9 @@ def signatures(docs: DataFrame, width: int, *, text: str = "text", key: str = "d
             "set_a": a,
             "set_b": b,
             "bands": (bands[~empty].ravel(), np.concatenate([[0], np.cumsum(per)])),
-            "slots": pa.array([x.tobytes() for x in mix(sig).astype(np.uint16)], pa.binary()),
         }
 
-    return map_texts(docs, run, f"{key} long, n_shingles long, set_a long, set_b long, bands array<long>, slots binary", text=text, key=key)
+    return map_texts(docs, run, f"{key} long, n_shingles long, set_a long, set_b long, bands array<long>", text=text, key=key)
 
 
 def full_sets(docs: DataFrame, width: int, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -209,39 +207,37 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def _rest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Asking and asked members of a bucket part, sorted by part and asking first -> candidate pairs.
+    """Rows of parts, the asking ones first in each part -> links between asking and asked rows of different components.
 
-    A pair is kept where this band is the first that both share, their names differ, their sizes
-    allow the threshold and their slots agree nearly as often as at the threshold (5 deviations).
+    The overlap of an asked set with all asking sets of its part is counted at once, over the sorted
+    elements of the asking sets.
     """
-    least = int(SLOTS * (percent / 100) - 5 * (SLOTS * percent / 100 * (1 - percent / 100)) ** 0.5)
-    ask: dict = {"part": None}
+    part, rows, table = None, [], None
     for batch in batches:
-        parts = batch.column("part").to_pylist()
-        asking = batch.column("asking").to_numpy(zero_copy_only=False)
-        n = batch.num_rows
-        bands = batch.column("bands").flatten().to_numpy().reshape(n, BANDS)
-        slots = np.frombuffer(b"".join(batch.column("slots").to_pylist()), np.uint16).reshape(n, SLOTS)
-        ids, comp, size, at = (batch.column(c).to_numpy() for c in ("id", "comp", "n_shingles", "band"))
         out_a, out_b = [], []
-        for i in range(n):
-            if parts[i] != ask["part"]:
-                ask = {"part": parts[i], "rows": [], "done": None}
-            if asking[i]:
-                ask["rows"].append((ids[i], comp[i], size[i], bands[i], slots[i]))
-                ask["done"] = None
+        for p, asking, i, comp, items in zip(*(batch.column(c).to_pylist() for c in ("part", "asking", "id", "comp")), batch.column("items"), strict=True):
+            x = np.frombuffer(items.as_buffer(), np.uint64)
+            if p != part:
+                part, rows, table = p, [], None
+            if asking:
+                rows.append((i, comp, x.copy()))
+                table = None
                 continue
-            if not ask["rows"]:
+            if not rows:
                 continue
-            if ask["done"] is None:
-                ask["done"] = tuple(np.array([r[k] for r in ask["rows"]]) for k in range(5))
-            qi, qc, qn, qb, qs = ask["done"]
-            ok = (qc != comp[i]) & (qi != ids[i]) & (100 * np.minimum(qn, size[i]) >= percent * np.maximum(qn, size[i]))
-            ok &= (qb == bands[i]).argmax(axis=1) == at[i]
-            ok &= (qs == slots[i]).sum(axis=1) >= least
-            hit = np.flatnonzero(ok)
-            out_a += [max(ids[i], q) for q in qi[hit]]
-            out_b += [min(ids[i], q) for q in qi[hit]]
+            if table is None:
+                sizes = np.array([len(r[2]) for r in rows])
+                values, owner = np.concatenate([r[2] for r in rows]), np.repeat(np.arange(len(rows)), sizes)
+                order = np.argsort(values, kind="stable")
+                table = (values[order], owner[order], sizes, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+            values, owner, sizes, ids, comps = table
+            lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(rows))
+            hit = np.flatnonzero((100 * both >= percent * (sizes + len(x) - both)) & (comps != comp))
+            out_a += [max(i, q) for q in ids[hit]]
+            out_b += [min(i, q) for q in ids[hit]]
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
@@ -257,8 +253,7 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "t
     named = ["n_shingles", "set_a", "set_b"]
     classes = sig.where("n_shingles > 0").groupBy(*named).agg(F.min("id").alias("rep"))
     alone = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("id"), F.lit(True).alias("is_rep")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    reps = stored(alone.select("id", "n_shingles", "bands", "slots"), "minhash-classes")
-    rows = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
+    rows = stored(alone.select("id", "bands"), "minhash-classes").select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
     rows = stored(rows.join(shared, "bucket").select("id", "band", "bucket"), "minhash-buckets")
     near = rows.select("id").distinct()
@@ -273,9 +268,10 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "t
             order = F.col("id") if k == 0 else F.xxhash64(F.lit(k), "id")
             lead = left.groupBy("bucket").agg(F.min_by(F.struct("id", "comp"), order).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
             pairs = left.join(lead, "bucket").where("comp <> lead.comp").select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct()
+            links = verified(pairs, sets, percent)
         else:
-            pairs = _remaining(left, reps, percent)
-        links = stored(verified(pairs, sets, percent), f"minhash-links{k}")
+            links = _remaining(left, sets, percent)
+        links = stored(links, f"minhash-links{k}")
         if not links.head(1):
             if k >= LEADER_ROUNDS:
                 break
@@ -290,18 +286,26 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "t
     return comp.select(F.col("id").alias(key), "n_shingles", F.coalesce("comp", "rep").alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
 
 
-def _remaining(left: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of buckets that still hold several components: all but the bucket's largest
-    component ask, and all members of the bucket are asked, in parts of about BLOCK by BLOCK."""
+def _remaining(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within buckets that still hold several components, all pairs of different components tested.
+
+    All but a bucket's largest component ask, all its members are asked. Asking rows of one
+    neighbourhood (the largest component beside them) are dealt into blocks of about BLOCK, and every
+    member of a bucket meets a block once, however many buckets they share; what meets a block is
+    dealt into pieces, so neither side of a task grows with a group.
+    """
+    small_batches(left.sparkSession)
     counts = left.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("members"), F.max("n").alias("most")).where("comps > 1")
-    main = main.withColumn("ask_parts", F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int")).withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
-    open_ = left.join(main, "bucket")
-    salt = F.pmod(F.xxhash64("id"), F.col("ask_parts").cast("long")).cast("int")
-    piece = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts").cast("long")).cast("int")
-    ask = open_.where("comp <> main").select("bucket", "band", "id", "comp", F.lit(True).alias("asking"), salt.alias("q"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
-    asked = open_.select("bucket", "band", "id", "comp", F.lit(False).alias("asking"), F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)).alias("q"), piece.alias("p"))
-    rows = ask.union(asked).withColumn("part", F.xxhash64("bucket", "q", "p")).join(reps, "id")
-    rows = rows.select("part", "asking", "id", "comp", "band", "n_shingles", "bands", "slots")
+    main = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    open_ = stored(left.join(main, "bucket").select("bucket", "id", "comp", "main"), "minhash-open")
+    ask = open_.where("comp <> main").groupBy("id", "comp").agg(F.min("main").alias("home"))
+    near = ask.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    ask = stored(ask.join(near, "home").select("id", "comp", F.xxhash64("home", F.pmod(F.xxhash64("id"), "blocks")).alias("block")), "minhash-asking")
+    blocks = open_.where("comp <> main").join(ask.select("id", "block"), "id").select("bucket", "block").distinct()
+    meet = stored(open_.join(blocks, "bucket").select("id", "comp", "block").distinct(), "minhash-asked")
+    pieces = meet.groupBy("block").agg(F.ceil(F.count("*") / (8 * BLOCK)).alias("pieces"))
+    meet = meet.join(pieces, "block").select("block", F.pmod(F.xxhash64("id"), "pieces").alias("piece"), F.lit(False).alias("asking"), "id", "comp")
+    ask = ask.join(pieces, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(True).alias("asking"), "id", "comp")
+    rows = ask.union(meet).join(sets, "id").select(F.xxhash64("block", "piece").alias("part"), "asking", "id", "comp", "items")
     rows = rows.repartition("part").sortWithinPartitions(F.col("part"), F.col("asking").desc())
     return rows.mapInArrow(lambda b: _rest(b, percent), "a long, b long").distinct()
