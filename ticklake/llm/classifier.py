@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Texts, map_texts, mix, span_hashes, word_spans
+from .common import SPACE, Texts, map_texts, mix, span_hashes, stored, word_spans
 from .quality_rules import _ALPHA, _CONT, _SYMBOL, _UPPER, _counts, _lut, repeated_words
 
 FEATURES, RIDGE, WIDTH, BINS = 192, 1.0, 0.35, 512
@@ -56,6 +56,12 @@ def statistics(t: Texts) -> np.ndarray:
     return out
 
 
+def measured(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, x): the statistics of every document, written once for fitting and scoring."""
+    small = map_texts(docs, lambda t: {key: t.batch.column(key), "x": (statistics(t).ravel(), np.arange(len(t) + 1) * N_STATS)}, f"{key} long, x array<double>", text=text, key=key)
+    return stored(small, "quality-statistics")
+
+
 def _basis(seed: int, features: int, width: float) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return rng.normal(0, width, (N_STATS, features)), rng.uniform(0, 2 * np.pi, features)
@@ -104,45 +110,41 @@ def _monotone(total: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.repeat([s / w for s, w, _ in blocks], [k for *_, k in blocks])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text", key: str = "doc_id", features: int = FEATURES, ridge: float = RIDGE, width: float = WIDTH, seed: int = 7) -> dict:
-    """The model, from all labelled rows (rows of labels with a null label or none in docs don't count).
+def fit(stats: DataFrame, labels: DataFrame, *, label: str = "quality", key: str = "doc_id", features: int = FEATURES, ridge: float = RIDGE, width: float = WIDTH, seed: int = 7) -> dict:
+    """The model, from all labelled rows of measured documents (null labels and unknown keys don't count).
 
     Classes are weighed alike. Without labels, or with one class only, all scores are that share (0.5 without any).
     """
     known = labels.select(F.col(key).cast("long").alias(key), F.col(label).cast("double").alias("y")).where("y is not null").groupBy(key).agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).join(known, key)
-    x = map_texts(rows, lambda t: {"x": (statistics(t).ravel(), np.arange(len(t) + 1) * N_STATS), "y": t.batch.column("y")}, "x array<double>, y double", text=text, key=key, more=("y",)).persist()
-    try:
-        sums = _summed(x, lambda v, y: np.concatenate([[len(y), y.sum()], v.sum(0), (v**2).sum(0)]))
-        model = {"seed": seed, "features": features, "width": width, "const": None}
-        n, ones = (sums[0], sums[1]) if len(sums) > 1 else (0.0, 0.0)
-        if not n or not 0 < ones < n:
-            return model | {"const": float(ones / n) if n else 0.5}
-        mean = sums[2 : 2 + N_STATS] / n
-        model |= {"mean": mean, "scale": np.sqrt(np.maximum(sums[2 + N_STATS :] / n - mean**2, 1e-8))}
-        up, down = n / (2 * ones), n / (2 * (n - ones))
-
-        def equations(v, y):
-            z, w = _mapped(v, model), np.where(y > 0.5, up, down)
-            return np.concatenate([((z * w[:, None]).T @ z).ravel(), (z * w[:, None]).T @ (2.0 * (y > 0.5) - 1)])
-
-        sums = _summed(x, equations)
-        d = 1 + N_STATS + features
-        model["beta"] = np.linalg.solve(sums[: d * d].reshape(d, d) + ridge * np.eye(d), sums[d * d :])
-
-        def binned(v, y):
-            k = _bin(_mapped(v, model) @ model["beta"])
-            return np.concatenate([np.bincount(k, np.where(y > 0.5, up, 0), BINS), np.bincount(k, np.where(y > 0.5, up, down), BINS), np.bincount(k, _mapped(v, model) @ model["beta"], BINS), np.bincount(k, minlength=BINS)])
-
-        pos, weight, centre, rows_in = _summed(x, binned).reshape(4, BINS)
-        used = rows_in > 0
-        level = _monotone(pos[used] + 0.02 * weight[used] * 0.5, weight[used] * 1.02)
-        centre = centre[used] / rows_in[used]
-        edges = np.flatnonzero(np.concatenate([[True], level[1:] > level[:-1] + 1e-12]))
-        mid = [centre[a:b].mean() for a, b in zip(edges, [*edges[1:], len(level)], strict=True)]
-        return model | {"at": np.array(mid), "level": level[edges]}
-    finally:
-        x.unpersist()
+    x = stored(stats.join(known, key).select("x", "y"), "quality-labelled")
+    sums = _summed(x, lambda v, y: np.concatenate([[len(y), y.sum()], v.sum(0), (v**2).sum(0)]))
+    model = {"seed": seed, "features": features, "width": width, "const": None}
+    n, ones = (sums[0], sums[1]) if len(sums) > 1 else (0.0, 0.0)
+    if not n or not 0 < ones < n:
+        return model | {"const": float(ones / n) if n else 0.5}
+    mean = sums[2 : 2 + N_STATS] / n
+    model |= {"mean": mean, "scale": np.sqrt(np.maximum(sums[2 + N_STATS :] / n - mean**2, 1e-8))}
+    up, down = n / (2 * ones), n / (2 * (n - ones))
+
+    def equations(v, y):
+        z, w = _mapped(v, model), np.where(y > 0.5, up, down)
+        return np.concatenate([((z * w[:, None]).T @ z).ravel(), (z * w[:, None]).T @ (2.0 * (y > 0.5) - 1)])
+
+    sums = _summed(x, equations)
+    d = 1 + N_STATS + features
+    model["beta"] = np.linalg.solve(sums[: d * d].reshape(d, d) + ridge * np.eye(d), sums[d * d :])
+
+    def binned(v, y):
+        k = _bin(_mapped(v, model) @ model["beta"])
+        return np.concatenate([np.bincount(k, np.where(y > 0.5, up, 0), BINS), np.bincount(k, np.where(y > 0.5, up, down), BINS), np.bincount(k, _mapped(v, model) @ model["beta"], BINS), np.bincount(k, minlength=BINS)])
+
+    pos, weight, centre, rows_in = _summed(x, binned).reshape(4, BINS)
+    used = rows_in > 0
+    level = _monotone(pos[used] + 0.02 * weight[used] * 0.5, weight[used] * 1.02)
+    centre = centre[used] / rows_in[used]
+    edges = np.flatnonzero(np.concatenate([[True], level[1:] > level[:-1] + 1e-12]))
+    mid = [centre[a:b].mean() for a, b in zip(edges, [*edges[1:], len(level)], strict=True)]
+    return model | {"at": np.array(mid), "level": level[edges]}
 
 
 def _bin(raw: np.ndarray) -> np.ndarray:
@@ -156,10 +158,12 @@ def _scored(x: np.ndarray, model: dict) -> np.ndarray:
     return np.clip(0.98 * np.interp(raw, model["at"], model["level"]) + 0.01 * (1 + np.tanh(raw)), 0, 1)
 
 
-def score(docs: DataFrame, model: dict, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: its key and score in [0, 1]."""
+def score(stats: DataFrame, model: dict, *, key: str = "doc_id") -> DataFrame:
+    """Per measured document: its key and score in [0, 1]."""
 
-    def run(t: Texts) -> dict:
-        return {key: t.batch.column(key), "score": _scored(statistics(t), model)}
+    def run(batches):
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, N_STATS)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(_scored(x, model))], names=[key, "score"])
 
-    return map_texts(docs, run, f"{key} long, score double", text=text, key=key)
+    return stats.select(key, "x").mapInArrow(run, f"{key} long, score double")

@@ -32,10 +32,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    stats = classifier.measured(table(spark, sf_dir, "documents"))
     third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
-    model = classifier.fit(docs.where(third != 1), table(spark, sf_dir, "labels"))
-    scores = classifier.score(docs, model)
+    model = classifier.fit(stats.where(third != 1), table(spark, sf_dir, "labels"))
+    scores = classifier.score(stats, model)
     return scores.select("doc_id", (third == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
