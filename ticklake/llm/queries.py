@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, minhash, mixing, quality_rules, secret_scan, token_files, warc
+from . import classifier, hmm, minhash, mixing, quality_rules, secret_scan, token_files, warc
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = classifier.measured(table(spark, sf_dir, "documents"))
     third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op6_secret_scan": op6_secret_scan,
         "op7_quality_rules": op7_quality_rules,
+        "op8_hmm": op8_hmm,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_warc": op10_warc,
     }
