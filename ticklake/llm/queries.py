@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, hmm, minhash, mixing, quality_rules, secret_scan, token_files, warc
+from . import classifier, hmm, minhash, mixing, pii, quality_rules, secret_scan, token_files, warc
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -61,6 +65,7 @@ FROM f
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_minhash": op2_minhash,
         "op3_token_files": op3_token_files,
         "op4_mixing": op4_mixing,
