@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SPACE, Texts, map_texts, mix, span_hashes, stored, word_spans
+from .common import SPACE, Texts, chunks, map_texts, mix, small_batches, span_hashes, stored, word_spans
 from .quality_rules import _ALPHA, _CONT, _SYMBOL, _UPPER, _counts, _lut, repeated_words
 
 FEATURES, RIDGE, WIDTH, BINS = 192, 1.0, 0.35, 512
@@ -167,3 +168,19 @@ def score(stats: DataFrame, model: dict, *, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(_scored(x, model))], names=[key, "score"])
 
     return stats.select(key, "x").mapInArrow(run, f"{key} long, score double")
+
+
+def keep(docs: DataFrame, model: dict, *, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The documents whose score is least or more, with all their columns, in one pass without a shuffle."""
+    small_batches(docs.sparkSession)
+    arrow = to_arrow_schema(docs.schema)
+
+    def run(batches):
+        for batch in batches:
+            numbered = pa.RecordBatch.from_arrays([batch.column(text), pa.array(np.arange(batch.num_rows))], names=["text", "row"])
+            good = np.zeros(batch.num_rows, bool)
+            for t in chunks(iter([numbered]), "text", "row"):
+                good[t.ids] = _scored(statistics(t), model) >= least
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(good)).columns, schema=arrow)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -245,10 +245,11 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "t
     """Per document: key, n_shingles, component_id (the least key reachable over links) and kept.
 
     Links are pairs with 100 * intersection >= percent * union of their shingle sets. Nulls and
-    texts without words have empty sets and are linked with nothing. Keys are whole numbers without
-    nulls; repeated rows give repeated results. Other columns are ignored.
+    texts without words have empty sets and are linked with nothing. Rows without a key can't be named
+    and are left out; of rows that repeat a key the sets are taken together where they are equal, else
+    one of them stands for the key. Other columns are ignored.
     """
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
     sig = stored(signatures(docs, width, key="id"), "minhash-signatures")
     named = ["n_shingles", "set_a", "set_b"]
     classes = sig.where("n_shingles > 0").groupBy(*named).agg(F.min("id").alias("rep"))
@@ -309,3 +310,17 @@ def _remaining(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = ask.union(meet).join(sets, "id").select(F.xxhash64("block", "piece").alias("part"), "asking", "id", "comp", "items")
     rows = rows.repartition("part").sortWithinPartitions(F.col("part"), F.col("asking").desc())
     return rows.mapInArrow(lambda b: _rest(b, percent), "a long, b long").distinct()
+
+
+def deduplicate(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents with one of each group, that with the least key, and all their columns.
+
+    Rows that repeat a key are one document. Rows without a key are linked with nothing and stay.
+    """
+    found = stored(groups(docs, width=width, percent=percent, text=text, key=key).select(key, "kept"), "minhash-groups")
+    gone = found.where("not kept").select(key).distinct()
+    again = found.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    out = docs.join(gone, key, "left_anti").select(docs.columns)
+    if again.head(1):
+        out = out.join(again, key, "left_anti").select(docs.columns).union(out.join(again, key, "left_semi").dropDuplicates([key]).select(docs.columns))
+    return out

@@ -84,3 +84,14 @@ def mix(docs: DataFrame, *, share: float = 1.5, weights: tuple[int, ...] = (3, 1
     rest = F.col("target") - epochs * F.col("source_size")
     more = (F.col("base") + F.col("within") + F.col("size") / 2 <= rest).cast("long")
     return out.select(F.col("id").alias(key), "size", "source_size", "target", (F.col("size") * (epochs + more)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", **how) -> DataFrame:
+    """The documents that the mix takes, each row as often as it is taken, with all their columns.
+
+    Rows without a key or without words are never taken.
+    """
+    taken = mix(docs, text=text, key=key, source=source, **how).where("taken > 0").select(F.col(key).alias("__key"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    times = taken.groupBy("__key").agg(F.max("__times").alias("__times"))
+    rows = docs.join(times, docs[key] == F.col("__key"))
+    return rows.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)

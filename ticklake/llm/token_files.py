@@ -178,10 +178,13 @@ def encoder(path: str) -> Encoder:
 
 
 def write(docs: DataFrame, folder: str, *, path: str | None = None, end_id: int = 2, text: str = "text", key: str = "doc_id", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Writes docs as shards under folder and returns its manifest: (shard, file, documents, ids, base), one row a shard."""
+    """Writes docs as shards under folder and returns its manifest: (shard, file, documents, ids, base), one row a shard.
+
+    Rows without a key are left out; rows that repeat one stand side by side, by their text.
+    """
     path = path or tokenizer_path()
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     n = max(1, -(-rows.count() // shard_rows))
 
     def run(batches):
