@@ -43,12 +43,12 @@ def time_weighted_spread(quotes: DataFrame, keys: list[str], ts: str = "ts_ns",
     dt = F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts)) - F.col(ts)
     q = q.withColumn("dt", F.when((F.col("bps") > 0) & (dt > 0), dt).otherwise(0)).withColumn("b", bucket(F.col("bps"), bounds))
     q = q.groupBy(*keys).agg(
-        F.count("*").alias("updates"), F.sum("dt").alias("total_ns"), F.sum(F.col("bps") * F.col("dt")).alias("s"), F.count_if(F.col("bps") <= 0).alias("crossed_or_locked"),
+        F.count("*").alias("updates"), F.sum("dt").alias("total_ns"), F.sum(F.col("bps") * F.col("dt")).alias("__s"), F.count_if(F.col("bps") <= 0).alias("crossed_or_locked"),
         F.min(F.when(F.col("bps") > 0, F.col("bps"))).alias("min_bps"), F.max(F.when(F.col("bps") > 0, F.col("bps"))).alias("max_bps"),
         F.array(*[F.sum(F.when(F.col("b") == i, F.col("dt")).otherwise(0)).cast("double") for i in range(len(bounds) + 1)]).alias("weights"),
     )
     pct = lambda p: F.when(F.col("total_ns") > 0, bucket_percentile(F.col("weights"), p * F.col("total_ns"), bounds, F.lit(bounds[-1])))
-    return q.select(*keys, "updates", (F.col("total_ns") / NS_HOUR).alias("quoted_hours"), F.when(F.col("total_ns") > 0, F.col("s") / F.col("total_ns")).alias("mean_bps"), pct(0.5).alias("median_bps"), pct(0.9).alias("p90_bps"), "min_bps", "max_bps", "crossed_or_locked", "weights", "total_ns")
+    return q.select(*keys, "updates", (F.col("total_ns") / NS_HOUR).alias("quoted_hours"), F.when(F.col("total_ns") > 0, F.col("__s") / F.col("total_ns")).alias("mean_bps"), pct(0.5).alias("median_bps"), pct(0.9).alias("p90_bps"), "min_bps", "max_bps", "crossed_or_locked", "weights", "total_ns")
 
 
 def wider_than(census: DataFrame, bps: float, bounds: tuple[float, ...] = SPREAD_BPS) -> Column:

@@ -50,7 +50,13 @@ def triple_barrier(samples: DataFrame, mids: DataFrame, keys: list[str], *, ts:
     if min(up, down, limit_ms) <= 0:
         raise ValueError("barriers and limit are positive")
 
+    names = [*samples.columns, "barrier_label", "barrier_ret_bps"]
+
     def fold(s: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if mid not in m or mid_ts not in m:  # a key without mids
+            m = pd.DataFrame({mid: [], mid_ts: []})
+        if ts not in s:  # a key without samples
+            return pd.DataFrame(columns=names)
         m = m[m[mid].notna()].sort_values(mid_ts, kind="stable")
         label, ret = first_touch(s[ts].to_numpy(np.int64), s[entry].to_numpy(float), s[vol].to_numpy(float), m[mid_ts].to_numpy(np.int64), m[mid].to_numpy(float), up, down, limit_ms * MS)
         return s.assign(barrier_label=pd.array(np.where(label == -128, 0, label), "Int32"), barrier_ret_bps=ret).assign(barrier_label=lambda x: x["barrier_label"].mask(label == -128))

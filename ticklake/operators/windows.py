@@ -102,7 +102,7 @@ def lead_lag(primary: DataFrame, reference: DataFrame, keys: list[str], offsets:
     r = reference.select(*keys, F.col("bin").alias("__rb"), F.col("ret").alias("__rr"), shifts)
     r = r.select(*keys, (F.col("__rb") + F.col("__o.shift")).alias("bin"), "__rr", F.col("__o.name").alias("__name"))
     pairs = primary.join(r, [*keys, "bin"])
-    ok = (F.count("*") >= least) & (F.var_pop("ret") > 0) & (F.var_pop("__rr") > 0)
+    ok = (F.count(F.lit(1)) >= least) & (F.var_pop("ret") > 0) & (F.var_pop("__rr") > 0)
     return pairs.groupBy(*keys).pivot("__name", list(offsets)).agg(F.when(ok, F.corr("ret", "__rr")))
 
 
