@@ -236,9 +236,9 @@ def _(spark, d):
     return stats.precision_at_recall(scored(spark, d), ["event_type"], "y", "p").select("event_type", r6("precision").alias("precision"))
 
 
-@query("e42_confidence_bins", f"WITH {E}, b AS (SELECT event_type, value, k, ntile(10) OVER (PARTITION BY event_type ORDER BY value) AS bin FROM e) SELECT event_type, CAST(bin AS INT) AS bin, count(*) AS n, round(avg(k), 6) AS value FROM b GROUP BY 1, 2")
+@query("e42_confidence_bins", f"WITH {E}, b AS (SELECT event_type, value, k, ntile(10) OVER (PARTITION BY event_type ORDER BY value + event_id / 1e9) AS bin FROM e) SELECT event_type, CAST(bin AS INT) AS bin, count(*) AS n, round(avg(k), 6) AS value FROM b GROUP BY 1, 2")
 def _(spark, d):
-    return stats.confidence_bins(events(spark, d), ["event_type"], "value", "k").select("event_type", "bin", "n", r6("value").alias("value"))
+    return stats.confidence_bins(events(spark, d).withColumn("conf", F.col("value") + F.col("event_id") / 1e9), ["event_type"], "conf", "k").select("event_type", "bin", "n", r6("value").alias("value"))
 
 
 @query("e37_strategy_metrics", f"""WITH {BARS}, r AS (SELECT s, d, close / lag(close) OVER (PARTITION BY s ORDER BY d) - 1 AS g FROM b), q AS (SELECT s, d, coalesce(g, 0) AS g, sum(coalesce(g, 0)) OVER w AS e FROM r WINDOW w AS (PARTITION BY s ORDER BY d ROWS UNBOUNDED PRECEDING)), x AS (SELECT s, d, g, e - max(e) OVER (PARTITION BY s ORDER BY d ROWS UNBOUNDED PRECEDING) AS dd FROM q)
@@ -255,7 +255,7 @@ def _(spark, d):
 
 @query("k4_cointegration_screen")
 def _(spark, d):
-    c = closes(spark, d).select(F.col("s").alias("symbol"), F.col("d").alias("date"), "close")
+    c = closes(spark, d).select(F.col("s").cast("string").alias("symbol"), F.col("d").alias("date"), "close")
     return stats.screen(A.pair_overlap(c)).select("left", "right", "n", r6("t_stat").alias("t_stat"), r6("p").alias("p"), r6("trace").alias("trace"), r6("q").alias("q"), "rejected")
 
 
@@ -303,10 +303,10 @@ def _(spark, d):
     return A.candidate_symbols(s, ("Brand11",)).distinct()
 
 
-@query("i4_book_features", f"WITH {E}, {QUOTES} SELECT s, t AS ts_ns, round(ask - bid, 6) AS spread_abs, round(CASE WHEN (ask + bid) / 2 > 0 THEN 1e4 * (ask - bid) / ((ask + bid) / 2) END, 6) AS spread_bps FROM q")
+@query("i4_book_features", f"WITH {E}, {QUOTES} SELECT s, t AS ts_ns, round(ask - bid, 6) + 0.0 AS spread_abs, round(CASE WHEN (ask + bid) / 2 > 0 THEN 1e4 * (ask - bid) / ((ask + bid) / 2) END, 6) + 0.0 AS spread_bps FROM q")
 def _(spark, d):
     q = quotes(spark, d).withColumns({"best_bid": F.col("bid"), "best_ask": F.col("ask"), "mid": (F.col("bid") + F.col("ask")) / 2})
-    return q.select("s", "ts_ns", r6_(B.spread()).alias("spread_abs"), r6_(B.spread_bps()).alias("spread_bps"))
+    return q.select("s", "ts_ns", (r6_(B.spread()) + F.lit(0.0)).alias("spread_abs"), (r6_(B.spread_bps()) + F.lit(0.0)).alias("spread_bps"))
 
 
 # --- detection: customers as creators, orders as launches -------------------------------------------
