@@ -148,9 +148,11 @@ class Encoder:
         if len(new):
             new = new[np.unique(h[new], return_index=True)[1]]
             if self.held + len(new) > (int(self.mask) + 1) // 2:
-                self._clear()
                 new = np.flatnonzero(known)
                 new = new[np.unique(h[new], return_index=True)[1]]
+                while 2 * len(new) > int(self.mask) + 1:  # one very long document has more pieces than the table
+                    self.mask = self.mask * np.uint64(2) + np.uint64(1)
+                self._clear()
             raw = data.tobytes()
             self._add(h[new], [raw[start[i] : end[i]].decode("utf-8", "replace") for i in new])
             slot = self._slots(h)
