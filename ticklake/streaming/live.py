@@ -113,10 +113,10 @@ def sessions(rows: DataFrame, gap: str = "5 minutes") -> DataFrame:
     return rows.groupBy("symbol", F.session_window("event_time", gap).alias("w")).agg(F.count("*").alias("trades")).select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "trades")
 
 
-def with_late(rows: DataFrame, sink, late_sink, checkpoint: str, *, ts: str = "ts_ns", delay_ns: int = 10_000_000_000) -> StreamingQuery:
+def with_late(rows: DataFrame, sink, late_sink, checkpoint: str, *, ts: str = "ts_ns", delay_ns: int = 10_000_000_000, available_now: bool = True) -> StreamingQuery:
     """foreachBatch that sends rows older than the newest of earlier batches less the delay to late_sink, others to sink.
 
-    The newest time is kept in the checkpoint folder's stream of batches: it is taken from each batch by an aggregate.
+    The newest time comes from each batch by an aggregate; a query that starts again takes it from its first batch.
     """
     newest = {"ns": None}
 
@@ -127,7 +127,8 @@ def with_late(rows: DataFrame, sink, late_sink, checkpoint: str, *, ts: str = "t
         top = df.agg(F.max(ts)).first()[0]
         newest["ns"] = top if newest["ns"] is None else max(newest["ns"], top or newest["ns"])
 
-    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if available_now else out).start()
 
 
 def progress(query: StreamingQuery) -> dict:
