@@ -11,7 +11,7 @@ NS_HOUR = 3_600_000_000_000
 HOUR_MS, DAY_MS, YEAR_MS = 3_600_000, 86_400_000, 365 * 86_400_000
 #: Upper bounds of arrival buckets in ms, and of spread buckets in basis points. Fixed values.
 ARRIVAL_MS = (0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0, 500.0, 1_000.0, 5_000.0, 30_000.0)
-SPREAD_BPS = (0.1, 0.2, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 7.5, 10.0, 15.0, 20.0, 30.0, 50.0, 100.0)
+SPREAD_BPS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 20.0, 35.0, 60.0, 100.0, 200.0, 500.0)
 
 
 def bucket(value: Column, bounds: tuple[float, ...]) -> Column:
@@ -235,7 +235,30 @@ def hard_rug(added: Column, removed: Column, share: float = 0.99) -> Column:
 
 
 def pool_class(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("class", F.when(F.col("added") <= 0, "no_liquidity").when(hard_rug(F.col("added"), F.col("removed")), "hard_rug").when(F.col("status").isNull(), "unknown").otherwise("other"))
+    """rows with class: hard_rug, honest_candidate (still active), or unlabeled_residual."""
+    return rows.withColumn("class", F.when(hard_rug(F.col("added"), F.col("removed")), "hard_rug").when(F.col("status") == "Active", "honest_candidate").otherwise("unlabeled_residual"))
+
+
+def honeypot(freezable: Column, non_transferable: Column, transfer_hook: Column) -> Column:
+    """Whether any mechanism is on; null if nothing is known, which is not the same as off."""
+    flags = [freezable, non_transferable, transfer_hook]
+    known = flags[0].isNotNull() | flags[1].isNotNull() | flags[2].isNotNull()
+    on = F.lit(False)
+    for f in flags:
+        on = on | F.coalesce(f, F.lit(False))
+    return F.when(known, on)
+
+
+def authority_before(present_now: Column) -> Column:
+    """Authorities can be given up but not taken back: present now proves present before; anything else proves nothing."""
+    return F.when(present_now, "pre_event_present").otherwise("indeterminate")
+
+
+def class_baselines(counts: DataFrame) -> DataFrame:
+    """(name, honest_precision, honest_recall) of three blind classifiers, from one row of n_honest and n_total; a precision of nothing is null."""
+    rate = F.when(F.col("n_total") > 0, F.col("n_honest") / F.col("n_total")).otherwise(0.0)
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), p.alias("honest_precision"), r.alias("honest_recall")) for n, p, r in (("always_rug", F.lit(None).cast("double"), F.lit(0.0)), ("always_honest", rate, F.lit(1.0)), ("random_at_base_rate", rate, rate))])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def behaviour(sigs: DataFrame, pools: DataFrame, window_s: float) -> DataFrame:

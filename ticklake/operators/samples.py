@@ -19,7 +19,7 @@ from . import asof, bars, intervals, labels, windows
 S = 1_000_000_000
 #: Which feature groups a venue's feed supports; a feature outside is null for it. Fixed values.
 UNSUPPORTED: dict[str, tuple[str, ...]] = {
-    "hyperliquid": ("ofi_best_1s", "ofi_best_5s", "ofi_deep_1s", "ofi_deep_5s", *(f"depth_{s}_{i}" for s in ("bid", "ask") for i in range(1, 6)), "slope_bid", "slope_ask", "book_asym", "dwp_minus_mid"),
+    "hyperliquid": ("ofi_best_1s", "ofi_best_5s", "ofi_deep_1s", "ofi_deep_5s", *(f"depth_{s}_{i}" for s in ("bid", "ask") for i in range(1, 6)), "slope_bid", "slope_ask", "book_asym", "dwp_minus_mid", "xv_leadlag_m100", "xv_leadlag_p100"),
 }
 #: Venues whose trades carry the aggressor's side; others use the tick rule. Fixed values.
 SIDE_FLAGGED = ("kraken", "hyperliquid", "cme")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar, scalars
 from ..functions import book as B
 from ..operators import aggregates as A
-from ..operators import asof, book_fold, simulators, stats
+from ..operators import asof, book_fold, simulators, stats, studies
 from ..sources import parsers
 from ..sources.raw import last_wins
 from .queries import BARS, DAY, HOUR, E, O, closes, events, orders, query, r6
@@ -465,3 +465,33 @@ def _(spark, d):
     return events(spark, d).groupBy("event_type", F.floor(F.col("t") / DAY).alias("day")).agg(F.countDistinct("user_id").alias("users"))
 
 
+
+
+# --- studies ---------------------------------------------------------------------------------------
+
+
+@query("c10_pool_class", f"WITH {O} SELECT id, CASE WHEN p > 0 AND c * 1000 >= 0.99 * p THEN 'hard_rug' WHEN id % 2 = 0 THEN 'honest_candidate' ELSE 'unlabeled_residual' END AS class FROM o")
+def _(spark, d):
+    o = orders(spark, d).select("id", F.col("p").alias("added"), (F.col("c") * 1000).alias("removed"), F.when(F.col("id") % 2 == 0, "Active").otherwise("Gone").alias("status"))
+    return A.pool_class(o).select("id", "class")
+
+
+@query("g5_volume_bands", f"WITH {O}, v AS (SELECT c AS name, sum(p) AS v FROM o GROUP BY 1) SELECT name, CASE WHEN v >= 1e8 THEN 'B0' WHEN v >= 1e7 THEN 'B1' WHEN v >= 1e6 THEN 'B2' WHEN v >= 1e5 THEN 'B3' END AS band FROM v")
+def _(spark, d):
+    v = orders(spark, d).groupBy(F.col("c").alias("name")).agg(F.sum("p").alias("volume_usd"))
+    return studies.bands(v).select("name", "band")
+
+
+@query("e14_horizon_stats", f"WITH {E}, r AS (SELECT event_type AS symbol, t // {DAY} AS day, value / 100 - k / 20.0 - 1 AS net FROM e), m AS (SELECT symbol, stddev_samp(x) / sqrt(count(*)) AS day_se, count(*) AS days FROM (SELECT symbol, day, avg(net) AS x FROM r GROUP BY 1, 2) GROUP BY 1) SELECT r.symbol, count(*) AS n, round(avg(net), 6) AS mean, round(stddev_samp(net) / sqrt(count(*)), 6) AS se, round(min(m.day_se), 6) AS day_se, min(m.days) AS days FROM r JOIN m ON m.symbol = r.symbol GROUP BY 1")
+def _(spark, d):
+    r = events(spark, d).select(F.col("event_type").alias("symbol"), F.lit(1000).alias("horizon_ms"), (F.col("t") * 1000).alias("ts_ns"), (F.col("value") / 100).alias("spread_bps"), (F.col("k") / 20.0).alias("adverse_bps"))
+    return studies.horizon_stats(r, 1.0).select("symbol", "n", r6("mean").alias("mean"), r6("se").alias("se"), r6("day_se").alias("day_se"), "days")
+
+
+@query("e15_outcomes")
+def _(spark, d):
+    r = events(spark, d).select(F.col("event_type").alias("symbol"), F.lit(1000).alias("horizon_ms"), (F.col("t") * 1000).alias("ts_ns"), (F.col("value") / 100).alias("spread_bps"), (F.col("k") / 50.0).alias("adverse_bps"))
+    daily = r.groupBy("symbol", F.floor(F.col("ts_ns") / (DAY * 1000)).alias("day")).agg((F.count("*") * 1e5).alias("usd"), F.count("*").alias("trades"))
+    start = 1_704_067_200_000_000_000
+    rep = studies.instrument_report(r, daily, round_trip_bps=0.5, start_ns=start, end_ns=start + 30 * DAY * 1000, horizons=1, least=100)
+    return studies.outcomes(rep).select("symbol", "floor_met", r6("mean").alias("mean"), "both_halves", "capacity", "category")

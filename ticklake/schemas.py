@@ -14,7 +14,7 @@ SESSIONS = "venue STRING, event STRING, ts_ns LONG"
 LATENCY = "venue STRING, ts_ns LONG, latency_ms DOUBLE, ok BOOLEAN, error STRING, p50 DOUBLE, p95 DOUBLE, p99 DOUBLE"
 LEVEL = "STRUCT<price: DECIMAL(38,18), qty: DECIMAL(38,18)>"
 BOOK_EVENTS = f"venue STRING, symbol STRING, recv_ns LONG, is_snapshot BOOLEAN, bids ARRAY<{LEVEL}>, asks ARRAY<{LEVEL}>, seq LONG, checksum LONG"
-#: The order of the stored feature columns.
+#: The stored feature columns, in order. Fixed values.
 LEVELS = 5
 FEATURES = (
     "ofi_best_1s", "ofi_best_5s", "ofi_deep_1s", "ofi_deep_5s", "qimb_best", "micro_minus_mid", "spread_abs", "spread_bps",
