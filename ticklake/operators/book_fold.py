@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -28,7 +29,9 @@ class Book:
 
     def __init__(self, depth: int, precision: tuple[int, int] | None = None):
         self.depth, self.precision = depth, precision
+        # Each side's quantities by price, and its prices from low to high.
         self.sides: tuple[dict[Decimal, Decimal], dict[Decimal, Decimal]] = ({}, {})
+        self.prices: tuple[list[Decimal], list[Decimal]] = ([], [])
         self.valid, self.last_seq, self.next_tick = False, None, None
 
     # state to and from text, for streams and warm starts
@@ -37,18 +40,34 @@ class Book:
 
     def load(self, text: str) -> Book:
         bids, asks, self.valid, self.last_seq, self.next_tick = json.loads(text)
-        self.sides = tuple({Decimal(p): Decimal(q) for p, q in s} for s in (bids, asks))
+        self._hold(*({Decimal(p): Decimal(q) for p, q in s} for s in (bids, asks)))
         return self
 
+    def _hold(self, bids: dict, asks: dict) -> None:
+        self.sides = (bids, asks)
+        self.prices = (sorted(bids), sorted(asks))
+
+    def _set(self, side: int, price: Decimal, qty: Decimal) -> None:
+        s, order = self.sides[side], self.prices[side]
+        if qty > 0:
+            if price not in s:
+                insort(order, price)
+            s[price] = qty
+        elif s.pop(price, None) is not None:
+            del order[bisect_left(order, price)]
+
     def best(self, side: int, n: int) -> list[tuple[Decimal, Decimal]]:
-        s = self.sides[side]
-        return [(p, s[p]) for p in sorted(s, reverse=side == 0)[:n]]
+        s, order = self.sides[side], self.prices[side]
+        return [(p, s[p]) for p in (order[: -n - 1 : -1] if side == 0 else order[:n])]
 
     def _cut(self) -> None:
-        for side, s in enumerate(self.sides):
-            if len(s) > self.depth:
-                for p in sorted(s, reverse=side == 0)[self.depth :]:
+        for side, (s, order) in enumerate(zip(self.sides, self.prices, strict=True)):
+            extra = len(order) - self.depth
+            if extra > 0:
+                gone = slice(0, extra) if side == 0 else slice(self.depth, None)
+                for p in order[gone]:
                     del s[p]
+                del order[gone]
 
     def checksum(self) -> int:
         places = self.precision or (0, 0)
@@ -64,25 +83,24 @@ class Book:
         if seq is not None:
             self.last_seq = seq
         if snapshot:
-            self.sides = tuple({p: q for p, q in levels if q > 0} for levels in (bids, asks))
+            self._hold(*({p: q for p, q in levels if q > 0} for levels in (bids, asks)))
             self._cut()
             self.valid = True
             return "snapshot", False
         if jumped:
-            self.valid, self.sides = False, ({}, {})
+            self.valid = False
+            self._hold({}, {})
             return "seq_gap", False
         if not self.valid:
             return "ignored", False
-        for s, levels in zip(self.sides, (bids, asks), strict=True):
+        for side, levels in enumerate((bids, asks)):
             for p, q in levels:
-                if q > 0:
-                    s[p] = q
-                else:
-                    s.pop(p, None)
+                self._set(side, p, q)
         self._cut()
         if checksum is not None and self.precision is not None:
             if self.checksum() != checksum:
-                self.valid, self.sides = False, ({}, {})
+                self.valid = False
+                self._hold({}, {})
                 return "checksum_failed", True
             return "applied", True
         return "applied", False
