@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 DAYS = 365
 NORMAL = NormalDist()
 
@@ -163,14 +165,13 @@ def confidence_bins(rows: DataFrame, keys: list[str], conf: str, value: str, bin
 def purged_folds(rows: DataFrame, keys: list[str], ts: str, folds: int, horizon: int, embargo: int | None = None) -> DataFrame:
     """(fold, is_test, rows): contiguous test folds; training rows whose label reaches a test fold, or that follow it within the embargo, are left out.
 
-    One window numbers the rows; the folds' bounds are a table of folds rows that joins back.
+    Rows are numbered stretch by stretch; the folds' bounds are a table of folds rows that joins back.
     """
     embargo = horizon if embargo is None else embargo
     if embargo < horizon:
         raise ValueError("an embargo below the label's horizon leaks")
-    n = F.count("*").over(Window.partitionBy(*keys))
-    i = F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1
-    r = rows.withColumn("__own", F.least(F.floor(i / F.greatest(F.floor(n / folds), F.lit(1))), F.lit(folds - 1)))
+    r = numbered(rows, keys, ts, "__i", "__n")
+    r = r.withColumn("__own", F.least(F.floor(F.col("__i") / F.greatest(F.floor(F.col("__n") / folds), F.lit(1))), F.lit(folds - 1))).drop("__i", "__n")
     bounds = r.groupBy(*keys, F.col("__own").alias("fold")).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
     both = r.join(bounds, keys) if keys else r.join(bounds)
     test = F.col("__own") == F.col("fold")
@@ -192,9 +193,9 @@ def walk_forward(rows: DataFrame, ts: str, train: int, test: int, *, step: int |
 
 
 def block_folds(rows: DataFrame, keys: list[str], order: str, size: int, least: int = 60) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    r = rows.withColumn("fold", F.floor(i / size))
-    return r.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "fold"))).where(F.col("__n") >= least).drop("__n")
+    r = numbered(rows, keys, order, "__i").withColumn("fold", F.floor(F.col("__i") / size)).drop("__i")
+    full = r.groupBy(*keys, "fold").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")
+    return r.join(full, [*keys, "fold"], "left_semi")
 
 
 # --- models --------------------------------------------------------------------------------------
