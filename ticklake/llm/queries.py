@@ -56,6 +56,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+#: The mix as one sorted prefix sum per source; keys, weights and targets as the operator defines them.
+OP4_SQL = r"""
+WITH s AS (SELECT doc_id AS id, source, coalesce(text, '') AS t, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+r AS (SELECT id, source, size, -ln((CAST('0x' || substr(md5('11:' || id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+  / (1 - 0.75 * least(1.0, 20.0 * (length(t) - length(translate(t, '#*$%&|<>', ''))) / greatest(length(t), 1))) AS rank FROM s),
+z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END AS w FROM z),
+c AS (SELECT *, 2.0 * source_size AS cap, 2.0 * source_size / w AS full_at FROM w),
+l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0.0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0)) AS level
+  FROM c WINDOW b AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(level, full_at) AS level FROM l WHERE level <= full_at),
+g AS (SELECT l.source, l.source_size, least(l.cap, coalesce(l.w * f.level, l.cap)) AS target FROM l, f),
+p AS (SELECT r.id, r.size, g.source_size, g.target, coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.rank, r.id, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM p)
+SELECT id AS doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN before + size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM q
+"""
+
 #: Payloads are UTF-8, so DuckDB's strlen counts their bytes.
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -84,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op4_mixing": OP4_SQL, "op10_warc": OP10_SQL}
