@@ -53,16 +53,18 @@ def triple_barrier(samples: DataFrame, mids: DataFrame, keys: list[str], *, ts:
     names = [*samples.columns, "barrier_label", "barrier_ret_bps"]
 
     def fold(s: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        if mid not in m or mid_ts not in m:  # a key without mids
-            m = pd.DataFrame({mid: [], mid_ts: []})
-        if ts not in s:  # a key without samples
+        if not len(s.columns) or not len(s):  # a key without samples
             return pd.DataFrame(columns=names)
-        m = m[m[mid].notna()].sort_values(mid_ts, kind="stable")
-        label, ret = first_touch(s[ts].to_numpy(np.int64), s[entry].to_numpy(float), s[vol].to_numpy(float), m[mid_ts].to_numpy(np.int64), m[mid].to_numpy(float), up, down, limit_ms * MS)
+        if not len(m.columns):  # a key without mids
+            m = pd.DataFrame({"__m": [], "__t": []})
+        m = m[m["__m"].notna()].sort_values("__t", kind="stable")
+        label, ret = first_touch(s[ts].to_numpy(np.int64), s[entry].to_numpy(float), s[vol].to_numpy(float), m["__t"].to_numpy(np.int64), m["__m"].to_numpy(float), up, down, limit_ms * MS)
         return s.assign(barrier_label=pd.array(np.where(label == -128, 0, label), "Int32"), barrier_ret_bps=ret).assign(barrier_label=lambda x: x["barrier_label"].mask(label == -128))
 
     schema = f"{samples._jdf.schema().toDDL()}, barrier_label INT, barrier_ret_bps DOUBLE"
-    out = samples.groupBy(*keys).cogroup(mids.select(*keys, mid_ts, mid).groupBy(*keys)).applyInPandas(fold, schema)
+    # Names of their own keep the two sides' columns apart where both come from one table.
+    right = mids.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(mid_ts).alias("__t"), F.col(mid).alias("__m"))
+    out = samples.groupBy(*keys).cogroup(right.groupBy(*[f"__k{i}" for i in range(len(keys))])).applyInPandas(fold, schema)
     return out.withColumn("barrier_ret_bps", F.when(~F.isnan("barrier_ret_bps"), F.col("barrier_ret_bps")))
 
 

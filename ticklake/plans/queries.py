@@ -249,7 +249,10 @@ def _(spark, d):
     return asof.deadlines(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"), ["user_id"], "t", 2 * DAY, mid_ts="t", mid="value").select("event_id", "exit_mid")
 
 
-@query("d5_triple_barrier")
+@query("d5_triple_barrier", f"""WITH {E}, h AS (SELECT p.event_id, p.user_id, p.t, p.value AS x, (SELECT min(e.t) FROM e WHERE e.user_id = p.user_id AND e.t > p.t AND e.t <= p.t + {DAY} AND (e.value >= p.value * (1 + 2.0 * 0.1) OR e.value <= p.value * (1 - 2.0 * 0.1))) AS hit,
+ (SELECT max(e.t) FROM e WHERE e.user_id = p.user_id) AS top, (SELECT arg_max(e.value, e.t) FROM e WHERE e.user_id = p.user_id AND e.t <= p.t + {DAY}) AS last FROM e p WHERE p.event_type = 'purchase'),
+v AS (SELECT h.*, (SELECT max(e.value) FROM e WHERE e.user_id = h.user_id AND e.t = h.hit) AS y FROM h)
+SELECT event_id, CAST(CASE WHEN hit IS NOT NULL THEN CASE WHEN y >= x * (1 + 2.0 * 0.1) THEN 1 ELSE -1 END WHEN top > t + {DAY} THEN 0 END AS INT) AS barrier_label, round(1e4 * (CASE WHEN hit IS NOT NULL THEN y WHEN top > t + {DAY} THEN last END - x) / x, 6) AS barrier_ret_bps FROM v""")
 def _(spark, d):
     e = events(spark, d)
     s = e.where("event_type = 'purchase'").withColumn("vol", F.lit(0.1))
