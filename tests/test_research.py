@@ -108,12 +108,13 @@ def momentum_by_hand(px, lookback, hold, least, gross=1.0):
     return out
 
 
-def test_momentum_by_hand(spark):
+@pytest.mark.parametrize("days", [60, 62])  # 62: a rebalance on the last day
+def test_momentum_by_hand(spark, days):
     rng = np.random.default_rng(4)
-    px = np.exp(np.cumsum(rng.normal(0, 0.05, (60, 15)), 0))
+    px = np.exp(np.cumsum(rng.normal(0, 0.05, (days, 15)), 0))
     px[30:, 3] = np.nan
     px[41:, 7] = np.nan
-    rows = [(d, c, float(px[d, c])) for d in range(60) for c in range(15) if np.isfinite(px[d, c])]
+    rows = [(d, c, float(px[d, c])) for d in range(days) for c in range(15) if np.isfinite(px[d, c])]
     got = simulators.momentum(spark.createDataFrame(rows, "day long, coin long, close double"), lookback=5, hold=4, least=10).orderBy("day").collect()
     want = momentum_by_hand(px, 5, 4, 10)
     assert [(r["day"], r["exits"]) for r in got] == [(d, e) for d, _, _, e in want]
@@ -279,3 +280,73 @@ def test_empty_window_is_zero_and_missing_price_is_null(spark):
     df = spark.createDataFrame([("k", 10, 1.0), ("k", 20, 2.0)], "k string, t long, v double")
     got = windows.window_sums(df, ["k"], "t", 10, {"s": "v"}, "n").orderBy("t").collect()
     assert [(r["s"], r["n"]) for r in got] == [(0.0, 0), (0.0, 0)]  # t - w itself is outside
+
+
+def carry_by_hand(px, rate, lookback, rebalance, least, gross, fee_bps):
+    """A book kept day by day: px and rate are days x coins, nan where there is none."""
+    days, n = px.shape
+    last = [max((d for d in range(days) if np.isfinite(px[d, c])), default=-1) for c in range(n)]
+    held, out = {}, []
+    for d in range(lookback, days):
+        pnl = fund = cost = 0.0
+        for c, (units, mark) in list(held.items()):
+            if not np.isfinite(px[d, c]):
+                if d > last[c]:
+                    cost += abs(units) * mark * fee_bps * 1e-4
+                    del held[c]
+                continue
+            pnl += units * (px[d, c] - mark)
+            fund -= units * mark * (rate[d, c] if np.isfinite(rate[d, c]) else 0.0)
+            held[c] = (units, px[d, c])
+        if (d - lookback) % rebalance == 0:
+            scored = []
+            for c in range(n):
+                seen = rate[d - lookback : d + 1, c]
+                seen = seen[np.isfinite(seen)]
+                if np.isfinite(px[d, c]) and np.isfinite(rate[d, c]) and len(seen) >= max(1, int(0.5 * (lookback + 1))):
+                    scored.append((seen.mean(), c))
+            if len(scored) >= least:
+                scored.sort()
+                k = max(1, len(scored) // 10)
+                want = {c: gross / 2 / k for _, c in scored[:k]} | {c: -gross / 2 / k for _, c in scored[-k:]}
+                cost += sum(abs(want.get(c, 0) - (held[c][0] * held[c][1] if c in held else 0)) for c in {*want, *held}) * fee_bps * 1e-4
+                held = {c: (w / px[d, c], px[d, c]) for c, w in want.items()}
+        if d == days - 1:
+            cost += sum(abs(u) * m for u, m in held.values()) * fee_bps * 1e-4
+        out.append((d, pnl, fund, cost))
+    return out
+
+
+def test_carry_panel_by_hand(spark):
+    rng = np.random.default_rng(6)
+    px = np.exp(np.cumsum(rng.normal(0, 0.05, (50, 24)), 0))
+    rate = rng.normal(0, 1e-3, (50, 24))
+    px[20:, 5], rate[20:, 5] = np.nan, np.nan
+    px[31:33, 2] = np.nan  # a hole, not an end
+    rows = lambda m: [(d, c, float(m[d, c])) for d in range(50) for c in range(24) if np.isfinite(m[d, c])]
+    f, p = spark.createDataFrame(rows(rate), "day long, coin long, rate double"), spark.createDataFrame(rows(px), "day long, coin long, close double")
+    got = {r["day"]: r for r in simulators.carry_panel(f, p, lookback=4, rebalance=3, least=10, gross=1000.0, fee_bps=2.0).collect()}
+    for d, pnl, fund, cost in carry_by_hand(px, rate, 4, 3, 10, 1000.0, 2.0):
+        r = got.get(d)
+        assert [r["price_pnl"], r["funding_pnl"], r["cost"]] == pytest.approx([pnl, fund, cost]), d
+
+
+def test_pairs_by_hand(spark):
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.normal(0, 0.02, 260)) + 3
+    y = 0.9 * x + rng.normal(0, 0.02, 260)
+    px, py = np.exp(x), np.exp(y)
+    got = simulators.pairs(spark.createDataFrame([("a", "b", i, float(py[i]), float(px[i])) for i in range(260)], "left string, right string, date long, y double, x double")).orderBy("date").collect()
+    beta, spread, z = np.full(260, np.nan), np.full(260, np.nan), np.full(260, np.nan)
+    for i in range(90, 260):
+        beta[i] = np.polyfit(x[i - 90 : i], y[i - 90 : i], 1)[0]
+        spread[i] = y[i] - beta[i] * x[i]
+    for i in range(150, 260):
+        w = spread[i - 60 : i]
+        z[i] = (spread[i] - w.mean()) / w.std(ddof=1)
+    pos = simulators.positions(z)
+    for r in got:
+        i = r["date"]
+        move = (py[i + 1] / py[i] - 1 - beta[i] * (px[i + 1] / px[i] - 1)) / (1 + abs(beta[i]))
+        assert r["position"] == pos[i] and r["daily"] == pytest.approx(pos[i] * move) and r["turns"] == abs(pos[i] - pos[i - 1])
+    assert [r["date"] for r in got] == list(range(150, 259)) and any(r["position"] for r in got)
