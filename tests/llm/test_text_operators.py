@@ -557,6 +557,20 @@ def test_empty_tables(spark):
     assert classifier.score(stats, classifier.fit(stats, none)).count() == 0
 
 
+def test_rows_without_an_id(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(None, item, None), (0, "other text altogether here", "a"), (None, None, "a")], "doc_id long, text string, source string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
+    for whole in (pii.report(docs), secret_scan.report(docs), quality_rules.clean(docs), mixing.mix(docs), decontam.clean(docs.drop("source"), bench.limit(0)), classifier.score(classifier.measured(docs), {"const": 0.5})):
+        assert ids(whole) == [0, None, None]
+    for named in (minhash.groups(docs), token_files.digest(spark, docs), hmm.score(docs, F.lit(False), passes=1)):
+        assert ids(named) == [0]
+    assert decontam.leaks(docs, bench).count() == 0 and decontam.clean(docs, bench).count() == 2
+    pages = spark.createDataFrame([(None, "u", "x"), (1, None, None)], "page_id long, url string, html string")
+    assert [r["page_id"] for r in warc.round_trip(spark, pages).collect()] == [1]
+
+
 def test_queries_have_their_contracts_columns(spark, data):
     want = {
         "op1_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op2_minhash": "doc_id n_shingles component_id kept", "op3_token_files": "doc_id start n_tokens ids_crc32",

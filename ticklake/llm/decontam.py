@@ -225,8 +225,8 @@ def item_blocks(bench: DataFrame, *, text: str = "text", key: str = "item_id", m
 
 
 def leaks(docs: DataFrame, bench: DataFrame, *, max_share: float = MAX_SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, item_id, distance, start, end): documents with the items they hold, the best place of each in code points."""
-    out = None
+    """(key, item_id, distance, start, end): documents with the items they hold, the best place of each in code points. Rows without a key have none."""
+    docs, out = docs.where(F.col(key).isNotNull()), None
     for items in item_blocks(bench, max_share=max_share):
 
         def run(t: Texts, items=items) -> dict:

@@ -29,8 +29,8 @@ def word_count(text: Column) -> Column:
 
 
 def uniform(key: Column, seed: int) -> Column:
-    """In (0, 1), from 52 bits of md5(seed:key)."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+    """In (0, 1), from 52 bits of md5(seed:key); a null key counts as the word null."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 

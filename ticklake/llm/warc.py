@@ -220,8 +220,9 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, url, html, digest, refers_to): of equal payloads of least bytes or more, all but the least page_id refer to it.
 
     The first of each digest is a map-side min; pages that differ from it by digest alone never meet it.
-    A null html is an empty payload.
+    A null html is an empty payload. Rows without a page_id can't be named and are left out.
     """
+    pages = pages.where("page_id IS NOT NULL")
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).alias("size"))
     first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
