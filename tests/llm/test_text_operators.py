@@ -330,6 +330,41 @@ def test_recall_near_the_threshold():
     assert total > 20 and found >= 0.95 * total
 
 
+def leaks_of(texts, items):
+    return {(d, i) for t in texts_of(texts) for d, i, *_ in decontam.leaks_in(t, items)}
+
+
+def test_leaks_equal_brute_force():
+    rng = random.Random(31)
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n)).strip() or "a"
+    for letters in ("abc ", "abcdefghijklmnop é"):
+        items = decontam.Items(list(range(40)), [text(rng.choice([1, 3, 6, 7, 13, 14, 30, 62, 63, 90, 150]), letters) for _ in range(40)])
+        texts = []
+        for i, b in enumerate(items.bytes):
+            s = list(b.decode())
+            for _ in range(rng.randrange(int(items.most[i]) + 3)):
+                k = rng.randrange(len(s))
+                s[k : k + rng.choice([1, 1, 0])] = rng.choice(["", "x", "b", " "])
+                s = s or ["a"]
+            texts.append(text(rng.randrange(150), letters) + "".join(s) + text(rng.randrange(150), letters))
+        want = set()
+        for d, t in enumerate(texts):
+            body = " ".join(lower(t).split()).encode()
+            want |= {(d, i) for i, b in enumerate(items.bytes) if decontam.distance(b, body)[0] <= items.most[i]}
+        assert len(want) > 20 and leaks_of(texts, items) == want
+
+
+def test_items_with_every_second_word_edited_are_found():
+    rng = random.Random(12)
+    items = decontam.Items(list(range(30)), [lorem(rng, n) for n in (15, 25, 55) for _ in range(10)])
+    texts = []
+    for b in items.bytes:
+        w = b.decode().split()
+        w[1::2] = [x + "," for x in w[1::2]]
+        texts.append(f"{lorem(rng, 60)} {' '.join(w)} {lorem(rng, 60)}")
+    assert leaks_of(texts, items) == {(i, i) for i in range(30)}
+
+
 # --- secrets -------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(secret_scan.ASSIGN.replace("(?i:", "(?:"), re.I | re.A)

@@ -3,16 +3,18 @@
 Texts and items are compared with A-Z lower-cased and white space runs as one space. A document holds
 an item if some stretch of it is within max_share of the item's length in edit distance.
 
-1. Seeds place item-sized windows: a pair of words that an item has too puts a window where the item
-   would start. Windows with seeds at two places or more (one, for items with fewer than four pairs)
-   are kept; windows of an item that start within SLACK characters are one.
-2. Each window and item goes through CGK embeddings: a random walk emits the character it stands on
-   and steps on or not by a coin for (step, character), so strings at a small edit distance give
-   sequences at a small Hamming distance. Bit sampling LSH compares REPEATS samples of SAMPLE places
-   on each of WALKS walks; EQUAL equal samples make a candidate. At similarity 0.4 of the embeddings
-   192 samples of 3 have fewer than 2 equal with a chance of 1e-4.
-3. Candidates are verified by the exact edit distance of the item to stretches around the window
-   (bit-parallel), which also gives the place.
+1. An item that may have k edits is cut into n parts of at most PART bytes: any stretch within k edits
+   holds one of them with at most r = k // n. A part is cut into r // 2 + 1 pieces, of which one has one
+   edit at most then, and a half of that piece none. Halves are looked up at every byte of a document;
+   where the other half stands beside with one edit at most, the part is put there.
+2. The part's edit distance to what stands around that place, by 64-bit words for all places at once,
+   must be r at most. Then an item-sized window is put where the item would start. Parts of a document
+   that start in the same NEAR bytes are one, as are windows that start in the same SLACK bytes.
+3. Windows are verified by the exact edit distance of the item to stretches around them (bit-parallel),
+   which also gives the place.
+
+Each step leaves out only what can't be within the limit, so no stretch is missed, whatever its edits
+are and however few words the item has.
 
 Items are read in blocks of at most BLOCK_BYTES, each broadcast to one pass over the documents.
 Empty and null texts and items hold nothing and are held by nothing.
@@ -21,7 +23,6 @@ Empty and null texts and items hold nothing and are held by nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import LOWER, SPACE, Texts, chunks, map_texts, mix, roll, small_batches, span_hashes, word_spans
+from .common import LOWER, SPACE, Texts, chunks, map_texts, small_batches
 
 MAX_SHARE = 0.15
-SLACK = 24
-WALKS, REPEATS, SAMPLE = 12, 16, 3
-#: Equal samples that make a candidate.
-EQUAL = 2
+SLACK, NEAR, PART = 24, 8, 62
 BLOCK_BYTES = 32 << 20
+#: Bytes of a seed's key at most, places looked up at once, and pairs of a place and a seed compared at once.
+KEY, STEP, PAIRS = 6, 1 << 16, 1 << 18
+#: The lowest n bytes of a cell.
+LOW = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
+BYTE = np.uint64(8)
 
 
 def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +58,7 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Items:
-    """A block of items: normal bytes, seeds and embeddings."""
+    """A block of items: normal bytes, parts and seeds."""
 
     def __init__(self, ids: list[int], texts: list[str], max_share: float = MAX_SHARE):
         raw = [t.encode() for t in texts]
@@ -67,94 +70,148 @@ class Items:
         self.most = (self.size * max_share).astype(np.int64)
         data = np.frombuffer(b"".join(self.bytes), np.uint8)
         off = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
-        h, at, item = _seeds(data, off)
-        self.need = np.where(np.bincount(item, minlength=len(used)) < 4, 1, 2)
-        order = np.argsort(h, kind="stable")
-        self.seed, self.seed_item, self.seed_at = h[order], item[order], at[order] - off[item[order]]
-        self.bloom = np.zeros(1 << 20, bool)
-        self.bloom[(self.seed & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.codes = embed(data, off[:-1], self.size, self.size)
+        self.data = data
+        n = np.maximum(-(-self.size // PART), 1)
+        self.part_item = np.repeat(np.arange(len(used)), n)
+        k = _each(np.zeros(len(n), np.int64), n)
+        m, n = self.size[self.part_item], n[self.part_item]
+        self.part_at, self.part_size, self.part_most = k * m // n, (k + 1) * m // n - k * m // n, self.most[self.part_item] // n
+        self.part_first = off[self.part_item] + self.part_at
+        self.seeds = [Seeds(data, self.part_first, q, rows) for q, rows in _halves(self.part_size, self.part_most)]
 
     def __len__(self) -> int:
         return len(self.ids)
 
 
-def _seeds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of neighbouring words, where they start, and in which text; a text of one word has that word."""
-    starts, ends, doc = word_spans(data, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, doc
-    words = span_hashes(data, starts, ends)
-    pair = np.zeros(len(words), np.uint64)
-    pair[:-1] = roll(words, 2) if len(words) > 1 else 0
-    inside = np.zeros(len(words), bool)
-    inside[:-1] = doc[1:] == doc[:-1]
-    alone = ~inside & (np.bincount(doc, minlength=len(offsets) - 1)[doc] == 1)
-    pick = inside | alone
-    return np.where(inside, pair, mix(words))[pick], starts[pick], doc[pick]
-
-
-def embed(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Sample keys (strings x WALKS * REPEATS) of data[start : start + size].
-
-    length (of the item) sets the number of steps, 2 * length, and the sampled places, so a window
-    and its item are sampled alike.
-    """
-    n = len(start)
-    out = np.zeros((n, WALKS * REPEATS), np.uint64)
-    coins, place = _coins()
-    walk_of = np.arange(WALKS)[:, None]
-    for group in np.array_split(np.argsort(length, kind="stable"), max(1, n // 128)):
-        if not len(group):
-            continue
-        steps = 2 * int(length[group].max())
-        s, z = start[group], size[group]
-        at = np.zeros((WALKS, len(group)), np.int64)
-        walk = np.zeros((steps, WALKS, len(group)), np.uint8)
-        for j in range(steps):
-            ch = data[np.minimum(s + at, len(data) - 1)]
-            ch[at >= z] = 0
-            walk[j] = ch
-            at += coins[j & 4095][walk_of, ch]
-        where = (place[:, :, :, None] * (2 * length[group])).astype(np.int64)
-        seen = walk[where, walk_of[:, None, None, :], np.arange(len(group))]
-        key = np.zeros((WALKS, REPEATS, len(group)), np.uint64)
-        for k in range(SAMPLE):
-            key = (key << np.uint64(8)) | seen[:, :, k].astype(np.uint64)
-        out[group] = key.reshape(WALKS * REPEATS, len(group)).T
-    return out
-
-
-@lru_cache(1)
-def _coins() -> tuple[np.ndarray, np.ndarray]:
-    """The coins of all walks (step, walk, character) and the sampled places as shares (walk, repeat, sample)."""
-    rng = np.random.default_rng(1000)
-    return rng.integers(0, 2, (1 << 12, WALKS, 256), dtype=np.int8), rng.random((WALKS, REPEATS, SAMPLE))
+def _halves(size: np.ndarray, most: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """By bytes of the key: rows of (part, start, bytes of the other half, whether this is the right half, bytes to the other half)."""
+    rows: dict[int, list] = {}
+    for i, (m, k) in enumerate(zip(size.tolist(), most.tolist(), strict=True)):
+        n = min(k // 2 + 1, max(1, m // 2))
+        cuts = [j * m // n for j in range(n + 1)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if not k:
+                rows.setdefault(min(m, KEY), []).append((i, 0, m - min(m, KEY), 0, min(m, KEY)))
+                continue
+            h = (a + z) // 2
+            rows.setdefault(min(h - a, KEY), []).append((i, a, z - h, 0, h - a))
+            rows.setdefault(min(z - h, KEY), []).append((i, h, h - a, 1, 0))
+    return [(q, np.array(found, np.int64)) for q, found in sorted(rows.items())]
+
+
+def _cells(data: np.ndarray) -> np.ndarray:
+    """Eight bytes as an integer, the first lowest: cells[p + 8] from place p on, cells[p] those before it."""
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(24, np.uint8)])
+    return np.ndarray(len(padded) - 7, "<u8", padded.tobytes(), strides=(1,)).copy()
+
+
+def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the lowest n (seven at most) bytes of a are within one edit of what b starts with."""
+    x = (a ^ b) & LOW[n]
+    bit = (x & (~x + np.uint64(1))).astype(np.float64).view(np.int64)
+    same = np.where(x == 0, 0, ((bit >> 52) - 1023) >> 3)  # bytes before the first that differs
+    at = (same << 3).astype(np.uint64)
+    a, b, x = a >> at, b >> at, x >> at
+    left = n - same
+    return (x >> BYTE == 0) | (((a >> BYTE) ^ b) & LOW[np.maximum(left - 1, 0)] == 0) | ((a ^ (b >> BYTE)) & LOW[left] == 0)
+
+
+class Seeds:
+    """Halves with a key of q bytes; equal ones of all parts are one seed, with a list of the parts and starts."""
+
+    def __init__(self, data: np.ndarray, first: np.ndarray, q: int, rows: np.ndarray):
+        part, at, size, right, jump = rows.T
+        place, cells, size = first[part] + at, _cells(data), np.minimum(size, 7)
+        beside = np.where(right == 1, cells[place].byteswap(), cells[place + jump + 8]) & LOW[size]
+        seeds, which = np.unique(np.stack([cells[place + 8] & LOW[q], beside, *(c.astype(np.uint64) for c in (size, right, jump))], 1), axis=0, return_inverse=True)
+        which = which.ravel()
+        order = np.argsort(which, kind="stable")
+        self.q, self.part, self.at, self.first = q, part[order], at[order], np.concatenate([[0], np.cumsum(np.bincount(which))])
+        self.beside, self.size, self.right, self.jump = seeds[:, 1].copy(), seeds[:, 2].astype(np.int64), seeds[:, 3] == 1, seeds[:, 4].astype(np.int64)
+        self.key, begin = np.unique(seeds[:, 0], return_index=True)
+        self.begin = np.append(begin, len(seeds))
+        self.shift = np.uint64(64 - min(24, max(20, len(self.key).bit_length() + 4)))
+        self.bloom = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bloom[self._slot(self.key)] = True
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def found(self, cells: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(part, start in the part, place) of the halves that stand in so many bytes with the other half beside them."""
+        for a in range(0, size, STEP):
+            key = cells[a + 8 : min(a + STEP, size) + 8] & LOW[self.q]
+            hit = np.flatnonzero(self.bloom[self._slot(key)])
+            j = np.minimum(np.searchsorted(self.key, key[hit]), len(self.key) - 1)
+            same = self.key[j] == key[hit]
+            hit, j = hit[same] + a, j[same]
+            n = self.begin[j + 1] - self.begin[j]
+            parts = np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1
+            for place, j, n in zip(np.split(hit, parts), np.split(j, parts), np.split(n, parts), strict=True):
+                seed, place = _each(self.begin[j], n), np.repeat(place, n)
+                there = np.where(self.right[seed], cells[place].byteswap(), cells[np.minimum(place + self.jump[seed] + 8, len(cells) - 1)])
+                ok = _near(self.beside[seed], there, self.size[seed])
+                seed, place = seed[ok], place[ok]
+                n = self.first[seed + 1] - self.first[seed]
+                row = _each(self.first[seed], n)
+                yield self.part[row], self.at[row], np.repeat(place, n)
+
+
+def _each(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ..., n numbers of each."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, starts and items of the windows that seeds place."""
-    h, at, doc = _seeds(data, offsets)
-    hit = np.flatnonzero(items.bloom[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-    h, at, doc = h[hit], at[hit], doc[hit]
-    lo, hi = np.searchsorted(items.seed, h, "left"), np.searchsorted(items.seed, h, "right")
-    n = hi - lo
-    which = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-    item, start, doc, word = items.seed_item[which], np.repeat(at, n) - items.seed_at[which], np.repeat(doc, n), np.repeat(at, n)
-    if not len(item):
-        return doc, start, item
-    order = np.lexsort((start, item, doc))
-    doc, item, start, word = doc[order], item[order], start[order], word[order]
+    """Documents, starts and items of the windows that hold a part of the item."""
+    cells, got = _cells(data), [np.zeros((3, 0), np.int64)]
+    for seeds in items.seeds:
+        for part, at, place in seeds.found(cells, len(data)):
+            doc = np.searchsorted(offsets, place, "right") - 1
+            got.append(np.stack([doc, part, place - at])[:, place + seeds.q <= offsets[doc + 1]])
+    doc, part, start = _first(*np.concatenate(got, 1), NEAR)
+    ok = np.zeros(len(doc), bool)
+    for k in range(0, len(doc), 4096):
+        d, p, a = doc[k : k + 4096], part[k : k + 4096], start[k : k + 4096]
+        ok[k : k + 4096] = part_distances(data, offsets[d], offsets[d + 1], a, p, items) <= items.part_most[p]
+    doc, part, start = doc[ok], part[ok], start[ok]
+    doc, item, start = _first(doc, items.part_item[part], start - items.part_at[part], SLACK)
+    return doc, start, item
+
+
+def _first(doc: np.ndarray, what: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows in order, the first of those whose starts lie in the same width bytes."""
+    order = np.lexsort((start, what, doc))
+    doc, what, start = doc[order], what[order], start[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > SLACK)
-    run = np.cumsum(new) - 1
-    # Seeds at different places of the document count; one place can match an item's repeated pair more than once.
-    places = np.unique(run * np.int64(len(data) + 1) + word) // (len(data) + 1)
-    seeds = np.bincount(places, minlength=int(new.sum()))
-    head = np.flatnonzero(new)
-    middle = (head + np.append(head[1:], len(doc)) - 1) // 2
-    keep = seeds >= items.need[item[head]]
-    return doc[head][keep], start[middle][keep], item[head][keep]
+    new[1:] = (np.diff(doc) != 0) | (np.diff(what) != 0) | (np.diff(start // width) != 0)
+    return doc[new], what[new], start[new]
+
+
+def part_distances(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, part: np.ndarray, items: Items) -> np.ndarray:
+    """The least edit distance of each part to stretches within its limit and NEAR of start, in data[lo : hi]; as distance(), a word a part."""
+    parts, row = np.unique(part, return_inverse=True)
+    size, first = items.part_size[parts], items.part_first[parts]
+    masks = np.zeros((len(parts), 257), np.uint64)  # the last for places outside
+    for j in range(int(size.max())):
+        on = np.flatnonzero(size > j)
+        masks[on, items.data[first[on] + j]] |= np.uint64(1 << j)
+    wide = items.part_most[part] + NEAR
+    one, top = np.uint64(1), np.uint64(1) << (items.part_size[part] - 1).astype(np.uint64)
+    up, down = np.full(len(part), ~np.uint64(0)), np.zeros(len(part), np.uint64)
+    score = items.part_size[part].copy()
+    best = score.copy()
+    for j in range(int((items.part_size[part] + 2 * wide).max())):
+        at = start - wide + j
+        eq = masks[row, np.where((at >= lo) & (at < hi), data[np.clip(at, 0, len(data) - 1)], 256)]
+        x = eq | down
+        d = (((eq & up) + up) ^ up) | eq
+        rise, fall = down | ~(d | up), up & d
+        score += (rise & top != 0).astype(np.int64) - (fall & top != 0)
+        rise, fall = rise << one, fall << one
+        up, down = fall | ~(x | rise), rise & x
+        np.minimum(best, score, out=best)
+    return best
 
 
 def distance(pattern: bytes, text: bytes) -> tuple[int, int]:
@@ -188,28 +245,22 @@ def leaks_in(t: Texts, items: Items) -> list[tuple[int, int, int, int, int]]:
     doc, start, item = windows(data, off, items)
     if not len(doc):
         return []
-    a, z = np.maximum(start, off[doc]), np.minimum(start + items.size[item], off[doc + 1])
-    ok = z > a
-    doc, item, a, z = doc[ok], item[ok], a[ok], z[ok]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for part in range(0, len(doc), 4096):
-        s = slice(part, part + 4096)
-        keys = embed(data, a[s], (z - a)[s], items.size[item[s]])
-        for k in np.flatnonzero((keys == items.codes[item[s]]).sum(1) >= EQUAL) + part:
-            d, i = int(doc[k]), int(item[k])
-            pattern, most = items.bytes[i], int(items.most[i])
-            lo, hi = max(int(a[k]) - most - SLACK, int(off[d])), min(int(z[k]) + most + SLACK, int(off[d + 1]))
-            body = data[lo:hi].tobytes()
-            at = body.find(pattern)
-            if at >= 0:
-                found = (0, lo + at, lo + at + len(pattern))
-            else:
-                score, end = distance(pattern, body)
-                if score > most:
-                    continue
-                _, back = distance(pattern[::-1], body[:end][::-1])
-                found = (score, lo + end - back, lo + end)
-            best[d, i] = min(best.get((d, i), found), found)
+    for d, a, i in zip(doc.tolist(), start.tolist(), item.tolist(), strict=True):
+        pattern, most = items.bytes[i], int(items.most[i])
+        wide = most + SLACK + NEAR
+        lo, hi = max(a - wide, int(off[d])), min(a + len(pattern) + wide, int(off[d + 1]))
+        body = data[lo:hi].tobytes()
+        at = body.find(pattern)
+        if at >= 0:
+            found = (0, lo + at, lo + at + len(pattern))
+        else:
+            score, end = distance(pattern, body)
+            if score > most:
+                continue
+            _, back = distance(pattern[::-1], body[:end][::-1])
+            found = (score, lo + end - back, lo + end)
+        best[d, i] = min(best.get((d, i), found), found)
     return [(d, i, s, int(place[x] - t.offsets[d]), int(place[y - 1] + 1 - t.offsets[d])) for (d, i), (s, x, y) in sorted(best.items()) if y > x]
 
 
