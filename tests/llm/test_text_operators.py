@@ -365,6 +365,27 @@ def test_items_with_every_second_word_edited_are_found():
     assert leaks_of(texts, items) == {(i, i) for i in range(30)}
 
 
+def test_items_of_one_to_three_words_are_found_in_long_documents(spark):
+    rng = random.Random(17)
+    items = ["https://example.org/tasks/8f3a91c27be04d55", "什么是机器学习中的过拟合现象以及如何避免它", "internationalisation photosynthesis", "seventeen purple elephants", "ab", "q9"]
+    forms = [
+        (items[0], "see(https://example.org/tasks/8f3a91c27be04d55).", "https://examp1e.org/tasks/8f3a91c27be0-4d55"), (items[1], "请问什么是机器学习中的过拟合现象以及如何避免它呢", "什么是机器学习里的过拟合现象以及如何避免它"),
+        (items[2], "Internationalisation\n photosynthesis", "internationalization photosynthesys"), (items[3], "SEVENTEEN purple  elephants", "sevent3en purpl elephants,"), (items[4],), (items[5],),
+    ]
+    texts, want = [], set()
+    filler = lambda: " ".join(rng.choice(["umu", "voxe", "zizi", "welk"]) for _ in range(400))
+    for i, edited in enumerate(forms):
+        for form in edited:
+            want.add((len(texts), i))
+            texts.append(f"{filler()} {form} {filler()}")
+    clean = len(texts)
+    texts += [filler() + f" {x} " + filler() for x in ("a b", "9q", "seventy people elect", "机器学习")]
+    docs = frame(spark, texts)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()} == want
+    assert sorted(r["doc_id"] for r in decontam.clean(docs, bench).collect()) == list(range(clean, len(texts)))
+
+
 # --- secrets -------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(secret_scan.ASSIGN.replace("(?i:", "(?:"), re.I | re.A)
