@@ -173,6 +173,15 @@ def test_network_finds_spans_it_has_not_seen():
     assert hit / sum(map(len, spans)) > 0.85 and hit / max(1, sum(map(len, got))) > 0.85
 
 
+def test_addresses_without_digits_and_at_signs_are_found(spark):
+    forms = ["maria.lopez [at] riverbank [dot] org", "ann_lee(at)post[dot]de", "ines.costa [at] riverbank.com", "john.weber (at) riverbank.net"]
+    texts = [f"please write to {x} or call, " + "we will come back to the matter as soon as we can " * 3 for x in forms] + ["we met (at) noon and sat [dot] there", "no such thing here"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.report(frame(spark, texts)).collect()}
+    want = {i: f"email:16:{16 + len(x)}" for i, x in enumerate(forms)}
+    assert {i: s for i, s in rows.items() if s} == want
+    assert {r["doc_id"] for r in pii.masked(frame(spark, texts)).collect() if r["text"].startswith("please write to [EMAIL] or")} == set(want)
+
+
 def test_reconciled_takes_the_best_set_without_overlap():
     spans = [(0, 0, 10, 0.6), (1, 8, 20, 0.9), (2, 18, 25, 0.6), (0, 0, 10, 0.5)]
     assert reconciled_kinds(spans) == [0, 2]

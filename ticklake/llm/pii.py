@@ -5,12 +5,13 @@ run, so looking at runs alone finds exactly what looking at whole texts does).
 
 The network is trained here, in numpy, from labelled spans: windows of made-up text with e-mail
 addresses, addresses of hosts, card and phone numbers in many shapes, and look-alikes without a label.
-Texts are cut into overlapping windows; a window without a digit and without an at sign can't hold
-any of the kinds and isn't run. Each window is decoded by Viterbi into spans with a confidence, spans
+Texts are cut into overlapping windows; a window without a digit, an at sign and an "at" or "dot" in
+brackets can't hold a span that plausible() lets through and isn't run. Each window is decoded by Viterbi into spans with a confidence, spans
 cut by a window's edge are left to its neighbour, and per document the spans of all windows are
 reconciled: of those that overlap, the set with the highest total confidence stays (weighted interval
-scheduling). Model spans are added where no pattern's span is and where the span's own text is in
-order (Luhn for cards, digits and separators for phones).
+scheduling). A span on a piece of an address with "at" in brackets is widened to all of it. Model spans
+are added where no pattern's span is and where the span's own text is in order (Luhn for cards, digits
+and separators for phones).
 
 Null and empty texts have no spans. Offsets count code points; ends are exclusive.
 """
@@ -32,6 +33,7 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+BRACKETED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+((\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)+")
 
 WINDOW, STRIDE, HIDDEN = 96, 48, 16
 CONFIDENT = 0.85
@@ -377,6 +379,15 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _widened(text: str, a: int, b: int) -> tuple[int, int]:
+    """The whole address with a bracketed "at" that a span holds a piece of, or the span."""
+    lo = max(0, a - WINDOW)
+    for m in BRACKETED.finditer(text[lo : b + WINDOW]):
+        if lo + m.start() < b and a < lo + m.end():
+            return lo + m.start(), lo + m.end()
+    return a, b
+
+
 def plausible(kind: int, text: str) -> bool:
     """Whether a model span's own text is in order for its kind."""
     digits = sum(c in _DIGITS for c in text)
@@ -389,9 +400,23 @@ def plausible(kind: int, text: str) -> bool:
     return 9 <= digits <= 15 and bool(re.fullmatch(r"(00|\+)?[0-9]*[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{2,5}", text))
 
 
+def anchors(chars: np.ndarray) -> np.ndarray:
+    """Places of digits, at signs, and of "at" and "dot" in brackets: every span that plausible() lets through holds one."""
+    open_, close = (chars == 91) | (chars == 40), (chars == 93) | (chars == 41)
+    found = _IS_DIGIT[chars] | (chars == 64)
+    for word in (b"at", b"dot"):
+        n = len(word) + 1
+        if len(chars) > n:
+            here = open_[:-n] & close[n:]
+            for k, c in enumerate(word):
+                here &= chars[k + 1 : len(chars) - n + k + 1] == c
+            found[:-n] |= here
+    return np.flatnonzero(found)
+
+
 def model_spans(model: dict, chars: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
     """(kind, start, end) that the network finds, by document (those with any)."""
-    at = np.flatnonzero(_IS_DIGIT[chars] | (chars == 64))
+    at = anchors(chars)
     if not len(at):
         return {}
     doc = np.searchsorted(offsets, at, "right") - 1
@@ -415,8 +440,8 @@ def model_spans(model: dict, chars: np.ndarray, offsets: np.ndarray) -> dict[int
     for i, spans in found.items():
         text = chars[offsets[i] : offsets[i + 1]].tobytes().decode("latin-1")
         for kind, a, b, s in reconciled(spans):
-            a, b = _trimmed(text, a, b)
-            if s >= CONFIDENT and plausible(kind, text[a:b]):
+            a, b = _widened(text, *_trimmed(text, a, b)) if kind == 0 else _trimmed(text, a, b)
+            if s >= CONFIDENT and plausible(kind, text[a:b]) and (kind, a, b) not in out.get(i, []):
                 out.setdefault(i, []).append((kind, a, b))
     return out
 
