@@ -417,6 +417,59 @@ def test_secrets_equal_brute_force(spark):
         assert set(filter(None, base.split(","))) <= set(rows[i]["spans"].split(","))
 
 
+def secrets_by_hand(t):
+    """Pattern spans, and the candidates that overlap none, are on no allow-list and reach their class's threshold."""
+    base = base_secrets(t)
+    part = "(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,4})"
+    allowed = (secret_scan.ALLOWED[0], secret_scan.ALLOWED[1], f"^{part}(?:[-_/+=]+{part})+$", *secret_scan.ALLOWED[3:])
+    out = list(base)
+    for m in re.finditer(secret_scan.CANDIDATE, t):
+        s = m[0]
+        if any(a < m.end() and m.start() < z for a, _, z in base) or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or any(re.search(p, s) for p in allowed):
+            continue
+        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else "mixed" if re.search("[a-z]", s) and re.search("[A-Z]", s) else "single"
+        top = max(-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
+        assert abs(top - secret_scan.THRESHOLDS[kind]) > 1e-9 or top >= secret_scan.THRESHOLDS[kind] - 1e-12
+        if top >= secret_scan.THRESHOLDS[kind] - 1e-12:
+            out.append((m.start(), 3, m.end()))
+    return base, sorted(out)
+
+
+def test_all_secret_spans_equal_brute_force(spark):
+    rng = random.Random(41)
+    letters = ["abcdef0123456789", "ABCDEF0123456789", "aB1-_/+=xYz9", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    run = lambda: "".join(rng.choice(x) for x in [rng.choice(letters)] for _ in range(rng.randrange(10, 90)))
+    glue = [" ", "\n", "é", ".", " password=", "token: '", "-", "_", "AKIA", "example", "=", " abc-def-12 "]
+    texts = ["".join(run() + rng.choice(glue) for _ in range(rng.randrange(1, 300 if i % 20 == 0 else 8))) for i in range(160)] + ["0123" * 5, None]
+    rows = {r["doc_id"]: r for r in secret_scan.report(frame(spark, texts)).collect()}
+    hidden = {r["doc_id"]: r["text"] for r in secret_scan.masked(frame(spark, texts), mask="#").collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        base, want = secrets_by_hand(t)
+        assert rows[i]["spans"] == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want), t
+        assert [rows[i][f"n_{k}"] for k in secret_scan.KINDS[:3]] == [sum(x[1] == k for x in base) for k in range(3)]
+        found += len(want) - len(base)
+        at, out = 0, ""
+        for a, _, b in want:
+            out += t[at:a] + "#" if a >= at else ""
+            at = max(at, b)
+        assert hidden[i] == out + t[at:]
+    assert found > 100
+
+
+def test_secrets_in_candidates_and_lists_of_a_million_characters(spark):
+    rng = random.Random(3)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(rng.choices(chars, k=1_000_000))
+    slug = "-".join("".join(rng.choices("abcdefgh", k=2)) for _ in range(340_000))
+    many = " ".join(f"{rng.getrandbits(64):016x}" for _ in range(50_000))
+    rows = {r["doc_id"]: r for r in secret_scan.report(frame(spark, [run, slug, many, "token=abcdefabcdef1 " * 40_000, "a1" * 500_000])).collect()}
+    assert [rows[k]["spans"] for k in (0, 1, 4)] == ["entropy:0:1000000", "", ""] or rows[4]["spans"].startswith("hex")
+    assert rows[2]["n_hex"] == 50_000 and rows[3]["n_assign"] == 40_000
+    assert rows[2]["spans"].split(",")[-1] == f"hex:{17 * 49_999}:{17 * 50_000 - 1}"
+
+
 def test_entropy_by_steps_equals_entropy_of_windows(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("aAbB01xyz") for _ in range(rng.randrange(20, 60))) for _ in range(40)]
