@@ -7,6 +7,7 @@ calls. A null text counts as empty everywhere. Chunks hold about CHUNK bytes, or
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,14 +33,35 @@ LOWER[65:91] += 32
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under the shared folder in spark.checkpoint.dir, which is set if it is unset."""
+    """A new folder's URI under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The URI in spark.checkpoint.dir. In one process (local mode) an unset one is set to a temporary folder; a cluster must name one that all its machines see."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ticklake-"))
         base = spark.sparkContext.getCheckpointDir()
     if "://" not in base and base.startswith("/"):
         base = f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def shared_file(spark: SparkSession, name: str, make: Callable[[], bytes]) -> bytes:
+    """The bytes of a file in the shared folder; if it isn't there, make()'s, put there under that name in one move."""
+    fs, path = pafs.FileSystem.from_uri(f"{shared_folder(spark)}/{name}")
+    if fs.get_file_info(path).type == pafs.FileType.File:
+        with fs.open_input_stream(path, compression=None) as f:
+            return f.read()
+    data, part = make(), f"{path}.{uuid.uuid4().hex[:12]}"
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(part, compression=None) as f:
+        f.write(data)
+    fs.move(part, path)
+    return data
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

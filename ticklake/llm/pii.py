@@ -1,31 +1,41 @@
 """Personal data by patterns and by a character-level bidirectional LSTM with CRF transitions.
 
 Pattern matches are found in the runs of characters that can hold them (a match never leaves its
-run, so looking at runs alone finds exactly what looking at whole texts does).
+run, so looking at runs alone finds exactly what looking at whole texts does), each in time linear in
+its run: an address is looked for from its at sign backwards, numbers with dots by whole parts.
 
 The network is trained here, in numpy, from labelled spans: windows of made-up text with e-mail
 addresses, addresses of hosts, card and phone numbers in many shapes, and look-alikes without a label.
-Texts are cut into overlapping windows; a window without a digit, an at sign and an "at" or "dot" in
-brackets can't hold a span that plausible() lets through and isn't run. Each window is decoded by Viterbi into spans with a confidence, spans
-cut by a window's edge are left to its neighbour, and per document the spans of all windows are
-reconciled: of those that overlap, the set with the highest total confidence stays (weighted interval
-scheduling). A span on a piece of an address with "at" in brackets is widened to all of it. Model spans
-are added where no pattern's span is and where the span's own text is in order (Luhn for cards, digits
-and separators for phones).
-
-Null and empty texts have no spans. Offsets count code points; ends are exclusive.
+Weights are kept in the shared folder by what they follow from, so one process trains for all.
+Texts are cut into overlapping windows. A window without a digit, an at sign and an "at" or "dot" in
+brackets can't hold a span that plausible() lets through and isn't run, unless a span is cut by its
+edge. Each window is decoded by Viterbi into spans with a confidence; pieces of a span that windows'
+edges cut are put together where they overlap, however long the span is, and per document the spans of
+all windows are reconciled: of those that overlap, the set with the highest total confidence stays
+(weighted interval scheduling; of equal sets that with the earlier end). A span on a piece of an
+address with "at" in brackets is widened to all of it. Model spans are added where no pattern's span
+is and where the span's own text is in order (Luhn for cards, digits and separators for phones).
+
+Null and empty texts have no spans; very long texts are read whole. Offsets count code points; ends
+are exclusive. Every row is reported by itself: rows without an id or with one that repeats stay, in
+their order; repeated texts get equal results. Only the id and the text are read, whatever other
+columns are called. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import inspect
+import io
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import Texts, map_texts
+from .common import Texts, map_texts, shared_file
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed values of the contract.
@@ -33,6 +43,10 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# The same matches, without trying again what can't succeed.
+DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
+DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 BRACKETED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+((\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)+")
 
 WINDOW, STRIDE, HIDDEN = 96, 48, 16
@@ -82,12 +96,32 @@ _IS_DIGIT = _set(_DIGITS)
 def _good(kind: int, text: str) -> bool:
     digits = "".join(c for c in text if c.isdigit())
     if kind == 1:
-        return all(int(x) <= 255 for x in text.split("."))
+        return all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in text.split(".")))
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits)
     return kind == 0 or 9 <= len(digits) <= 15
 
 
+def _matches(kind: int, run: str) -> Iterator[tuple[int, int]]:
+    """What the kind's pattern matches in a run, leftmost and without overlap."""
+    if kind == 0:
+        last, start = 0, 0  # the match before, and the name before this sign
+        for at in (i for i, c in enumerate(run) if c == "@"):
+            m = DOMAIN.match(run, at) if at > max(start, last) else None
+            if m:
+                yield max(start, last), m.end()
+                last = m.end()
+            start = at + 1
+    elif kind == 1:
+        for m in DOTTED.finditer(run):
+            ends = [m.start() - 1, *(m.start() + i for i, c in enumerate(m[0]) if c == "."), m.end()]
+            for k in range(0, len(ends) - 4, 4):
+                yield ends[k] + 1, ends[k + 4]
+    else:
+        for m in (DIGITS if kind == 2 else PHONE).finditer(run):
+            yield m.span()
+
+
 def pattern_spans(chars: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) of each document's matches, by kind, then start. chars: lead bytes of code points."""
     n = len(offsets) - 1
@@ -98,7 +132,7 @@ def pattern_spans(chars: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int
     before = np.zeros(len(chars), bool)
     before[1:] = digit[:-1]
     anchors = (chars == 64, (chars == 46) & after & before, digit, (chars == 43) & after)
-    for kind, (run, anchor, pattern) in enumerate(zip(_RUNS, anchors, (EMAIL, IP, CARD, PHONE), strict=True)):
+    for kind, (run, anchor) in enumerate(zip(_RUNS, anchors, strict=True)):
         at = np.flatnonzero(anchor)
         if not len(at):
             continue
@@ -115,91 +149,88 @@ def pattern_spans(chars: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int
             keep = sums[hi] - sums[lo] >= 13
             lo, hi, doc = lo[keep], hi[keep], doc[keep]
         for a, b, d in zip(lo, hi, doc, strict=True):
-            for m in pattern.finditer(chars[a:b].tobytes().decode("latin-1")):
-                if _good(kind, m[0]):
-                    out[d].append((kind, int(a - offsets[d]) + m.start(), int(a - offsets[d]) + m.end()))
+            text, first = chars[a:b].tobytes().decode("latin-1"), int(a - offsets[d])
+            out[d] += [(kind, first + x, first + y) for x, y in _matches(kind, text) if _good(kind, text[x:y])]
     return out
 
 
 # --- the network -----------------------------------------------------------------------------
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
-def _lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool = False):
-    """x (steps, batch) of classes -> hidden states (steps, batch, HIDDEN); keep: with what the gradient needs."""
+def _states(model: dict, x: np.ndarray) -> tuple[np.ndarray, list]:
+    """Hidden states of both directions over classes x (steps, batch), as (2, steps, batch, HIDDEN) in each one's order, and what the gradient needs."""
     steps, batch = x.shape
-    table = (w + b).astype(np.float32)
-    u = u.astype(np.float32)
-    h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-    hs, kept = np.empty((steps, batch, HIDDEN), np.float32), []
+    into = np.stack([(model[f"w{d}"] + model[f"b{d}"]).astype(np.float32)[x[::step]] for d, step in ((0, 1), (1, -1))])
+    u = np.stack([model["u0"], model["u1"]]).astype(np.float32)
+    h = c = np.zeros((2, batch, HIDDEN), np.float32)
+    hs, cs, gates, tcs = (np.empty((2, steps, batch, n), np.float32) for n in (HIDDEN, HIDDEN, 4 * HIDDEN, HIDDEN))
     for t in range(steps):
-        z = table[x[t]] + h @ u
-        s = _sigmoid(z[:, : 3 * HIDDEN])
-        g = np.tanh(z[:, 3 * HIDDEN :])
-        i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
-        last_h, last_c = h, c
+        z = into[:, t] + h @ u
+        z[..., : 3 * HIDDEN] *= 0.5
+        np.tanh(z, out=z)
+        z[..., : 3 * HIDDEN] = 0.5 * z[..., : 3 * HIDDEN] + 0.5
+        i, f, o, g = (z[..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
         c = f * c + i * g
         tc = np.tanh(c)
         h = o * tc
-        hs[t] = h
-        if keep:
-            kept.append((last_h, last_c, i, f, o, g, tc))
-    return hs, kept
-
-
-def _lstm_back(x: np.ndarray, u: np.ndarray, kept: list, dhs: np.ndarray):
-    dw, du = np.zeros((N_CLASS, 4 * HIDDEN)), np.zeros_like(u)
-    db = np.zeros(4 * HIDDEN)
-    dh, dc = np.zeros(dhs.shape[1:]), np.zeros(dhs.shape[1:])
-    for t in range(len(kept) - 1, -1, -1):
-        last_h, last_c, i, f, o, g, tc = kept[t]
-        dh = dh + dhs[t]
-        dc = dc + dh * o * (1 - tc**2)
-        dz = np.hstack([dc * g * i * (1 - i), dc * last_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g**2)])
-        np.add.at(dw, x[t], dz)
-        du += last_h.T @ dz
-        db += dz.sum(0)
-        dh, dc = dz @ u.T, dc * f
-    return dw, du, db
+        hs[:, t], cs[:, t], gates[:, t], tcs[:, t] = h, c, z, tc
+    return hs, [cs, gates, tcs, u]
 
 
-def emissions(model: dict, x: np.ndarray) -> np.ndarray:
-    """Label scores (steps, batch, LABELS) of windows x (steps, batch)."""
-    left, _ = _lstm(x, model["w0"], model["u0"], model["b0"])
-    right, _ = _lstm(x[::-1], model["w1"], model["u1"], model["b1"])
-    return np.concatenate([left, right[::-1]], 2) @ model["v"].astype(np.float32) + model["c"].astype(np.float32)
+def _gradients(x: np.ndarray, hs: np.ndarray, kept: list, dhs: np.ndarray) -> dict:
+    """Of weights, from those of the hidden states."""
+    cs, gates, tcs, u = kept
+    _, steps, batch, _ = hs.shape
+    dz = np.empty_like(gates)
+    dh = dc = np.zeros((2, batch, HIDDEN), np.float32)
+    back = np.ascontiguousarray(u.transpose(0, 2, 1))
+    for t in range(steps - 1, -1, -1):
+        i, f, o, g = (gates[:, t, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        tc = tcs[:, t]
+        dh = dh + dhs[:, t]
+        dc = dc + dh * o * (1 - tc * tc)
+        z = dz[:, t]
+        z[..., :HIDDEN] = dc * g * i * (1 - i)
+        z[..., HIDDEN : 2 * HIDDEN] = dc * cs[:, t - 1] * f * (1 - f) if t else 0
+        z[..., 2 * HIDDEN : 3 * HIDDEN] = dh * tc * o * (1 - o)
+        z[..., 3 * HIDDEN :] = dc * i * (1 - g * g)
+        dh, dc = z @ back, dc * f
+    out = {}
+    for d, step in ((0, 1), (1, -1)):
+        flat = dz[d].reshape(-1, 4 * HIDDEN)
+        seen = np.zeros((steps * batch, N_CLASS), np.float32)
+        seen[np.arange(steps * batch), x[::step].ravel()] = 1
+        out[f"w{d}"], out[f"b{d}"] = seen.T @ flat, flat.sum(0)
+        out[f"u{d}"] = hs[d, :-1].reshape(-1, HIDDEN).T @ dz[d, 1:].reshape(-1, 4 * HIDDEN)
+    return out
+
 
+def _joint(hs: np.ndarray) -> np.ndarray:
+    return np.concatenate([hs[0], hs[1, ::-1]], 2)
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
+
+def emissions(model: dict, x: np.ndarray) -> np.ndarray:
+    """Label scores (steps, batch, LABELS) of windows x (steps, batch)."""
+    return _joint(_states(model, x)[0]) @ model["v"].astype(np.float32) + model["c"].astype(np.float32)
 
 
 def _crf_gradient(e: np.ndarray, trans: np.ndarray, y: np.ndarray):
-    """Negative log-likelihood of labels y (steps, batch), and its gradients for emissions and transitions."""
+    """Gradients of the mean negative log-likelihood of labels y (steps, batch) for emissions and transitions."""
     steps, batch, _ = e.shape
-    a = [e[0]]
-    for t in range(1, steps):
-        a.append(_logsum(a[-1][:, :, None] + trans, 1) + e[t])
-    total = _logsum(a[-1], 1)
-    b = np.zeros((batch, LABELS))
-    de, dt = np.empty_like(e), np.zeros_like(trans)
-    rows = np.arange(batch)
-    gold = e[0][rows, y[0]].copy()
-    for t in range(steps - 1, -1, -1):
-        de[t] = np.exp(a[t] + b - total[:, None])
-        de[t][rows, y[t]] -= 1
-        if t:
-            onward = e[t] + b
-            pair = np.exp(a[t - 1][:, :, None] + trans + (onward - total[:, None])[:, None, :])
-            dt += pair.sum(0)
-            np.subtract.at(dt, (y[t - 1], y[t]), 1)
-            gold += e[t][rows, y[t]] + trans[y[t - 1], y[t]]
-            b = _logsum(trans + onward[:, None, :], 2)
-    return (total - gold).sum(), de / batch, dt / batch
+    w, m = np.exp(e - e.max(2, keepdims=True)), np.exp(trans).astype(e.dtype)
+    a, b, c = np.empty_like(w), np.ones_like(w), np.empty((steps, batch, 1), e.dtype)
+    for t in range(steps):
+        now = (a[t - 1] @ m) * w[t] if t else w[0]
+        c[t] = now.sum(1, keepdims=True)
+        a[t] = now / c[t]
+    onward = np.empty_like(w)
+    for t in range(steps - 1, 0, -1):
+        onward[t] = w[t] * b[t] / c[t]
+        b[t - 1] = onward[t] @ m.T
+    de = a * b
+    np.put_along_axis(de, y[:, :, None], np.take_along_axis(de, y[:, :, None], 2) - 1, 2)
+    dt = (a[:-1].reshape(-1, LABELS).T @ onward[1:].reshape(-1, LABELS)) * m
+    return de / batch, (dt - np.bincount((y[:-1] * LABELS + y[1:]).ravel(), minlength=LABELS * LABELS).reshape(LABELS, LABELS)) / batch
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -260,7 +291,7 @@ def labelled(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, int, in
             f"@{word()}", f"#{num(4)}", f"ISBN 978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(4)}/{num(2)}", "".join(pick("0123456789abcdef") for _ in range(32)), f"{num(2)}%", f"CC BY {num(1)}.0", card(False),
         ])
 
-    makers = (email, lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)), lambda: (lambda s: s if rng.random() < 0.5 else pick("- .").join(s[i : i + 4] for i in range(0, len(s), 4)))(card()), phone)
+    makers = (email, lambda: pick([".", ".", ".", "[.]", " . "]).join(str(x) for x in rng.integers(0, 256, 4)), lambda: (lambda s: s if rng.random() < 0.5 else pick("- .").join(s[i : i + 4] for i in range(0, len(s), 4)))(card()), phone)
     texts, spans = [], []
     for _ in range(n):
         text, found = " ".join(word() for _ in range(rng.integers(0, 9))), []
@@ -310,14 +341,12 @@ def train(rows: int = 5000, epochs: int = 9, seed: int = 3) -> dict:
         order = rng.permutation(rows)
         for at in range(0, rows - size + 1, size):
             xb, yb = x[:, order[at : at + size]], y[:, order[at : at + size]]
-            left, kept0 = _lstm(xb, model["w0"], model["u0"], model["b0"], keep=True)
-            right, kept1 = _lstm(xb[::-1], model["w1"], model["u1"], model["b1"], keep=True)
-            h = np.concatenate([left, right[::-1]], 2).astype(np.float64)
-            _, de, dt = _crf_gradient(h @ model["v"] + model["c"], model["trans"], yb)
-            dh = de @ model["v"].T
-            grads = {"v": np.einsum("tbi,tbj->ij", h, de), "c": de.sum((0, 1)), "trans": dt}
-            grads["w0"], grads["u0"], grads["b0"] = _lstm_back(xb, model["u0"], kept0, dh[:, :, :HIDDEN])
-            grads["w1"], grads["u1"], grads["b1"] = _lstm_back(xb[::-1], model["u1"], kept1, dh[::-1, :, HIDDEN:])
+            hs, kept = _states(model, xb)
+            h = _joint(hs)
+            de, dt = _crf_gradient((h @ model["v"] + model["c"]).astype(np.float32), model["trans"], yb)
+            dh = de @ model["v"].T.astype(np.float32)
+            grads = {"v": h.reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, LABELS), "c": de.sum((0, 1)), "trans": dt}
+            grads |= _gradients(xb, hs, kept, np.stack([dh[:, :, :HIDDEN], dh[::-1, :, HIDDEN:]]))
             step += 1
             rate = 0.03 * (1 - 0.95 * step / total)
             for k, g in grads.items():
@@ -333,6 +362,20 @@ def train(rows: int = 5000, epochs: int = 9, seed: int = 3) -> dict:
     return model
 
 
+def trained(spark: SparkSession, rows: int = 5000, epochs: int = 9, seed: int = 3) -> dict:
+    """train()'s weights, from the shared folder if some process has put them there."""
+    source = "".join(inspect.getsource(f) for f in (labelled, train, _states, _gradients, _crf_gradient, _classes)) + MARKS
+    name = f"pii-{rows}-{epochs}-{seed}-{hashlib.sha256(source.encode()).hexdigest()[:16]}.npz"
+
+    def made() -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **train(rows, epochs, seed))
+        return out.getvalue()
+
+    with np.load(io.BytesIO(shared_file(spark, name, made))) as kept:
+        return {k: kept[k] for k in kept.files}
+
+
 def decoded(model: dict, x: np.ndarray) -> list[list[tuple[int, int, int, float]]]:
     """Spans (kind, start, end, confidence) of each window."""
     e = emissions(model, x)
@@ -394,7 +437,7 @@ def plausible(kind: int, text: str) -> bool:
     if kind == 0:
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(@|[\[(]at[\])]) ?[A-Za-z0-9-]+( ?(\.|[\[(]dot[\])]) ?[A-Za-z0-9-]+)+", text))
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", text)) and _good(1, text)
+        return bool(re.fullmatch(r"[0-9]{1,3}( ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}", text)) and _good(1, re.sub("[^0-9.]", "", text))
     if kind == 2:
         return bool(re.fullmatch(r"[0-9]([ .-]?[0-9]){12,18}", text)) and _good(2, text)
     return 9 <= digits <= 15 and bool(re.fullmatch(r"(00|\+)?[0-9]*[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{2,5}", text))
@@ -414,6 +457,23 @@ def anchors(chars: np.ndarray) -> np.ndarray:
     return np.flatnonzero(found)
 
 
+def _whole(pieces: list[tuple]) -> list[tuple]:
+    """Pieces (kind, start, end, confidence, cut on the left, on the right) that overlap put together, by kind; those with both ends."""
+    out = []
+    for kind in range(len(KINDS)):
+        group: list[tuple] = []
+        for piece in [*sorted(p for p in pieces if p[0] == kind), None]:
+            if group and (piece is None or piece[1] >= max(p[2] for p in group)):
+                a, b = min(p[1] for p in group), max(p[2] for p in group)
+                if any(p[1] == a and not p[4] for p in group) and any(p[2] == b and not p[5] for p in group):
+                    long = sum(p[2] - p[1] for p in group)
+                    out.append((kind, a, b, sum(p[3] * (p[2] - p[1]) for p in group) / long, False, False))
+                group = []
+            if piece is not None:
+                group.append(piece)
+    return out
+
+
 def model_spans(model: dict, chars: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
     """(kind, start, end) that the network finds, by document (those with any)."""
     at = anchors(chars)
@@ -421,25 +481,34 @@ def model_spans(model: dict, chars: np.ndarray, offsets: np.ndarray) -> dict[int
         return {}
     doc = np.searchsorted(offsets, at, "right") - 1
     size = np.diff(offsets)
+    last = np.maximum(-(-(size - WINDOW) // STRIDE), 0)  # the last window of each document
     k = (at - offsets[doc]) // STRIDE
-    # Windows k and k - 1 hold the place; a window that only repeats the end of the one before isn't needed.
-    pairs = np.unique(np.concatenate([np.stack([doc, k], 1), np.stack([doc, np.maximum(k - 1, 0)], 1)]), axis=0)
-    pairs = pairs[(pairs[:, 1] == 0) | (pairs[:, 1] * STRIDE + STRIDE < size[pairs[:, 0]])]
+    # Windows k and k - 1 hold the place.
+    near = np.concatenate([np.stack([doc, np.minimum(k, last[doc])], 1), np.stack([doc, np.clip(k - 1, 0, last[doc])], 1)])
+    todo, done = {(int(d), int(j)) for d, j in np.unique(near, axis=0)}, set()
     found: dict[int, list] = {}
-    for part in range(0, len(pairs), 512):
-        d, k = pairs[part : part + 512].T
-        start = offsets[d] + k * STRIDE
-        where = start[None, :] + np.arange(WINDOW)[:, None]
-        x = np.where(where < offsets[d + 1][None, :], CLASS[chars[np.minimum(where, len(chars) - 1)]], 0)
-        for j, spans in enumerate(decoded(model, x)):
-            for kind, a, b, s in spans:
-                whole = (a > 0 or k[j] == 0) and (b < WINDOW or k[j] * STRIDE + WINDOW >= size[d[j]])
-                if whole:
-                    found.setdefault(int(d[j]), []).append((kind, a + int(k[j]) * STRIDE, b + int(k[j]) * STRIDE, s))
+    cut: dict[int, list] = {}
+    while todo:  # where an edge cuts a span, the windows beside are run too
+        pairs = np.array(sorted(todo))
+        done |= todo
+        todo = set()
+        for part in range(0, len(pairs), 512):
+            d, k = pairs[part : part + 512].T
+            start = offsets[d] + k * STRIDE
+            where = start[None, :] + np.arange(WINDOW)[:, None]
+            x = np.where(where < offsets[d + 1][None, :], CLASS[chars[np.minimum(where, len(chars) - 1)]], 0)
+            for j, spans in enumerate(decoded(model, x)):
+                i, first = int(d[j]), int(k[j]) * STRIDE
+                for kind, a, b, s in spans:
+                    left, right = a == 0 and k[j] > 0, b == WINDOW and k[j] < last[i]
+                    (cut if left or right else found).setdefault(i, []).append((kind, first + a, first + b, s, left, right))
+                    todo |= {(i, int(k[j]) + step) for step, yes in ((-1, left), (1, right)) if yes} - done
+    for i, pieces in cut.items():
+        found.setdefault(i, []).extend(_whole(pieces))
     out: dict[int, list[tuple[int, int, int]]] = {}
     for i, spans in found.items():
         text = chars[offsets[i] : offsets[i + 1]].tobytes().decode("latin-1")
-        for kind, a, b, s in reconciled(spans):
+        for kind, a, b, s in reconciled([x[:4] for x in spans]):
             a, b = _widened(text, *_trimmed(text, a, b)) if kind == 0 else _trimmed(text, a, b)
             if s >= CONFIDENT and plausible(kind, text[a:b]) and (kind, a, b) not in out.get(i, []):
                 out.setdefault(i, []).append((kind, a, b))
@@ -462,7 +531,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def report(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: counts of pattern spans by kind, their digest, and all spans as text."""
-    model = train()
+    model = trained(docs.sparkSession)
 
     def run(t: Texts) -> dict:
         found = find(t, model)
@@ -474,7 +543,7 @@ def report(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
 
 def masked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, text) with every span replaced by its kind in brackets; overlapping spans are replaced as one, by the first's kind."""
-    model = train()
+    model = trained(docs.sparkSession)
 
     def run(t: Texts) -> dict:
         out = []
