@@ -1,5 +1,6 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ticklake.llm import classifier, decontam, hmm, minhash, mixing, pii, quality_rules, queries, secret_scan, token_files, warc
-from ticklake.llm.common import as_texts, chunks
+from ticklake.llm.common import as_texts, chunks, dealt_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -665,14 +666,63 @@ class Bytes:
 def test_salvage_goes_on_after_damage(compress):
     recs, body = records(6, compress)
     whole = warc.Salvage(Bytes(b"".join(recs)))
-    assert [b for _, b in whole] == body and whole.gaps == []
+    assert [r.block for r in whole] == body and whole.gaps == []
     bad = bytearray(recs[2])
     bad[len(bad) // 2] ^= 0xFF
     raw = recs[0] + recs[1] + bytes(bad) + b"junk between" + recs[3] + recs[4] + recs[5][:-9]
-    found = warc.Salvage(Bytes(raw))
-    assert [f["warc-record-id"] for f, _ in found] == [f"<urn:page:{k}>" for k in (0, 1, 3, 4)]
     start = len(recs[0]) + len(recs[1])
-    assert [(a, b) for a, b, _ in found.gaps] == [(start, start + len(bad) + 12), (len(raw) - len(recs[5]) + 9, len(raw))]
+    for again in (None, lambda at: Bytes(raw[at:])):
+        found = warc.Salvage(Bytes(raw), again=again)
+        assert [r.fields["warc-record-id"] for r in found] == [f"<urn:page:{k}>" for k in (0, 1, 3, 4)]
+        assert [(a, b) for a, b, _ in found.gaps] == [(start, start + len(bad) + 12), (len(raw) - len(recs[5]) + 9, len(raw))]
+
+
+def test_records_of_other_writers():
+    body = b"<p>hello</p>" * 30
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    kinds = [
+        ([("WARC-Payload-Digest", sha1(body)), ("WARC-Block-Digest", sha1(http))], True), ([("WARC-Payload-Digest", "sha256:" + hashlib.sha256(body).hexdigest())], True), ([], True),
+        ([("WARC-Payload-Digest", "sha256:" + hashlib.sha256(http).hexdigest())], False), ([("WARC-Block-Digest", sha1(body))], False), ([("WARC-Payload-Digest", "blake3:00")], True),
+    ]
+    raw = b"".join(warc.encode([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{k}>"), ("Content-Type", "application/http; msgtype=response"), *f], http) for k, (f, _) in enumerate(kinds))
+    found = warc.Salvage(Bytes(raw))
+    got = list(found)
+    assert [r.fields["warc-record-id"] for r in got] == [f"<urn:{k}>" for k, (_, ok) in enumerate(kinds) if ok] and len(found.gaps) == 1  # two bad records side by side
+    assert {(r.size, r.digest) for r in got} == {(len(body), hashlib.sha256(body).hexdigest())} and got[0].block == http
+    chunked = http.replace(b"Content-Type", b"Transfer-Encoding: chunked\r\nContent-Type")
+    assert len(list(warc.Salvage(Bytes(warc.encode([("WARC-Type", "response"), ("Content-Type", "application/http"), ("WARC-Payload-Digest", sha1(b"else"))], chunked))))) == 1
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_long_records_are_read_without_being_held(compress):
+    body = [b"x" * 3_000_000, b"short", bytes(range(256)) * 20_000]
+    recs = [warc.page_record(i, "u", b, hashlib.sha256(b).hexdigest(), None, "t", compress) for i, b in enumerate(body)]
+    raw = b"".join(recs)
+    found = warc.Salvage(Bytes(raw), 1000, lambda at: Bytes(raw[at:]))
+    most = 0
+    for k, r in enumerate(found):
+        assert (r.size, r.digest, r.block) == (len(body[k]), hashlib.sha256(body[k]).hexdigest(), body[k] if k == 1 else None)
+        assert (r.start, r.end) == (sum(map(len, recs[:k])), sum(map(len, recs[: k + 1])))
+        most = max(most, len(found.buf))
+    assert k == 2 and most < 2000
+
+
+def test_one_payload_on_most_pages(spark):
+    page = "<html>error</html>" * 20
+    rows = [(i, "u", page if i % 10 else f"{page}{i}") for i in range(3000, 0, -1)] + [(7, "again", page)]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 3001
+    for r in got:
+        copy = r["page_id"] % 10 != 0 and r["page_id"] > 1
+        assert (r["record_type"], r["refers_to"]) == (("revisit", 1) if copy else ("response", None))
+
+
+def test_dealt_join(spark):
+    left = spark.range(0, 5000).selectExpr("if(id < 4000, 1, id) AS k", "id AS v")
+    right = spark.range(0, 4800).selectExpr("id AS k", "id * 2 AS w")
+    got = dealt_join(left, right, "k", "left").collect()
+    assert sorted((r["k"], r["v"], r["w"]) for r in got) == sorted((1 if v < 4000 else v, v, 2 if v < 4000 else 2 * v if v < 4800 else None) for v in range(5000))
 
 
 def test_archives_round_trip(spark):

@@ -72,8 +72,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with a larger share of a join's rows than one in so many is dealt into pieces.
+SHARE = 1024
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right (a row a key) on one key column, with popular keys of left dealt into pieces.
+
+    left should be a written table of narrow rows: its keys are counted first, map-side. Keys with more
+    than one part in SHARE of its rows are SHARE at most, so their list may be broadcast; each is dealt
+    by the rows' other columns into pieces of about that part, and its row of right is copied to them.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("__n"))
+    total = left.count()
+    hot = counts.where(F.col("__n") * SHARE > F.lit(total)).select(F.col(key).alias("__key"), F.ceil(F.col("__n") * SHARE / F.lit(max(1, total))).alias("__pieces"))
+    hot = F.broadcast(stored(hot, "hot-keys"))
+    rest = [c for c in left.columns if c != key] or [key]
+    a = left.join(hot, left[key] == F.col("__key"), "left").withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("__pieces")), F.lit(0).cast("long"))).drop("__key", "__pieces")
+    b = right.join(hot, right[key] == F.col("__key"), "left").withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__pieces") - 1, F.lit(0).cast("long"))))).drop("__key", "__pieces")
+    return a.join(b, [key, "__piece"], how).drop("__piece")
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches to ROWS rows: a batch is in memory whole, on both sides, and texts can be long."""
+    """Holds the session's Arrow batches to ROWS rows: a batch is in memory whole, on both sides, and texts can be long.
+
+    It is read when a plan runs, which may be long after it was made, so it isn't set back.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= ROWS:
         spark.conf.set(name, str(ROWS))
