@@ -298,8 +298,36 @@ def test_mix_meets_targets(spark):
         assert abs(sum(r["taken"] for r in v) - want[k]) <= max(r["size"] for r in v)
 
 
+def test_mix_with_few_weights_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
+    rng = random.Random(5)
+    rows = [(i % 150, " ".join(["# w"] * rng.randrange(1, 9)) if i % 2 else lorem(rng, 5), "a") for i in range(600)] + [(7, "x y", "a")] * 300 + [(None, "x y z", "a")] * 50 + [(None, f"n {i}", "b") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect())) and len(got) == len(rows)
+    taken = collections.Counter((r["doc_id"], r["size"], r["taken"] // max(1, r["size"])) for r in got)
+    times = {(d, z): t for d, z, t in taken}
+    out = collections.Counter((r["doc_id"], len(r["text"].split())) for r in mixing.mixed(docs).collect())
+    want = collections.Counter()
+    for (d, z, t), n in taken.items():
+        want[d, z] += t * n
+    assert out == +want and times[7, 2] in (0, 1, 2)
+    for source in ("a", "b"):
+        mine = [r for r in got if r["source_size"] == sum(len(x[1].split()) for x in rows if x[2] == source)]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 600  # half of the largest tie
+
+
+def test_ranges_are_even_for_small_weights(spark):
+    docs = spark.range(0, 40_000).selectExpr("id AS doc_id", "if(id % 4 = 0, 'a b c', '# # # #') AS text", "'s' AS source")
+    steps = [(1.0, 10_000), (0.25, 30_000)]
+    w = F.when(F.col("doc_id") % 4 == 0, 1.0).otherwise(0.25)
+    below = sum(n * (1 - F.exp(-x * (-F.log(mixing.uniform(F.col("doc_id"), 11)) / w))) for x, n in steps) / 40_000
+    sizes = [r["count"] for r in docs.groupBy(F.floor(below * 10)).count().collect()]
+    assert max(sizes) < 2 * min(sizes) and len(sizes) == 10
+
+
 def test_mixed_repeats_rows_and_keeps_columns(spark):
-    docs = frame(spark, [lorem(random.Random(i), 20) for i in range(60)])
+    docs = frame(spark, [lorem(random.Random(i), 20) for i in range(60)]).selectExpr("*", "1 AS row", "2 AS sid", "3 AS rank", "4 AS times", "5 AS size")
     out = mixing.mixed(docs)
     taken = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(docs).collect()}
     assert out.columns == docs.columns
@@ -581,26 +609,85 @@ def test_rare_tokens_by_join_score_like_broadcast_ones(spark, monkeypatch):
         assert a[:5] == b[:5] and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9)
 
 
+def test_rows_that_repeat_an_id_score_each_by_itself(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i % 7, lorem(rng, 20) + f" only{i}") for i in range(30)] + [(3, "same text twice over")] * 2 + [(3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(hmm.score(docs, F.lit(False), passes=1, words=8).collect())
+    monkeypatch.setattr(hmm, "KNOWN", 512)
+    split = sorted(hmm.score(docs, F.lit(False), passes=1, words=8).collect())
+    assert all(a[:5] == b[:5] and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9) and math.isclose(a["score"], b["score"], rel_tol=1e-6) for a, b in zip(whole, split, strict=True))
+    assert all(r["n_known"] == r["n_tokens"] for r in whole) and len(whole) == len(rows)
+
+
+CLASSES = hmm.WORDS + hmm.BUCKETS + 1
+
+
+def counts_by_hand(model, seq):
+    """Expected starts, transitions and emissions of one whole sequence."""
+    a, b, pi = model["a"], model["b"], model["pi"]
+    n, k = len(seq), hmm.STATES
+    al, be = np.zeros((n, k)), np.ones((n, k))
+    al[0] = pi * b[:, seq[0]]
+    al[0] /= al[0].sum()
+    for t in range(1, n):
+        al[t] = (al[t - 1] @ a) * b[:, seq[t]]
+        al[t] /= al[t].sum()
+    for t in range(n - 2, -1, -1):
+        be[t] = a @ (b[:, seq[t + 1]] * be[t + 1])
+        be[t] /= be[t].sum()
+    g = al * be
+    g /= g.sum(1, keepdims=True)
+    trans = np.zeros((k, k))
+    for t in range(1, n):
+        pair = al[t - 1][:, None] * a * (b[:, seq[t]] * be[t])[None, :]
+        trans += pair / pair.sum()
+    emit = np.zeros_like(b)
+    np.add.at(emit.T, seq.astype(int), g)
+    return np.concatenate([g[0], trans.ravel(), emit.ravel()])
+
+
+def test_expected_counts_are_those_of_whole_texts():
+    rng = np.random.default_rng(4)
+    model = hmm.start_model(classes=60)
+    seqs = [rng.integers(0, 60, n).astype("<u2") for n in (1, 5, 127, 128, 129, 256, 257, 700)]
+    for _ in range(2):
+        got = hmm.expected(model, seqs)
+        want = sum(counts_by_hand(model, s) for s in seqs)
+        assert np.allclose(got[:-1], want, rtol=2e-3, atol=2e-3)
+        assert math.isclose(got[-1], hmm.likelihood(model, seqs).sum(), rel_tol=1e-4)
+        model = hmm.updated(got)
+
+
+def test_words_with_classes_are_a_parameter(spark):
+    rng = random.Random(1)
+    docs = frame(spark, [lorem(rng, 30) for _ in range(40)])
+    few, many = (sorted(hmm.score(docs, F.col("doc_id") % 5 == 0, passes=1, words=n).collect()) for n in (10, 20_000))
+    assert all(a[:6] == b[:6] and math.isfinite(a["score"] + b["score"]) for a, b in zip(few, many, strict=True))
+    with pytest.raises(ValueError):
+        hmm.score(docs, F.lit(False), words=70_000)
+
+
 def forward_by_hand(model, seq):
-    a = model["pi"] * model["b"][:, seq[0]]
+    a, log = model["pi"] * model["b"][:, seq[0]], 0.0
     for x in seq[1:]:
-        a = (a @ model["a"]) * model["b"][:, x]
-    return math.log10(a.sum())
+        s = a.sum()
+        a, log = (a / s @ model["a"]) * model["b"][:, x], log + math.log10(s)
+    return math.log10(a.sum()) + log
 
 
 def test_likelihood_is_the_exact_forward_recursion():
     rng = np.random.default_rng(0)
     model = hmm.start_model()
-    seqs = [rng.integers(0, hmm.N_CLASSES, n).astype("<u2") for n in (1, 2, 50, 128, 129, 70, 256)]
+    seqs = [rng.integers(0, CLASSES, n).astype("<u2") for n in (1, 2, 50, 128, 129, 70, 256)]
     short = [s[:60] for s in seqs]
     assert np.allclose(hmm.likelihood(model, short), [forward_by_hand(model, s) for s in short], rtol=1e-9)
-    whole = hmm.likelihood(model, seqs)
-    assert np.isfinite(whole).all() and np.allclose(whole[:3], [forward_by_hand(model, s) for s in seqs[:3]], rtol=1e-9)
+    assert np.allclose(hmm.likelihood(model, seqs), [forward_by_hand(model, s) for s in seqs], rtol=1e-9)
 
 
 def test_baum_welch_never_loses_likelihood_and_sums_to_one():
     rng = np.random.default_rng(0)
-    seqs = [np.concatenate([rng.integers(0, 20, 60) + 40 * (k % 2), [hmm.N_CLASSES - 1]]).astype("<u2") for k in range(40)]
+    seqs = [np.concatenate([rng.integers(0, 20, 60) + 40 * (k % 2), [CLASSES - 1]]).astype("<u2") for k in range(40)]
     model, seen = hmm.start_model(), []
     for _ in range(8):
         sums = hmm.expected(model, seqs)

@@ -68,10 +68,11 @@ l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0.0)
   FROM c WINDOW b AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(level, full_at) AS level FROM l WHERE level <= full_at),
 g AS (SELECT l.source, l.source_size, least(l.cap, coalesce(l.w * f.level, l.cap)) AS target FROM l, f),
-p AS (SELECT r.id, r.size, g.source_size, g.target, coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.rank, r.id, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+p AS (SELECT r.id, r.size, g.source_size, g.target, sum(r.size) OVER (PARTITION BY r.source, r.rank, r.id, r.size) AS tied,
+  sum(r.size) OVER (PARTITION BY r.source ORDER BY r.rank, r.id, r.size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM p)
-SELECT id AS doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN before + size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM q
+SELECT id AS doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN upto - tied / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM q
 """
 
 #: Payloads are UTF-8, so DuckDB's strlen counts their bytes.
