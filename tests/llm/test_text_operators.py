@@ -114,10 +114,50 @@ def test_one_element_follows_its_permutation():
     assert sorted((sig[0] >> np.uint64(48)).tolist()) == list(range(minhash.SLOTS))
 
 
-def test_components_of_chains_and_hubs(spark):
-    edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
+def test_components_of_chains_hubs_and_trees(spark, monkeypatch):
+    written = []
+    real = minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda df, name: written.append(name) or real(df, name))
+    rng = random.Random(1)
+    chain = [(i, i + 1) for i in range(1000)]
+    up_and_down = [(2000 + (i if i % 2 else 900 - i), 2000 + (i + 1 if (i + 1) % 2 else 900 - i - 1)) for i in range(200)]
+    hub = [(9000, k) for k in range(5000, 5400)] + [(4999, k) for k in range(6000, 6400)]
+    tree = [(7000 + i, 7000 + rng.randrange(i)) for i in range(1, 300)]
+    edges = chain + up_and_down + hub + tree + [(7, 7)]
     got = {r["id"]: r["comp"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert {got[i] for i in range(51)} == {0} and {got[k] for k in range(100, 140)} == {100}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    sets = collections.defaultdict(set)
+    for i, c in got.items():
+        sets[c].add(i)
+    want = collections.defaultdict(set)
+    for x in list(parent):
+        want[find(x)].add(x)
+    assert sorted(map(sorted, sets.values())) == sorted(map(sorted, (v for v in want.values() if len(v) > 1)))
+    assert sum(n.endswith("-near") for n in written) + sum(n.endswith("-go") for n in written) <= 24
+    written.clear()
+    assert len({r["comp"] for r in minhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}) == 1
+    assert sum(n.endswith("-near") for n in written) + sum(n.endswith("-go") for n in written) <= 15
+
+
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    a, b = "a b c d e f g h", "q r s t u v w x"
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "y2"), (2, b, "z"), (3, a, "w"), (0, b + " more", "v"), (5, None, "n"), (5, None, "n2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").selectExpr("*", "1 AS hash", "2 AS id", "3 AS n", "4 AS __piece")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.groups(docs, width=4).collect())
+    assert got == sorted([(1, 5, 1, True), (1, 5, 0, False), (1, 5, 0, False), (2, 5, 0, False), (3, 5, 1, False), (0, 6, 0, True), (5, 0, 5, True), (5, 0, 5, True)])
+    out = minhash.deduplicate(docs, width=4)
+    assert out.columns == docs.columns
+    assert sorted(r["row"] for r in out.collect()) == ["n", "n2", "v", "x"]
+    again = minhash.deduplicate(spark.createDataFrame([(1, a), (1, a), (4, a)], "doc_id long, text string"), width=4)
+    assert [tuple(r) for r in again.collect()] == [(1, a)]
 
 
 def test_deduplicate_keeps_one_and_all_columns(spark):

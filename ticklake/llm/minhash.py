@@ -7,11 +7,19 @@ independent hashes. Slots filled in round j cannot change later, so a document i
 once all its slots are filled; rounds here run over all elements of a chunk at once, which gives the
 same least values as going element by element.
 
-Equal sets are merged first (a map-side min), so a group of exact copies costs one row. Bands of
-the signature make buckets of the remaining sets. In each of a few leader rounds every member of a
-bucket meets one leader of that bucket and the pair is verified on full sets; what is linked is
-united. Whatever still shares a bucket without being united is compared completely, in blocks. So no pair of a bucket goes untested unless both sides are
-in one group already, and no step makes all pairs of a group of copies.
+Equal sets are merged first (a map-side min), so a group of exact copies costs one row, a class with
+a number of its own. Bands of the signature make buckets of the classes. In each of a few leader
+rounds every member of a bucket meets one leader of that bucket and the pair is verified on full sets;
+what is linked is united. Whatever still shares a bucket without being united is compared completely,
+in blocks. So no pair of a bucket goes untested unless both sides are in one group already, and no
+step makes all pairs of a group of copies. Joins whose key can be popular (a leader, a component) deal
+such keys into pieces.
+
+A row is known by its id and its text's 64-bit hash, so rows that repeat an id are documents of their
+own unless their texts are equal too. Null texts and texts without words have empty sets and are linked
+with nothing; very long texts are read whole. Rows without an id can't be named. Ties can't be: the
+least id names a group, of rows with that id the one with the least hash stands for it. Only the id
+and the text are read, whatever other columns are called. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Texts, map_texts, mix, roll, small_batches, span_hashes, stored, word_spans
+from .common import LOWER, Texts, dealt_join, map_texts, mix, roll, small_batches, span_hashes, stored, word_spans
 
 #: Slots of a signature and bands of 4 slots: a pair at the threshold 0.8 shares no band with a
 #: chance of (1 - 0.8^4)^24 = 3e-6.
@@ -31,7 +39,7 @@ SLOTS, BANDS = 96, 24
 #: Rounds of comparing bucket members with one leader each before the rest is compared completely.
 LEADER_ROUNDS = 3
 #: Sets that a task holds while it compares others with them.
-BLOCK = 256
+BLOCK = 128
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +132,7 @@ def _set_keys(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def signatures(docs: DataFrame, width: int, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: its key, n_shingles, two halves of its set's name and band hashes."""
+    """Per document: its key and hash, n_shingles, two halves of its set's name and band hashes."""
 
     def run(t: Texts) -> dict:
         flat, off = shingle_sets(t.data, t.offsets, width)
@@ -135,13 +143,14 @@ def signatures(docs: DataFrame, width: int, *, text: str = "text", key: str = "d
         per = np.where(empty, 0, BANDS)
         return {
             key: t.ids,
+            "hash": t.batch.column("hash"),
             "n_shingles": np.diff(off),
             "set_a": a,
             "set_b": b,
             "bands": (bands[~empty].ravel(), np.concatenate([[0], np.cumsum(per)])),
         }
 
-    return map_texts(docs, run, f"{key} long, n_shingles long, set_a long, set_b long, bands array<long>", text=text, key=key)
+    return map_texts(docs, run, f"{key} long, hash long, n_shingles long, set_a long, set_b long, bands array<long>", text=text, key=key, more=("hash",))
 
 
 def full_sets(docs: DataFrame, width: int, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -175,35 +184,48 @@ def _verify(percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) pairs of set keys, those linked on full sets."""
+    """Of (a, b) pairs of classes, those linked on full sets. b may be in any number of pairs: its set is copied to pieces of them."""
     small_batches(pairs.sparkSession)
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
+    pairs = stored(pairs, "minhash-pairs")
+    right = dealt_join(pairs, sets.select(F.col("n").alias("b"), F.col("items").alias("items_b")), "b")
+    both = right.join(sets.select(F.col("n").alias("a"), F.col("items").alias("items_a")), "a").select("a", "b", "items_a", "items_b")
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(id, comp): the least id reachable over edges (a, b), for all ids on an edge.
+    """(id, comp): a number for each group of ids that edges (a, b) join, the number of one of them.
 
-    Each round hooks every id to its least neighbour, follows that once more, renames the edges and
-    drops those within one name. Names only fall, so it ends; rounds grow with the log of a
-    component's width. Sums and mins are taken map-side, so a hub costs no more than other ids.
+    In a round every id goes to its least neighbour or every id to its greatest, whichever moves more
+    (at least half of the ids move, as none is both the least and the greatest around it). Pointers are
+    followed by doubling until they stand still, edges get the new names, and those within one name go.
+    So rounds are at most the logarithm of the number of ids, and so are the steps in one. Least and
+    greatest are taken map-side, and joins deal hubs into pieces.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = stored(edges, f"{name}-edges")
-    labels = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id"))
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+    labels = None
     while edges.head(1):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("to")), f"{name}-hook")
-        far = hook.select(F.col("id").alias("to"), F.col("to").alias("to2"))
-        jump = stored(hook.join(far, "to", "left").select("id", F.coalesce("to2", "to").alias("to")), f"{name}-jump")
-        labels = labels.join(jump.select(F.col("id").alias("comp"), "to"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-        labels = stored(labels, f"{name}-labels")
-        by_a, by_b = jump.select(F.col("id").alias("a"), F.col("to").alias("ta")), jump.select(F.col("id").alias("b"), F.col("to").alias("tb"))
-        edges = edges.join(by_a, "a").join(by_b, "b").where("ta <> tb").select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b")).distinct()
-        edges = stored(edges, f"{name}-edges")
-    return labels
+        near = stored(both.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")), f"{name}-near")
+        down, up = near.agg(F.count(F.when(F.col("lo") < F.col("a"), 1)), F.count(F.when(F.col("hi") > F.col("a"), 1))).first()
+        to = F.least("lo", "a") if down >= up else F.greatest("hi", "a")
+        go = stored(near.select(F.col("a").alias("id"), to.alias("to")), f"{name}-go")
+        while True:
+            far = go.select(F.col("id").alias("to"), F.col("to").alias("to2"))
+            go = stored(dealt_join(go, far, "to").select("id", F.col("to2").alias("to"), (F.col("to2") != F.col("to")).alias("moved")), f"{name}-go")
+            if not go.where("moved").head(1):
+                break
+            go = go.drop("moved")
+        go = go.drop("moved")
+        if labels is None:
+            labels = go.withColumnRenamed("to", "comp")
+        else:
+            # What is in no edge any more keeps its name.
+            labels = dealt_join(labels, go.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+            labels = stored(labels, f"{name}-labels")
+        ends = dealt_join(edges, go.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a").select("ta", "b")
+        ends = dealt_join(stored(ends, f"{name}-half"), go.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b").where("ta <> tb")
+        edges = stored(ends.select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b")).distinct(), f"{name}-edges")
+    return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
 
 
 def _rest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -241,35 +263,37 @@ def _rest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
-def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: key, n_shingles, component_id (the least key reachable over links) and kept.
+def _named(docs: DataFrame, text: str, key: str, *more) -> DataFrame:
+    t = F.col(text).cast("string")
+    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("hash"), t.alias("text"), *more)
 
-    Links are pairs with 100 * intersection >= percent * union of their shingle sets. Nulls and
-    texts without words have empty sets and are linked with nothing. Rows without a key can't be named
-    and are left out; of rows that repeat a key the sets are taken together where they are equal, else
-    one of them stands for the key. Other columns are ignored.
-    """
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row of (id, hash, text) with an id: id, hash, n_shingles, component_id, and the hash of the row with that id that stands for the group (first)."""
+    docs = docs.where("id is not null")
     sig = stored(signatures(docs, width, key="id"), "minhash-signatures")
     named = ["n_shingles", "set_a", "set_b"]
-    classes = sig.where("n_shingles > 0").groupBy(*named).agg(F.min("id").alias("rep"))
-    alone = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("id"), F.lit(True).alias("is_rep")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    rows = stored(alone.select("id", "bands"), "minhash-classes").select("id", F.posexplode("bands").alias("band", "bucket"))
+    classes = sig.where("n_shingles > 0").groupBy(*named).agg(F.min(F.struct("id", "hash", "bands")).alias("rep"))
+    # A class's number is written with it, so it names the class from here on.
+    classes = stored(classes.select(*named, "rep.*").withColumn("n", F.monotonically_increasing_id()), "minhash-classes")
+    rows = classes.select("n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    rows = stored(rows.join(shared, "bucket").select("id", "band", "bucket"), "minhash-buckets")
-    near = rows.select("id").distinct()
-    sets = stored(full_sets(docs.join(near, "id", "left_semi").dropDuplicates(["id"]), width, key="id"), "minhash-sets")
+    rows = stored(rows.join(shared, "bucket").select("n", "bucket"), "minhash-buckets")
+    near = classes.join(rows.select("n").distinct(), "n", "left_semi").select("id", "hash", "n")
+    texts = docs.join(near.select("id", "hash"), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).join(near, ["id", "hash"])
+    sets = stored(full_sets(texts.select("n", "text"), width, key="n"), "minhash-sets")
 
     found: DataFrame | None = None
     labels: DataFrame | None = None
     for k in range(LEADER_ROUNDS + 1):
-        left = rows.withColumn("comp", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        left = rows.withColumn("comp", F.col("n")) if labels is None else rows.join(labels.withColumnRenamed("id", "n"), "n", "left").withColumn("comp", F.coalesce("comp", "n"))
         if k < LEADER_ROUNDS:
-            # The first round takes the least id, later ones the least of a hash, of each bucket.
-            order = F.col("id") if k == 0 else F.xxhash64(F.lit(k), "id")
-            lead = left.groupBy("bucket").agg(F.min_by(F.struct("id", "comp"), order).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-            pairs = left.join(lead, "bucket").where("comp <> lead.comp").select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct()
-            links = verified(pairs, sets, percent)
+            # The first round takes the least number, later ones the least of a hash, of each bucket.
+            order = F.col("n") if k == 0 else F.xxhash64(F.lit(k), "n")
+            left = stored(left, f"minhash-members{k}")
+            lead = left.groupBy("bucket").agg(F.min_by(F.struct("n", "comp"), order).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+            met = dealt_join(left, stored(lead.select("bucket", F.col("lead.n").alias("leader"), F.col("lead.comp").alias("other")), f"minhash-leaders{k}"), "bucket")
+            links = verified(met.where("comp <> other").select(F.col("n").alias("a"), F.col("leader").alias("b")).distinct(), sets, percent)
         else:
             links = _remaining(left, sets, percent)
         links = stored(links, f"minhash-links{k}")
@@ -279,12 +303,30 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "t
             continue
         found = links if found is None else found.union(links)
         labels = components(found, f"minhash-round{k}")
-    comp = sig.join(classes, named, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
     if labels is not None:
-        comp = comp.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left")
+        # Of each group, the row with the least id and of these the least hash.
+        member = stored(labels.join(classes.select(F.col("n").alias("id"), F.struct(F.col("id").alias("id"), "hash").alias("row")), "id"), "minhash-members")
+        best = stored(member.groupBy("comp").agg(F.min("row").alias("best")), "minhash-best")
+        best = stored(dealt_join(member.select("id", "comp"), best, "comp").select(F.col("id").alias("n"), "best"), "minhash-of")
+        classes = classes.join(best, "n", "left")
     else:
-        comp = comp.withColumn("comp", F.lit(None).cast("long"))
-    return comp.select(F.col("id").alias(key), "n_shingles", F.coalesce("comp", "rep").alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
+        classes = classes.withColumn("best", F.lit(None).cast("struct<id:bigint,hash:bigint>"))
+    classes = stored(classes.select(*named, F.coalesce("best", F.struct("id", "hash")).alias("best")), "minhash-answers")
+    rows = sig.select("id", "hash", *named)
+    some = classes.withColumn("set", F.struct(*named)).select("set", "best")
+    rows = dealt_join(stored(rows.where("n_shingles > 0").select(F.struct(*named).alias("set"), "id", "hash"), "minhash-rows"), some, "set").select(
+        "id", "hash", F.col("set.n_shingles").alias("n_shingles"), F.col("best.id").alias("component_id"), F.col("best.hash").alias("first"))
+    return rows.union(sig.where("n_shingles = 0").select("id", "hash", "n_shingles", F.col("id").alias("component_id"), F.col("hash").alias("first")))
+
+
+def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per document: key, n_shingles, component_id (the least key reachable over links) and kept.
+
+    Links are pairs with 100 * intersection >= percent * union of their shingle sets. Rows without a
+    key are left out; rows that repeat one are reported each by its own text.
+    """
+    found = _grouped(_named(docs, text, key), width, percent)
+    return found.select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def _remaining(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -296,18 +338,20 @@ def _remaining(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt into pieces, so neither side of a task grows with a group.
     """
     small_batches(left.sparkSession)
-    counts = left.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = stored(left.join(main, "bucket").select("bucket", "id", "comp", "main"), "minhash-open")
-    ask = open_.where("comp <> main").groupBy("id", "comp").agg(F.min("main").alias("home"))
+    counts = left.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    main = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    left = stored(left, "minhash-members")
+    open_ = stored(dealt_join(left, stored(main.select("bucket", "main"), "minhash-main"), "bucket").select("bucket", "n", "comp", "main"), "minhash-open")
+    ask = open_.where("comp <> main").groupBy("n", "comp").agg(F.min("main").alias("home"))
+    ask = stored(ask, "minhash-homes")
     near = ask.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    ask = stored(ask.join(near, "home").select("id", "comp", F.xxhash64("home", F.pmod(F.xxhash64("id"), "blocks")).alias("block")), "minhash-asking")
-    blocks = open_.where("comp <> main").join(ask.select("id", "block"), "id").select("bucket", "block").distinct()
-    meet = stored(open_.join(blocks, "bucket").select("id", "comp", "block").distinct(), "minhash-asked")
-    pieces = meet.groupBy("block").agg(F.ceil(F.count("*") / (8 * BLOCK)).alias("pieces"))
-    meet = meet.join(pieces, "block").select("block", F.pmod(F.xxhash64("id"), "pieces").alias("piece"), F.lit(False).alias("asking"), "id", "comp")
-    ask = ask.join(pieces, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(True).alias("asking"), "id", "comp")
-    rows = ask.union(meet).join(sets, "id").select(F.xxhash64("block", "piece").alias("part"), "asking", "id", "comp", "items")
+    ask = stored(dealt_join(ask, near, "home").select("n", "comp", F.xxhash64("home", F.pmod(F.xxhash64("n"), "blocks")).alias("block")), "minhash-asking")
+    blocks = open_.where("comp <> main").join(ask.select("n", "block"), "n").select("bucket", "block").distinct()
+    meet = stored(open_.join(blocks, "bucket").select("n", "comp", "block").distinct(), "minhash-asked")
+    pieces = stored(meet.groupBy("block").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("pieces")), "minhash-pieces")
+    meet = meet.join(pieces, "block").select("block", F.pmod(F.xxhash64("n"), "pieces").alias("piece"), F.lit(False).alias("asking"), "n", "comp")
+    ask = ask.join(pieces, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(True).alias("asking"), "n", "comp")
+    rows = ask.union(meet).join(sets, "n").select(F.xxhash64("block", "piece").alias("part"), "asking", F.col("n").alias("id"), "comp", "items")
     rows = rows.repartition("part").sortWithinPartitions(F.col("part"), F.col("asking").desc())
     return rows.mapInArrow(lambda b: _rest(b, percent), "a long, b long").distinct()
 
@@ -315,12 +359,15 @@ def _remaining(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def deduplicate(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents with one of each group, that with the least key, and all their columns.
 
-    Rows that repeat a key are one document. Rows without a key are linked with nothing and stay.
+    Rows that repeat a key are documents of their own, unless their texts are equal too: then one of
+    them stays. Rows without a key or without words are linked with nothing and stay.
     """
-    found = stored(groups(docs, width=width, percent=percent, text=text, key=key).select(key, "kept"), "minhash-groups")
-    gone = found.where("not kept").select(key).distinct()
-    again = found.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
-    out = docs.join(gone, key, "left_anti").select(docs.columns)
+    rows = _named(docs, text, key, F.struct(*docs.columns).alias("row")).drop("text")
+    found = stored(_grouped(_named(docs, text, key), width, percent), "minhash-groups").where("n_shingles > 0")
+    gone = found.where("id <> component_id OR hash <> first").select("id", "hash").distinct()
+    again = found.where("id = component_id AND hash = first").groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select("id", "hash")
+    out = rows.join(gone, ["id", "hash"], "left_anti")
     if again.head(1):
-        out = out.join(again, key, "left_anti").select(docs.columns).union(out.join(again, key, "left_semi").dropDuplicates([key]).select(docs.columns))
-    return out
+        twice = out.join(again, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+        out = out.join(again, ["id", "hash"], "left_anti").unionByName(twice)
+    return out.select("row.*")
