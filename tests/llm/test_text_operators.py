@@ -123,6 +123,7 @@ def test_components_of_chains_hubs_and_trees(spark, monkeypatch):
     up_and_down = [(2000 + (i if i % 2 else 900 - i), 2000 + (i + 1 if (i + 1) % 2 else 900 - i - 1)) for i in range(200)]
     hub = [(9000, k) for k in range(5000, 5400)] + [(4999, k) for k in range(6000, 6400)]
     tree = [(7000 + i, 7000 + rng.randrange(i)) for i in range(1, 300)]
+    monkeypatch.setattr("ticklake.llm.common.PLENTY", 50)
     edges = chain + up_and_down + hub + tree + [(7, 7)]
     got = {r["id"]: r["comp"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {}
@@ -419,6 +420,16 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontam.clean(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_items_without_an_id_and_with_repeated_ones(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"see {item} here"), (1, "eleven twelve thirteen fourteen fifteen"), (2, "nothing")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, "eleven twelve thirteen fourteen fifteen"), (4, item), (4, "eleven twelve thirteen fourteen fifteen"), (None, None)], "item_id long, text string")
+    got = decontam.leaks(docs, bench)
+    assert sorted((r["doc_id"], r["item_id"] or 0) for r in got.collect()) == [(1, 0), (1, 0), (1, 4), (1, 4)]
+    assert [r["doc_id"] for r in decontam.clean(docs, bench).collect()] == [2]
+    assert decontam.leaks(docs, bench.limit(0)).count() == 0
+
+
 def test_recall_near_the_threshold():
     rng = random.Random(2)
     items = decontam.Items(list(range(60)), [lorem(rng, 35) for _ in range(60)])
@@ -845,7 +856,9 @@ def test_one_payload_on_most_pages(spark):
         assert (r["record_type"], r["refers_to"]) == (("revisit", 1) if copy else ("response", None))
 
 
-def test_dealt_join(spark):
+@pytest.mark.parametrize("plenty", [10, 10_000])
+def test_dealt_join(spark, monkeypatch, plenty):
+    monkeypatch.setattr("ticklake.llm.common.PLENTY", plenty)
     left = spark.range(0, 5000).selectExpr("if(id < 4000, 1, id) AS k", "id AS v")
     right = spark.range(0, 4800).selectExpr("id AS k", "id * 2 AS w")
     got = dealt_join(left, right, "k", "left").collect()

@@ -2,11 +2,18 @@
 
 Statistics of each whole text (lengths, shares of kinds of characters, repetition, entropy) are
 scaled, mapped by cos(w x + b) with Gaussian w, which approximates a Gaussian kernel, and regressed
-on labels with a ridge. Every partition adds up its part of Z'Z and Z'y (features^2 numbers), so the
-fit uses all labelled rows at any size. Scores are then calibrated: sums of labels by score bin come
-back (BINS pairs), and pool-adjacent-violators makes them monotone; between the blocks' centres the
-map is linear, so different scores stay different.
-An empty or null text has all statistics 0 and gets the score of that point.
+on labels with a ridge. Every partition adds up its part of Z'Z and Z'y (features^2 numbers, by fold),
+so the fit uses all labelled rows at any size. Scores are then calibrated on rows that the weights
+scoring them haven't seen: the sums without a fold give weights for that fold. Sums of labels by score
+bin come back (BINS pairs), and pool-adjacent-violators makes them monotone; between the blocks'
+centres the map is linear, so different scores stay different. Classes are weighed alike, so a score
+is the chance of label 1 among as many rows of either label, not at the table's own rate.
+
+An empty or null text has all statistics 0 and gets the score of that point; very long texts are
+measured whole. Every row is scored by itself, by its text alone: rows without an id or with one that
+repeats stay, equal texts score alike, and other columns may have any names. A label belongs to all rows with its id;
+of labels that repeat an id the greatest counts, null labels and labels without a document don't. Equal scores share a bin. Empty tables
+give empty ones; without labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import SPACE, Texts, chunks, map_texts, mix, small_batches, span_hashes, stored, word_spans
 from .quality_rules import _ALPHA, _CONT, _SYMBOL, _UPPER, _counts, _lut, repeated_words
 
-FEATURES, RIDGE, WIDTH, BINS = 192, 1.0, 0.35, 512
+FEATURES, RIDGE, WIDTH, BINS, FOLDS = 192, 1.0, 0.35, 512, 4
 _DIGIT, _STOP, _COMMA, _BANG = _lut(b"0123456789"), _lut(b"."), _lut(b",;:"), _lut(b"!?")
 N_STATS = 20
 
@@ -75,14 +82,14 @@ def _mapped(x: np.ndarray, model: dict) -> np.ndarray:
 
 
 def _summed(frame: DataFrame, fn, parts: int = 16) -> np.ndarray:
-    """Arrays that fn makes of each partition's (x, y), added on executors in parts, then on the driver."""
+    """Arrays that fn makes of each partition's (x, y, fold), added on executors in parts, then on the driver."""
 
     def local(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
                 x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, N_STATS)
-                got = fn(x, batch.column("y").to_numpy().astype(float))
+                got = fn(x, batch.column("y").to_numpy().astype(float), batch.column("fold").to_numpy())
                 total = got if total is None else total + got
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts]), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
@@ -117,8 +124,8 @@ def fit(stats: DataFrame, labels: DataFrame, *, label: str = "quality", key: str
     Classes are weighed alike. Without labels, or with one class only, all scores are that share (0.5 without any).
     """
     known = labels.select(F.col(key).cast("long").alias(key), F.col(label).cast("double").alias("y")).where("y is not null").groupBy(key).agg(F.max("y").alias("y"))
-    x = stored(stats.join(known, key).select("x", "y"), "quality-labelled")
-    sums = _summed(x, lambda v, y: np.concatenate([[len(y), y.sum()], v.sum(0), (v**2).sum(0)]))
+    x = stored(stats.join(known, key).select("x", "y", F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int").alias("fold")), "quality-labelled")
+    sums = _summed(x, lambda v, y, _: np.concatenate([[len(y), y.sum()], v.sum(0), (v**2).sum(0)]))
     model = {"seed": seed, "features": features, "width": width, "const": None}
     n, ones = (sums[0], sums[1]) if len(sums) > 1 else (0.0, 0.0)
     if not n or not 0 < ones < n:
@@ -127,17 +134,25 @@ def fit(stats: DataFrame, labels: DataFrame, *, label: str = "quality", key: str
     model |= {"mean": mean, "scale": np.sqrt(np.maximum(sums[2 + N_STATS :] / n - mean**2, 1e-8))}
     up, down = n / (2 * ones), n / (2 * (n - ones))
 
-    def equations(v, y):
+    def equations(v, y, fold):
         z, w = _mapped(v, model), np.where(y > 0.5, up, down)
-        return np.concatenate([((z * w[:, None]).T @ z).ravel(), (z * w[:, None]).T @ (2.0 * (y > 0.5) - 1)])
+        out = []
+        for k in range(FOLDS):
+            zk = z[fold == k]
+            wz = (zk * w[fold == k, None]).T
+            out += [(wz @ zk).ravel(), wz @ (2.0 * (y[fold == k] > 0.5) - 1)]
+        return np.concatenate(out)
 
-    sums = _summed(x, equations)
     d = 1 + N_STATS + features
-    model["beta"] = np.linalg.solve(sums[: d * d].reshape(d, d) + ridge * np.eye(d), sums[d * d :])
-
-    def binned(v, y):
-        k = _bin(_mapped(v, model) @ model["beta"])
-        return np.concatenate([np.bincount(k, np.where(y > 0.5, up, 0), BINS), np.bincount(k, np.where(y > 0.5, up, down), BINS), np.bincount(k, _mapped(v, model) @ model["beta"], BINS), np.bincount(k, minlength=BINS)])
+    sums = _summed(x, equations).reshape(FOLDS, d * d + d)
+    solved = lambda s: np.linalg.solve(s[: d * d].reshape(d, d) + ridge * np.eye(d), s[d * d :])
+    model["beta"] = solved(sums.sum(0))
+    unseen = np.stack([solved(sums.sum(0) - s) for s in sums])
+
+    def binned(v, y, fold):
+        raw = (_mapped(v, model) * unseen[fold]).sum(1)
+        k = _bin(raw)
+        return np.concatenate([np.bincount(k, np.where(y > 0.5, up, 0), BINS), np.bincount(k, np.where(y > 0.5, up, down), BINS), np.bincount(k, raw, BINS), np.bincount(k, minlength=BINS)])
 
     pos, weight, centre, rows_in = _summed(x, binned).reshape(4, BINS)
     used = rows_in > 0

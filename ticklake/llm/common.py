@@ -72,20 +72,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A key with a larger share of a join's rows than one in so many is dealt into pieces.
-SHARE = 1024
+#: A join's key is popular if it has more than PLENTY rows and more than one part in SHARE of all.
+SHARE, PLENTY = 1024, 4096
 
 
-def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
     """left joined with right (a row a key) on one key column, with popular keys of left dealt into pieces.
 
-    left should be a written table of narrow rows: its keys are counted first, map-side. Keys with more
-    than one part in SHARE of its rows are SHARE at most, so their list may be broadcast; each is dealt
-    by the rows' other columns into pieces of about that part, and its row of right is copied to them.
+    left should be a written table of narrow rows: its keys are counted first, map-side. There are at
+    most SHARE popular keys, so their list may be broadcast; each is dealt by the rows' other columns
+    into pieces of about that part, and its row of right is copied to them. rows: left's, if known (or
+    more); so few that no key can be popular aren't counted.
     """
+    if rows is not None and rows <= PLENTY:
+        return left.join(right, key, how)
     counts = left.groupBy(key).agg(F.count("*").alias("__n"))
-    total = left.count()
-    hot = counts.where(F.col("__n") * SHARE > F.lit(total)).select(F.col(key).alias("__key"), F.ceil(F.col("__n") * SHARE / F.lit(max(1, total))).alias("__pieces"))
+    total, most = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
+    if most <= PLENTY or most * SHARE <= total:
+        return left.join(right, key, how)
+    hot = counts.where(F.col("__n") > F.lit(max(PLENTY, total // SHARE))).select(F.col(key).alias("__key"), F.ceil(F.col("__n") * SHARE / F.lit(total)).alias("__pieces"))
     hot = F.broadcast(stored(hot, "hot-keys"))
     rest = [c for c in left.columns if c != key] or [key]
     a = left.join(hot, left[key] == F.col("__key"), "left").withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("__pieces")), F.lit(0).cast("long"))).drop("__key", "__pieces")

@@ -17,7 +17,12 @@ Each step leaves out only what can't be within the limit, so no stretch is misse
 are and however few words the item has.
 
 Items are read in blocks of at most BLOCK_BYTES, each broadcast to one pass over the documents.
-Empty and null texts and items hold nothing and are held by nothing.
+
+Empty and null texts and items hold nothing and are held by nothing; very long texts are searched
+whole. Items without an id are reported with a null one; items that repeat an id or a text are items
+of their own. Of places with the same distance the first is reported. leaks() leaves out documents
+without an id and reports rows that repeat one each by itself; clean() judges every row by its text
+alone and keeps all columns, whatever their names. Empty tables: no leaks, all documents kept.
 """
 
 from __future__ import annotations
@@ -60,12 +65,12 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Items:
     """A block of items: normal bytes, parts and seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str], max_share: float = MAX_SHARE):
+    def __init__(self, ids: list[int | None], texts: list[str], max_share: float = MAX_SHARE):
         raw = [t.encode() for t in texts]
         data, off, _ = normal(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
         parts = [data[a:b].tobytes().strip() for a, b in zip(off[:-1], off[1:], strict=True)]
         used = [i for i, p in enumerate(parts) if p]
-        self.ids, self.bytes = np.array([ids[i] for i in used], np.int64), [parts[i] for i in used]
+        self.ids, self.bytes = [ids[i] for i in used], [parts[i] for i in used]
         self.size = np.array([len(p) for p in self.bytes], np.int64)
         self.most = (self.size * max_share).astype(np.int64)
         data = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -270,8 +275,8 @@ def item_blocks(bench: DataFrame, *, text: str = "text", key: str = "item_id", m
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-int(total) // (block_bytes // 2)))
     for k in range(parts):
-        part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)
-        got = sorted((r["id"], r["text"]) for r in part.collect())
+        part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
+        got = sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x))
         yield Items([i for i, _ in got], [t for _, t in got], max_share)
 
 
@@ -283,7 +288,7 @@ def leaks(docs: DataFrame, bench: DataFrame, *, max_share: float = MAX_SHARE, te
         def run(t: Texts, items=items) -> dict:
             found = leaks_in(t, items) if len(items) else []
             points = lambda d, n: len(t.data[t.offsets[d] : t.offsets[d] + n].tobytes().decode("utf-8", "ignore"))
-            rows = [(int(t.ids[d]), int(items.ids[i]), s, points(d, a), points(d, b)) for d, i, s, a, b in found]
+            rows = [(int(t.ids[d]), items.ids[i], s, points(d, a), points(d, b)) for d, i, s, a, b in found]
             return dict(zip((key, "item_id", "distance", "start", "end"), map(list, zip(*rows, strict=True)) if rows else [[]] * 5, strict=True))
 
         got = map_texts(docs, run, f"{key} long, item_id long, distance long, start long, end long", text=text, key=key)

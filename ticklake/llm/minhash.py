@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Texts, dealt_join, map_texts, mix, roll, small_batches, span_hashes, stored, word_spans
+from .common import LOWER, PLENTY, Texts, dealt_join, map_texts, mix, roll, small_batches, span_hashes, stored, word_spans
 
 #: Slots of a signature and bands of 4 slots: a pair at the threshold 0.8 shares no band with a
 #: chance of (1 - 0.8^4)^24 = 3e-6.
 SLOTS, BANDS = 96, 24
 #: Rounds of comparing bucket members with one leader each before the rest is compared completely.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 #: Sets that a task holds while it compares others with them.
 BLOCK = 128
 
@@ -202,29 +202,31 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     greatest are taken map-side, and joins deal hubs into pieces.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
-    labels = None
+    labels, named = None, 0
     while edges.head(1):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = stored(both.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")), f"{name}-near")
-        down, up = near.agg(F.count(F.when(F.col("lo") < F.col("a"), 1)), F.count(F.when(F.col("hi") > F.col("a"), 1))).first()
+        near = stored(both.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.count("*").alias("n")), f"{name}-near")
+        down, up, nodes, ends = near.agg(F.count(F.when(F.col("lo") < F.col("a"), 1)), F.count(F.when(F.col("hi") > F.col("a"), 1)), F.count("*"), F.sum("n")).first()
         to = F.least("lo", "a") if down >= up else F.greatest("hi", "a")
-        go = stored(near.select(F.col("a").alias("id"), to.alias("to")), f"{name}-go")
-        while True:
-            far = go.select(F.col("id").alias("to"), F.col("to").alias("to2"))
-            go = stored(dealt_join(go, far, "to").select("id", F.col("to2").alias("to"), (F.col("to2") != F.col("to")).alias("moved")), f"{name}-go")
-            if not go.where("moved").head(1):
-                break
-            go = go.drop("moved")
-        go = go.drop("moved")
+        go, moved, named = near.select(F.col("a").alias("id"), to.alias("to")), True, named or nodes
+        while moved:  # two doublings a step
+            for last in (False, True):
+                far = go.select(F.col("id").alias("to"), F.col("to").alias("to2"))
+                go = dealt_join(go.select("id", "to"), far, "to", rows=nodes).select("id", F.col("to2").alias("to"), (F.col("to2") != F.col("to")).alias("moved"))
+                if last or nodes > PLENTY:
+                    go = stored(go, f"{name}-go")
+            moved = go.where("moved").head(1)
+        go = go.select("id", "to")
         if labels is None:
             labels = go.withColumnRenamed("to", "comp")
         else:
             # What is in no edge any more keeps its name.
-            labels = dealt_join(labels, go.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+            labels = dealt_join(labels, go.withColumnRenamed("id", "comp"), "comp", "left", rows=named).select("id", F.coalesce("to", "comp").alias("comp"))
             labels = stored(labels, f"{name}-labels")
-        ends = dealt_join(edges, go.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a").select("ta", "b")
-        ends = dealt_join(stored(ends, f"{name}-half"), go.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b").where("ta <> tb")
-        edges = stored(ends.select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b")).distinct(), f"{name}-edges")
+        half = dealt_join(edges, go.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a", rows=ends).select("ta", "b")
+        half = stored(half, f"{name}-half") if ends > PLENTY else half
+        whole = dealt_join(half, go.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b", rows=ends).where("ta <> tb")
+        edges = stored(whole.select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b")).distinct(), f"{name}-edges")
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
 
 
