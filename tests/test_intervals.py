@@ -28,7 +28,7 @@ def test_union_equals_cells(spark, pairs):
 def test_covered_and_subtracted_equal_cells(spark, spans, holes):
     spans = [(a, b) for a, b in spans if b > a] or [(0, 5)]
     h = cells(holes)
-    for r in intervals.covered(windows(spark, spans), windows(spark, holes), ["k"], bucket=7).collect():
+    for r in intervals.covered(windows(spark, spans), windows(spark, holes), ["k"]).collect():
         assert r["covered_ns"] == len(set(range(r["start_ns"], r["end_ns"])) & h)
     left = [(r["start_ns"], r["end_ns"]) for r in intervals.subtract(windows(spark, spans), windows(spark, holes), ["k"]).collect()]
     assert cells(left) == cells(spans) - h

@@ -77,9 +77,8 @@ def adverse_moves(trades: DataFrame, quotes: DataFrame, keys: list[str], horizon
     q = quotes.where("bid > 0 AND ask > bid").withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
     out = asof.asof(trades, q, keys, ts, ts, ["mid", "bid", "ask"], prefix="q_")
     out = out.withColumn("spread_bps", (F.col("q_ask") - F.col("q_bid")) / F.col("q_mid") * 1e4)
-    for h in horizons_ms:
-        out = asof.deadlines(out, q.select(*keys, ts, "mid"), keys, ts, h * 1_000_000, name="__x").withColumn(f"adverse_{h}ms", F.col("sign") * (F.col("__x") - F.col("q_mid")) / F.col("q_mid") * 1e4).drop("__x")
-    return out
+    later = asof.resolved(out, q.select(*keys, ts, "mid"), keys, ts, {f"__x{h}": h * 1_000_000 for h in horizons_ms}, mid_ts=ts)
+    return later.select(*out.columns, *[(F.col("sign") * (F.col(f"__x{h}") - F.col("q_mid")) / F.col("q_mid") * 1e4).alias(f"adverse_{h}ms") for h in horizons_ms])
 
 
 def clustered(rows: DataFrame, keys: list[str], value: str, ts: str = "ts_ns") -> DataFrame:

@@ -78,15 +78,18 @@ def hour_join(left: DataFrame, right: DataFrame, keys: list[str], left_ms: str,
     return out
 
 
-def deadlines(samples: DataFrame, mids: DataFrame, keys: list[str], ts: str, horizon: int, *, mid_ts: str = "ts_ns", mid: str = "mid", name: str = "exit_mid") -> DataFrame:
-    """samples with the mid that resolves at ts + horizon, and null if no mid is at or past that time.
+def resolved(samples: DataFrame, mids: DataFrame, keys: list[str], ts: str, horizons: dict[str, int], *, mid_ts: str = "ts_ns", mid: str = "mid") -> DataFrame:
+    """samples with, by name, the mid that resolves at ts + horizon, and null if no mid is at or past that time.
 
-    A mid at the deadline resolves it (the first of several); else the last mid before it does, once a later one exists.
-    Both windows share one shuffle by the key.
+    A mid at the deadline resolves it (the first of several); else the last mid before it does, once a later one
+    exists. All horizons are resolved in one ordering of mids and deadlines, which share a shuffle by the key;
+    samples travel once, to meet the answers of their own key and time.
     """
     seq = F.col("seq").cast("long") if "seq" in mids.columns else F.lit(0).cast("long")
-    m = mids.where(F.col(mid).isNotNull()).select(*keys, F.col(mid_ts).alias("__t"), F.lit(1).alias("__o"), F.col(mid).alias("__m"), F.lit(None).cast(_row_type(samples)).alias("__row"), seq.alias("__n"))
-    d = samples.select(*keys, (F.col(ts) + horizon).alias("__t"), F.lit(0).alias("__o"), F.lit(None).cast(m.schema["__m"].dataType).alias("__m"), F.struct(*[F.col(c) for c in samples.columns]).alias("__row"), F.lit(None).cast("long").alias("__n"))
+    m = mids.where(F.col(mid).isNotNull()).select(*keys, F.col(mid_ts).alias("__t"), F.lit(1).alias("__o"), F.col(mid).alias("__m"), seq.alias("__n"), F.lit(None).cast("long").alias("__ts"), F.lit(None).cast("int").alias("__h"))
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).cast("long").alias("h")) for i, h in enumerate(horizons.values())]))
+    asked = samples.select(*keys, F.col(ts).alias("__ts")).distinct().withColumn("__s", steps)
+    d = asked.select(*keys, (F.col("__ts") + F.col("__s.h")).alias("__t"), F.lit(0).alias("__o"), F.lit(None).cast(m.schema["__m"].dataType).alias("__m"), F.lit(None).cast("long").alias("__n"), "__ts", F.col("__s.i").alias("__h"))
     w = Window.partitionBy(*keys).orderBy("__t", "__o", "__n")
     here = F.when(F.col("__m").isNotNull(), F.struct(F.col("__t").alias("t"), F.col("__m").alias("m")))
     # The next mid is the last one in descending order: a frame to the end would be computed anew for each row.
@@ -95,7 +98,17 @@ def deadlines(samples: DataFrame, mids: DataFrame, keys: list[str], ts: str, hor
     last = F.last("__m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = m.unionByName(d).withColumn("__next", nxt).withColumn("__last", last).where("__o = 0")
     exit_ = F.when(F.col("__next").isNotNull(), F.when(F.col("__next.t") == F.col("__t"), F.col("__next.m")).otherwise(F.col("__last")))
-    return out.select("__row.*", exit_.alias(name))
+    one = out.withColumn("__x", exit_).groupBy(*keys, "__ts").agg(*[F.max(F.when(F.col("__h") == i, F.col("__x"))).alias(f"__x{i}") for i in range(len(horizons))])
+    one = one.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__ts").alias("__kt"), *[F.col(f"__x{i}").alias(f"__x{i}") for i in range(len(horizons))])
+    on = F.col(ts).eqNullSafe(F.col("__kt"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return samples.join(one, on, "left").select(*samples.columns, *[F.col(f"__x{i}").alias(n) for i, n in enumerate(horizons)])
+
+
+def deadlines(samples: DataFrame, mids: DataFrame, keys: list[str], ts: str, horizon: int, *, mid_ts: str = "ts_ns", mid: str = "mid", name: str = "exit_mid") -> DataFrame:
+    """samples with the mid that resolves at ts + horizon (see resolved)."""
+    return resolved(samples, mids, keys, ts, {name: horizon}, mid_ts=mid_ts, mid=mid)
 
 
 def returns_bps(exit_mid: Column, entry_mid: Column) -> Column:

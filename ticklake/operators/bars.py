@@ -26,15 +26,16 @@ def event_bars(rows: DataFrame, keys: list[str], order: list[str], every: int, c
 def imbalance_flags(signed: np.ndarray, threshold: float, carried: float = 0.0) -> tuple[np.ndarray, float]:
     """Where the cumulated flow reaches the threshold on either side and starts anew; and what is left."""
     out = np.zeros(len(signed), bool)
-    at, base, sums = 0, carried, np.cumsum(signed)
+    at, level, block = 0, carried, 64
     while at < len(signed):
-        level = sums[at:] - (sums[at - 1] if at else 0.0) + base
-        hit = np.flatnonzero(np.abs(level) >= threshold)
-        if not len(hit):
-            return out, float(level[-1])
-        out[at + hit[0]] = True
-        at, base = at + int(hit[0]) + 1, 0.0
-    return out, base
+        levels = level + np.cumsum(signed[at : at + block])
+        hit = np.flatnonzero(np.abs(levels) >= threshold)
+        if len(hit):
+            out[at + hit[0]] = True
+            at, level, block = at + int(hit[0]) + 1, 0.0, 64
+        else:  # look further, in larger blocks, from what is reached here
+            at, level, block = at + block, float(levels[-1]), min(2 * block, 1 << 16)
+    return out, float(level)
 
 
 def imbalance_bars(rows: DataFrame, keys: list[str], order: list[str], threshold: float, signed: str = "signed_qty") -> DataFrame:

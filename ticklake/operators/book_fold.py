@@ -10,17 +10,22 @@ from __future__ import annotations
 import json
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..schemas import BOOK
 
 #: What a fold reports for each event beside its book row.
 RESULTS = ("snapshot", "applied", "ignored", "seq_gap", "checksum_failed")
+#: Rows that a task puts out at a time.
+BATCH = 4096
 OUT = BOOK + ", result STRING, is_warmup BOOLEAN, checked BOOLEAN"
 
 
@@ -105,76 +110,92 @@ class Book:
             return "applied", True
         return "applied", False
 
-    def row(self, venue: str, symbol: str, ts: int, kind: str, seq: int | None, depth: int) -> dict:
+    def row(self, venue: str, symbol: str, ts: int, kind: str, seq: int | None, depth: int) -> tuple:
+        """The book as a stored row, in the order of schemas.BOOK."""
         bids, asks = self.best(0, depth), self.best(1, depth)
-        b, a = bids[0] if bids else None, asks[0] if asks else None
-        both = b is not None and a is not None
-        total = b[1] + a[1] if both else 0
-        return {
-            "venue": venue, "symbol": symbol, "ts_ns": ts, "exchange_ns": None, "source": "recorder", "kind": kind, "valid": self.valid,
-            "crossed": bool(both and b[0] > a[0]), "locked": bool(both and b[0] == a[0]),
-            "best_bid": float(b[0]) if b else None, "bid_qty": float(b[1]) if b else None, "best_ask": float(a[0]) if a else None, "ask_qty": float(a[1]) if a else None,
-            "mid": float((b[0] + a[0]) / 2) if both else None, "microprice": float((b[1] * a[0] + a[1] * b[0]) / total) if total else None,
-            "bid_prices": [float(p) for p, _ in bids], "bid_qtys": [float(q) for _, q in bids], "ask_prices": [float(p) for p, _ in asks], "ask_qtys": [float(q) for _, q in asks],
-            "seq": seq, "bid_n": None, "ask_n": None,
-        }
-
-
-def fold_rows(book: Book, venue: str, symbol: str, events: pd.DataFrame, depth: int, interval_ns: int, after_event: bool) -> list[dict]:
-    """Book rows of events in order: an event row each, and before it interval rows for the boundaries passed.
+        prices, sizes = [[float(p) for p, _ in side] for side in (bids, asks)], [[float(q) for _, q in side] for side in (bids, asks)]
+        crossed = locked = False
+        mid = micro = None
+        if bids and asks:
+            (b, bq), (a, aq) = bids[0], asks[0]
+            crossed, locked, mid = b > a, b == a, float((b + a) / 2)
+            micro = float((bq * a + aq * b) / (bq + aq)) if bq + aq else None
+        touch = (prices[0][0], sizes[0][0]) if bids else (None, None)
+        return (
+            venue, symbol, ts, None, "recorder", kind, self.valid, crossed, locked, *touch, *((prices[1][0], sizes[1][0]) if asks else (None, None)),
+            mid, micro, prices[0], sizes[0], prices[1], sizes[1], seq, None, None,
+        )
+
+
+#: What fold_rows takes of an event, in this order.
+EVENT = ("recv_ns", "is_snapshot", "bids", "asks", "seq", "checksum", "is_warmup")
+
+
+def fold_rows(book: Book, venue: str, symbol: str, events: Iterable[tuple], depth: int, interval_ns: int, after_event: bool) -> Iterator[tuple]:
+    """Book rows (with result, is_warmup, checked) of events in order: an event row each, and before it interval rows for the boundaries passed.
 
     An interval row shows the book as of the last event before its boundary; after_event shows it with the
     event that passed the boundary (as a stored table of the recorder has it).
     """
-    out = []
-    for e in events.itertuples(index=False):
-        ts, warm = int(e.recv_ns), bool(getattr(e, "is_warmup", False))
-        seq = None if pd.isna(e.seq) else int(e.seq)
+    for ts, is_snapshot, bids, asks, seq, checksum, warm in events:
+        warm = bool(warm)
         due = []
         if book.next_tick is None:
             book.next_tick = (ts // interval_ns + 1) * interval_ns
-        else:
-            while book.next_tick <= ts:
-                due.append(book.next_tick)
-                book.next_tick += interval_ns
-        ticks = [] if after_event else [book.row(venue, symbol, t, "interval", seq, depth) for t in due]
-        levels = [[(x["price"], x["qty"]) for x in side] if side is not None else [] for side in (e.bids, e.asks)]
-        result, checked = book.apply(bool(e.is_snapshot), *levels, seq, None if pd.isna(e.checksum) else int(e.checksum))
-        if after_event:
-            ticks = [book.row(venue, symbol, t, "interval", seq, depth) for t in due]
-        out += [t | {"result": None, "is_warmup": warm, "checked": False} for t in ticks]
-        out.append(book.row(venue, symbol, ts, "event", seq, depth) | {"result": result, "is_warmup": warm, "checked": checked})
-    return out
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    names = [c.strip().split(" ")[0] for c in OUT.replace("ARRAY<DOUBLE>", "ARRAY").split(",")]
-    pdf = pd.DataFrame(rows, columns=names)
-    for c in ("exchange_ns", "seq", "bid_n", "ask_n"):
-        pdf[c] = pdf[c].astype("Int64")
-    return pdf
+        elif book.next_tick <= ts:
+            due = range(book.next_tick, ts + 1, interval_ns)
+            book.next_tick = due[-1] + interval_ns
+        if due and not after_event:
+            for t in due:
+                yield (*book.row(venue, symbol, t, "interval", seq, depth), None, warm, False)
+        levels = [[(x["price"], x["qty"]) for x in side] if side is not None else [] for side in (bids, asks)]
+        result, checked = book.apply(bool(is_snapshot), *levels, seq, checksum)
+        if due and after_event:
+            for t in due:
+                yield (*book.row(venue, symbol, t, "interval", seq, depth), None, warm, False)
+        yield (*book.row(venue, symbol, ts, "event", seq, depth), result, warm, checked)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
 def fold(events: DataFrame, *, depth: int = 100, out_depth: int = 10, interval_ms: int = 1000, precision: dict[str, tuple[int, int]] | None = None, after_event: bool = False, keys: tuple[str, ...] = ("venue", "symbol")) -> DataFrame:
     """Book rows with result and checked of book events (see schemas.BOOK_EVENTS, with item as order within a message).
 
     precision: decimals of price and quantity by symbol, where checksums are to be compared. Rows flagged
-    is_warmup build the book and come out flagged, to be left out of tables and scores. One key's events are
-    one ordered group in one task: keys should hold the date where a warm start is given.
+    is_warmup build the book and come out flagged, to be left out of tables and scores. A key's events come to
+    one task in order and pass through one book, a batch of rows in memory at a time, however many they are;
+    where keys hold the date and a warm start is given, days run side by side.
     """
-    precision = precision or {}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["recv_ns", "item"] if "item" in pdf else ["recv_ns"], kind="stable")
-        venue, symbol = pdf["venue"].iloc[0], pdf["symbol"].iloc[0]
-        return _frame(fold_rows(Book(depth, precision.get(symbol)), venue, symbol, pdf, out_depth, interval_ms * 1_000_000, after_event))
-
-    return events.groupBy(*keys).applyInPandas(run, OUT)
+    precision, ks = precision or {}, list(keys)
+    schema = to_arrow_schema(StructType.fromDDL(OUT))
+    order = ["recv_ns", *(["item"] if "item" in events.columns else [])]
+    warm = F.col("is_warmup") if "is_warmup" in events.columns else F.lit(False).alias("is_warmup")
+    named = [F.struct(*ks).alias("key"), "venue", "symbol", *EVENT[:-1], warm]
+    rows = events.repartition(*ks).sortWithinPartitions(*ks, *order).select(*named)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, book, out = None, None, []
+        for batch in batches:
+            for key, venue, symbol, *event in zip(*(batch.column(c).to_pylist() for c in ("key", "venue", "symbol", *EVENT)), strict=True):
+                if book is None or key != last:
+                    last, book = key, Book(depth, precision.get(symbol))
+                for row in fold_rows(book, venue, symbol, (event,), out_depth, interval_ms * 1_000_000, after_event):
+                    out.append(row)
+                    if len(out) >= BATCH:
+                        yield _batch(out, schema)
+                        out = []
+        if out:
+            yield _batch(out, schema)
+
+    return rows.mapInArrow(run, OUT)
 
 
 def fold_stream(events: DataFrame, *, depth: int = 100, out_depth: int = 10, interval_ms: int = 1000, precision: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """As fold, on a stream: each (venue, symbol) keeps its book as text in the state store; events of a batch are put in order."""
     precision = precision or {}
+    names = StructType.fromDDL(OUT).names
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         venue, symbol = key
@@ -183,9 +204,10 @@ def fold_stream(events: DataFrame, *, depth: int = 100, out_depth: int = 10, int
             book.load(state.get[0])
         got = pd.concat(list(pdfs))
         got = got.sort_values(["recv_ns", "item"] if "item" in got else ["recv_ns"], kind="stable")
-        rows = fold_rows(book, venue, symbol, got, out_depth, interval_ms * 1_000_000, False)
+        events = ((int(e.recv_ns), e.is_snapshot, e.bids, e.asks, None if pd.isna(e.seq) else int(e.seq), None if pd.isna(e.checksum) else int(e.checksum), False) for e in got.itertuples(index=False))
+        rows = list(fold_rows(book, venue, symbol, events, out_depth, interval_ms * 1_000_000, False))
         state.update((book.dump(),))
-        yield _frame(rows)
+        yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("exchange_ns", "seq", "bid_n", "ask_n")})
 
     return events.groupBy("venue", "symbol").applyInPandasWithState(run, OUT, "book STRING", "append", "NoTimeout")
 

@@ -30,33 +30,26 @@ def overlaps(start: Column, end: Column, lo: Column, hi: Column) -> Column:
     return (start < hi) & (end > lo)
 
 
-def covered(spans: DataFrame, windows: DataFrame, keys: list[str], *, start: str = "start_ns", end: str = "end_ns", bucket: int | None = None) -> DataFrame:
+def covered(spans: DataFrame, windows: DataFrame, keys: list[str], *, start: str = "start_ns", end: str = "end_ns") -> DataFrame:
     """spans with covered_ns, the length that the (merged) windows of their key take of them.
 
-    Spans and windows meet in time buckets of the given length (an equi-join), so neither side is
-    broadcast and a long list of windows isn't tried against each span. Without a length it is the
-    mean one of the windows, twice over.
+    It is the covered time up to the span's end less that up to its start. Both are looked up in one
+    ordering of windows and ends, so it costs the same however long or many they are.
     """
-    windows = merge(windows, keys, start, end)
-    if bucket is None:
-        mean = windows.agg(F.avg(F.col(end) - F.col(start)).alias("m")).first()["m"]
-        bucket = max(int(2 * (mean or SECOND)), 1)
-    numbered = spans.withColumn("__span", F.struct(*[F.col(c) for c in (*keys, start, end)]))
-    sides = numbered.select("__span", *keys, start, end).distinct()
-    s, w = _dealt(sides, start, end, bucket), _dealt(windows, start, end, bucket)
-    w = w.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(start).alias("__ws"), F.col(end).alias("__we"), F.col("__b").alias("__wb"))
-    on = (F.col("__b") == F.col("__wb")) & overlaps(F.col(start), F.col(end), F.col("__ws"), F.col("__we"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    # Each bucket counts only what lies within it, so sums need no distinct pairs.
-    lo, hi = F.greatest(F.col(start), F.col("__ws"), F.col("__b") * bucket), F.least(F.col(end), F.col("__we"), (F.col("__b") + 1) * bucket)
-    got = s.join(w, on).groupBy("__span").agg(F.sum(F.greatest(F.lit(0), hi - lo)).alias("covered_ns"))
-    return numbered.join(got, "__span", "left").withColumn("covered_ns", F.coalesce("covered_ns", F.lit(0)).cast("long")).drop("__span")
-
-
-def _dealt(df: DataFrame, start: str, end: str, bucket: int) -> DataFrame:
-    """A row for each time bucket that an interval touches."""
-    return df.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / bucket))))
+    w = merge(windows, keys, start, end)
+    before = F.sum(F.col(end) - F.col(start)).over(Window.partitionBy(*keys).orderBy(start).rowsBetween(Window.unboundedPreceding, -1))
+    known = w.select(*keys, F.col(start).alias("__t"), F.lit(0).alias("__o"), F.struct(F.col(start).alias("a"), F.col(end).alias("z"), F.coalesce(before, F.lit(0)).alias("c")).alias("__w"), F.lit(None).cast("long").alias("__a"), F.lit(None).cast("long").alias("__z"))
+    ends = spans.select(*keys, F.col(start).cast("long").alias("__a"), F.col(end).cast("long").alias("__z")).distinct()
+    ask = ends.withColumn("__t", F.explode(F.array("__a", "__z"))).select(*keys, "__t", F.lit(1).alias("__o"), F.lit(None).cast(known.schema["__w"].dataType).alias("__w"), "__a", "__z")
+    order = Window.partitionBy(*keys).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = known.unionByName(ask).withColumn("__w", F.last("__w", ignorenulls=True).over(order)).where("__o = 1")
+    upto = F.coalesce(F.col("__w.c") + F.least("__t", "__w.z") - F.col("__w.a"), F.lit(0))
+    got = seen.withColumn("__c", upto).groupBy(*keys, "__a", "__z").agg((F.max("__c") - F.min("__c")).alias("covered_ns")).where("covered_ns > 0 AND __z > __a")
+    got = got.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__a", "__z", "covered_ns")
+    on = F.col(start).eqNullSafe(F.col("__a")) & F.col(end).eqNullSafe(F.col("__z"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return spans.join(got, on, "left").select(*spans.columns, F.coalesce("covered_ns", F.lit(0)).cast("long").alias("covered_ns"))
 
 
 def touched(spans: DataFrame, windows: DataFrame, keys: list[str], **how) -> DataFrame:

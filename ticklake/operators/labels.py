@@ -16,10 +16,8 @@ HORIZONS_MS = (100, 500, 1_000, 5_000, 30_000, 60_000, 300_000, 900_000)
 
 def fixed_horizons(samples: DataFrame, mids: DataFrame, keys: list[str], *, ts: str = "ts_ns", entry: str = "entry_mid", horizons_ms: tuple[int, ...] = HORIZONS_MS, mid_ts: str = "ts_ns", mid: str = "mid") -> DataFrame:
     """samples with ret_<h>ms in basis points for each horizon; null where the stream ends before it resolves."""
-    for h in horizons_ms:
-        samples = asof.deadlines(samples, mids, keys, ts, h * MS, mid_ts=mid_ts, mid=mid, name="__exit")
-        samples = samples.withColumn(f"ret_{h}ms", asof.returns_bps(F.col("__exit"), F.col(entry))).drop("__exit")
-    return samples
+    out = asof.resolved(samples, mids, keys, ts, {f"__exit{h}": h * MS for h in horizons_ms}, mid_ts=mid_ts, mid=mid)
+    return out.select(*samples.columns, *[asof.returns_bps(F.col(f"__exit{h}"), F.col(entry)).alias(f"ret_{h}ms") for h in horizons_ms])
 
 
 def first_touch(t: np.ndarray, entry: np.ndarray, vol: np.ndarray, ts: np.ndarray, mid: np.ndarray, up: float, down: float, limit: int) -> tuple[np.ndarray, np.ndarray]:

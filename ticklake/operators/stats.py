@@ -56,10 +56,13 @@ def up_down(rows: DataFrame, keys: list[str], order: str, value: str, close: str
 
 def moments(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per key: n, mean, sample deviation, and skew and kurtosis (not excess) over the sample deviation."""
-    m = rows.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys)
-    z = (F.col(value) - F.avg(value).over(w)) / F.stddev_samp(value).over(w)
-    return m.withColumn("__z", z).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.avg(F.pow("__z", F.lit(3.0))).alias("skew"), F.avg(F.pow("__z", F.lit(4.0))).alias("kurtosis"))
+    # The library's moments are over the population deviation; they come from mergeable sums, without an ordering.
+    n = F.count(value)
+    shrink = F.sqrt((n - 1) / n)
+    deep = n > 1
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        n.alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.when(deep, F.skewness(value) * F.pow(shrink, F.lit(3.0))).alias("skew"), F.when(deep, (F.kurtosis(value) + 3) * F.pow(shrink, F.lit(4.0))).alias("kurtosis"),
+    )
 
 
 def expected_max_sharpe(trials: int, sharpe_sd: float) -> float:

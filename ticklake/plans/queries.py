@@ -81,7 +81,7 @@ def point_in_time_purchases(spark, d):
     out = asof.deadlines(out.withColumnRenamed("click_value", "entry_mid"), clicks, ["user_id"], "t", 6 * HOUR, mid_ts="t", mid="value")
     gaps = intervals.silences(e, ["user_id"], "t", 2 * DAY)
     spans = out.withColumn("start_ns", F.col("t") - HOUR).withColumn("end_ns", F.col("t") + 6 * HOUR)
-    spans = intervals.touched(spans, gaps, ["user_id"], bucket=4 * DAY)
+    spans = intervals.touched(spans, gaps, ["user_id"])
     return spans.select("event_id", "user_id", r6("sum_1h").alias("sum_1h"), "count_1h", "entry_mid", r6(asof.returns_bps(F.col("exit_mid"), F.col("entry_mid"))).alias("ret_6h_bps"), F.col("touched").alias("gap_touched"))
 
 
@@ -321,7 +321,7 @@ def _(spark, d):
 @query("d10_covered_time", f"WITH {E}, {I}, {MERGED}, h AS (SELECT event_id, event_type AS g, t AS a, t + {HOUR} AS z FROM e WHERE event_type = 'click') SELECT h.event_id, CAST(coalesce(sum(CASE WHEN u.g IS NOT NULL THEN least(h.z, u.end_ns) - greatest(h.a, u.start_ns) END), 0) AS BIGINT) AS covered_ns FROM h LEFT JOIN u ON u.g = h.g AND u.start_ns < h.z AND u.end_ns > h.a GROUP BY 1")
 def _(spark, d):
     s = events(spark, d).where("event_type = 'click'").select("event_id", F.col("event_type").alias("g"), F.col("t").alias("start_ns"), (F.col("t") + HOUR).alias("end_ns"))
-    return intervals.covered(s, spans(spark, d), ["g"], bucket=HOUR).select("event_id", "covered_ns")
+    return intervals.covered(s, spans(spark, d), ["g"]).select("event_id", "covered_ns")
 
 
 @query("c5_inside_window", f"WITH {E}, s AS (SELECT user_id, t AS a, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS z FROM e WHERE event_type = 'view') SELECT p.event_id, EXISTS (SELECT 1 FROM s WHERE s.user_id = p.user_id AND s.z - s.a > {2 * DAY} AND s.a <= p.t AND p.t < s.z) AS inside FROM e p WHERE p.event_type = 'purchase'")
