@@ -161,6 +161,34 @@ def by_year(days: DataFrame, columns: list[str], day: str = "day_ms") -> DataFra
     return days.groupBy(F.date_format(F.timestamp_millis(day), "yyyy").alias("year")).agg(F.count("*").alias("days"), *[F.avg(c).alias(c) for c in columns])
 
 
+def decay(years: DataFrame, value: str = "decile_spread", full: int = 360) -> DataFrame:
+    """(peak_year, peak, full_year, full_value, partial_year, partial_value, decay): the peak of by_year's table against the newest full year; a year cut short is reported beside it.
+
+    Years are a row each; under two years there is no row.
+    """
+    y = years.agg(
+        F.count("*").alias("n"), F.max_by(F.struct("year", value), F.struct(F.col(value), F.col("year"))).alias("p"), F.max(F.when(F.col("days") >= full, F.struct("year", value))).alias("f"), F.max(F.struct("year", value, "days")).alias("l"),
+    ).where("n >= 2")
+    anchor, partial = F.coalesce("f", F.struct(F.col("l.year").alias("year"), F.col(f"l.{value}").alias(value))), F.col("l.days") < full
+    y = y.withColumn("a", anchor)
+    return y.select(
+        F.col("p.year").alias("peak_year"), F.col(f"p.{value}").alias("peak"), F.col("a.year").alias("full_year"), F.col(f"a.{value}").alias("full_value"),
+        F.when(partial, F.col("l.year")).alias("partial_year"), F.when(partial, F.col(f"l.{value}")).alias("partial_value"), F.when(F.col(f"p.{value}") != 0, 1 - F.col(f"a.{value}") / F.col(f"p.{value}")).alias("decay"),
+    )
+
+
+def fixed_interval_years(rows: DataFrame, keys: list[str], *, per_year: int = 1095, more_than: int = 100) -> DataFrame:
+    """Per key and calendar year with more than so many rates: annualised, where rates come per_year times a year whatever their times say."""
+    y = rows.groupBy(*keys, F.date_format(F.timestamp_millis("time_ms"), "yyyy").alias("year")).agg(F.count("*").alias("rates"), (F.sum("rate") * per_year / F.count("*")).alias("annualised"))
+    return y.where(F.col("rates") > more_than)
+
+
+def trend_slope(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: the least-squares slope of annualised rates over years; 0 under three rates."""
+    r = with_intervals(rows, keys).withColumn("per_year", F.col("rate") * YEAR_MS / F.col("interval_ms"))
+    return r.groupBy(*keys).agg(F.when(F.count("*") >= 3, F.coalesce(F.regr_slope("per_year", F.col("time_ms") / YEAR_MS), F.lit(0.0))).otherwise(0.0).alias("slope"))
+
+
 def membership(funding: DataFrame, prices: DataFrame) -> DataFrame:
     """(day_ms, coin) with both a funding rate and a price: who could be traded that day, dead coins included while they lived."""
     return funding.select("day_ms", "coin").distinct().join(prices.select("day_ms", "coin").distinct(), ["day_ms", "coin"])

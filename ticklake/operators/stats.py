@@ -195,6 +195,12 @@ def walk_forward(rows: DataFrame, ts: str, train: int, test: int, *, step: int |
     return r.where(is_test | (F.col(ts) + horizon < F.col("__s") + train)).withColumn("is_test", is_test).drop("__s", "__lo")
 
 
+def walk_forward_capacity(rows: DataFrame, ts: str, train: int, test: int, *, horizon: int = 0) -> DataFrame:
+    """(fold, train_rows, test_rows): the folds that the rows' span supports at fixed lengths; lengths are never shrunk to make more."""
+    folds = walk_forward(rows, ts, train, test, horizon=horizon)
+    return folds.groupBy("fold").agg(F.count_if(~F.col("is_test")).alias("train_rows"), F.count_if("is_test").alias("test_rows"))
+
+
 def block_folds(rows: DataFrame, keys: list[str], order: str, size: int, least: int = 60) -> DataFrame:
     r = numbered(rows, keys, order, "__i").withColumn("fold", F.floor(F.col("__i") / size)).drop("__i")
     full = r.groupBy(*keys, "fold").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from .asof import asof
 
 DAY_MS = 86_400_000
-#: Rows of a frame from which a difference of prefix sums is cheaper than a sliding frame.
-WIDE_ROWS = 300
 
 
 def trailing(keys: list[str], ts: str, width: int) -> WindowSpec:
@@ -222,3 +220,44 @@ def regime(rows: DataFrame, keys: list[str], order: str, ret: str, window: int =
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1)
     full = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) > window
     return rows.withColumn("trend", F.when(full, F.sum(ret).over(w))).withColumn("volatility", F.when(full, F.stddev_samp(ret).over(w)))
+
+
+# --- classes of slow features, a row a day ----------------------------------------------------------
+
+
+def trailing_slope(rows: DataFrame, keys: list[str], day: str, value: str, days: int, *, least: int = 3, name: str = "slope") -> DataFrame:
+    """rows with the least-squares slope a day of the value over the days up to this one."""
+    w = _up_to(keys, day, days)
+    x = F.col(day) / DAY_MS
+    return rows.withColumn(name, F.when(F.count(value).over(w) >= least, F.regr_slope(F.col(value), x).over(w)))
+
+
+def supply_class(rows: DataFrame, keys: list[str], day: str = "day_ms", supply: str = "supply") -> DataFrame:
+    """Class A: change of supply over 7 and 28 days, and the former's score over 90."""
+    out = change_over(rows, keys, day, supply, 7, name="stbl_chg_7d")
+    out = change_over(out, keys, day, supply, 28, name="stbl_chg_28d")
+    return rolling_z(out, keys, day, "stbl_chg_7d", 90, name="stbl_chg7_z90")
+
+
+def netflow_class(rows: DataFrame, keys: list[str], day: str = "day_ms") -> DataFrame:
+    """Class B, of flow_in, flow_out, mcap and ex_supply: a week's net flow over the market's value, and the change of supply on exchanges over 28 days."""
+    out = rolling_sum(rows.withColumn("__net", F.col("flow_in") - F.col("flow_out")), keys, day, "__net", 7, name="__net7")
+    out = out.withColumn("netflow7_over_mcap", F.when((F.col("mcap") > 0) & F.col("__net").isNotNull(), F.col("__net7") / F.col("mcap"))).drop("__net", "__net7")
+    return change_over(out, keys, day, "ex_supply", 28, name="exsply_chg_28d")
+
+
+def _daily(rows: DataFrame, keys: list[str], ms: str, value: Column) -> DataFrame:
+    return rows.groupBy(*keys, (F.floor(F.col(ms) / DAY_MS) * DAY_MS).alias("day_ms")).agg(value.alias("__v"))
+
+
+def funding_class(rows: DataFrame, keys: list[str], ms: str = "time_ms", rate: str = "rate") -> DataFrame:
+    """Class C, a row a day: a week's funding a year, its rank in a year, its slope over 30 days."""
+    out = rolling_sum(_daily(rows, keys, ms, F.sum(rate)), keys, "day_ms", "__v", 7, name="__s").withColumn("fund_level7_ann", F.col("__s") * 365 / 7.0)
+    out = trailing_percentile(out, keys, "day_ms", "fund_level7_ann", 365, name="fund_pctile_365")
+    return trailing_slope(out, keys, "day_ms", "fund_level7_ann", 30, name="fund_slope_30d").drop("__v", "__s")
+
+
+def basis_class(rows: DataFrame, keys: list[str], ms: str = "time_ms", premium: str = "premium") -> DataFrame:
+    """Class D, a row a day: a week's mean premium and its score over 90 days."""
+    out = rolling_mean(_daily(rows, keys, ms, F.avg(premium)), keys, "day_ms", "__v", 7, name="prem_7d_mean")
+    return rolling_z(out, keys, "day_ms", "prem_7d_mean", 90, name="prem_z90").drop("__v")

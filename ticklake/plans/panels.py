@@ -362,16 +362,31 @@ def panel(spark, d):
     return o.groupBy((F.floor(F.col("d") / 30)).alias("day"), (F.col("c") % 25).alias("coin")).agg(F.max("p").alias("close"))
 
 
-@query("l2_momentum")
+PANEL = f"{O}, p AS (SELECT CAST(floor(d / 30) AS BIGINT) AS day, c % 25 AS coin, max(p) AS close FROM o GROUP BY 1, 2), b AS (SELECT min(day) AS d0, max(day) AS d1 FROM p)"
+
+
+@query("l2_momentum", f"""WITH {PANEL}, r0 AS (SELECT p.day, p.coin, p.close, sign(p.close / q.close - 1) AS g FROM p JOIN p q ON q.coin = p.coin AND q.day = p.day - 3 JOIN b ON (p.day - d0 - 3) % 2 = 0), r1 AS (SELECT *, count(*) OVER (PARTITION BY day) AS n FROM r0 WHERE g <> 0),
+reb AS (SELECT day AS start, coin, g / n / close AS units, close AS open FROM r1 WHERE n >= 10), h0 AS (SELECT reb.*, start + x AS day FROM reb, b, (SELECT unnest([1, 2]) AS x) WHERE start < d1 AND start + x <= d1), h1 AS (SELECT h0.*, p.close FROM h0 LEFT JOIN p ON p.day = h0.day AND p.coin = h0.coin),
+h2 AS (SELECT *, max((close IS NULL)::INT) OVER w AS dead, coalesce(lag(close) OVER w, open) AS before FROM h1 WINDOW w AS (PARTITION BY start, coin ORDER BY day)), h3 AS (SELECT *, dead = 1 AND coalesce(lag(dead) OVER (PARTITION BY start, coin ORDER BY day), 0) = 0 AS died FROM h2),
+pnl AS (SELECT day, sum(CASE WHEN dead = 0 THEN units * (close - before) ELSE 0 END) AS g, sum(CASE WHEN died THEN abs(units) * before ELSE 0 END) AS x, sum(died::INT) AS exits FROM h3 GROUP BY 1), held AS (SELECT day, coin, units * close AS h FROM h3 WHERE day = start + 2 AND dead = 0), tgt AS (SELECT start AS day, coin, units * open AS t FROM reb),
+turn AS (SELECT day, sum(abs(coalesce(t, 0) - coalesce(h, 0))) AS turn FROM held FULL JOIN tgt USING (day, coin) GROUP BY 1)
+SELECT x.day, round(coalesce(g, 0), 6) AS gross_pnl, round(coalesce(x, 0) + coalesce(turn, 0), 6) AS traded, CAST(coalesce(exits, 0) AS BIGINT) AS exits FROM (SELECT DISTINCT day FROM p) x JOIN b ON x.day >= d0 + 3 LEFT JOIN pnl ON pnl.day = x.day LEFT JOIN turn ON turn.day = x.day""")
 def _(spark, d):
     return simulators.momentum(panel(spark, d), lookback=3, hold=2).select("day", r6("gross_pnl").alias("gross_pnl"), r6("traded").alias("traded"), "exits")
 
 
-@query("l3_carry_panel")
+@query("l3_carry_panel", f"""WITH {PANEL}, f AS (SELECT day, coin, ((day * 7 + coin * 3) % 200 - 100) / 8192.0 AS rate FROM p), sig AS (SELECT day, coin, avg(rate) OVER w AS signal, count(rate) OVER w AS seen FROM f WINDOW w AS (PARTITION BY coin ORDER BY day RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)),
+e0 AS (SELECT sig.*, p.close, count(*) OVER (PARTITION BY sig.day) AS n FROM sig JOIN p ON p.day = sig.day AND p.coin = sig.coin JOIN b ON sig.day >= d0 + 3 AND (sig.day - d0 - 3) % 2 = 0 WHERE seen >= 2), e1 AS (SELECT *, greatest(1, floor(n / 10)) AS side, row_number() OVER (PARTITION BY day ORDER BY signal, coin) AS a, row_number() OVER (PARTITION BY day ORDER BY signal DESC, coin DESC) AS z FROM e0 WHERE n >= 10),
+reb AS (SELECT day AS start, coin, CASE WHEN a <= side THEN 1 ELSE -1 END * 20000.0 / 2 / side AS dollars, close AS open FROM e1 WHERE a <= side OR z <= side), st AS (SELECT start, lead(start) OVER (ORDER BY start) AS next FROM (SELECT DISTINCT start FROM reb)), la AS (SELECT coin, max(day) AS last_day FROM p GROUP BY 1),
+h0 AS (SELECT reb.*, dollars / open AS units, last_day, next, unnest(generate_series(reb.start + 1, coalesce(next, d1))) AS day FROM reb JOIN st ON st.start = reb.start JOIN la ON la.coin = reb.coin JOIN b ON reb.start < d1),
+h1 AS (SELECT h0.*, p.close, f.rate, coalesce(last_value(p.close IGNORE NULLS) OVER (PARTITION BY h0.start, h0.coin ORDER BY h0.day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), open) AS mark FROM h0 LEFT JOIN p ON p.day = h0.day AND p.coin = h0.coin LEFT JOIN f ON f.day = h0.day AND f.coin = h0.coin),
+pnl AS (SELECT day, sum(CASE WHEN close IS NOT NULL THEN units * (close - mark) ELSE 0 END) AS a, sum(CASE WHEN close IS NOT NULL THEN -units * mark * coalesce(rate, 0) ELSE 0 END) AS f, sum(CASE WHEN day = last_day + 1 THEN abs(units) * mark ELSE 0 END) AS x FROM h1 GROUP BY 1),
+fin AS (SELECT h1.day, coin, units * coalesce(close, mark) AS h FROM h1, b WHERE h1.day = coalesce(next, d1) AND h1.day <= last_day), turn AS (SELECT day, sum(abs(coalesce(t, 0) - coalesce(h, 0))) AS turn FROM fin FULL JOIN (SELECT start AS day, coin, dollars AS t FROM reb) q USING (day, coin) GROUP BY 1), shut AS (SELECT start AS day, sum(abs(dollars)) AS shut FROM reb, b WHERE start = d1 GROUP BY 1)
+SELECT coalesce(pnl.day, turn.day) AS day, round(coalesce(a, 0), 4) AS price_pnl, round(coalesce(f, 0), 4) AS funding_pnl, round((coalesce(x, 0) + coalesce(turn, 0) + coalesce(shut, 0)) * 1.5e-4, 6) AS cost FROM pnl FULL JOIN turn ON turn.day = pnl.day LEFT JOIN shut ON shut.day = coalesce(pnl.day, turn.day)""")
 def _(spark, d):
     p = panel(spark, d)
-    f = p.select("day", "coin", (F.pmod(F.xxhash64("day", "coin"), F.lit(200)) / 1e4 - 0.01).alias("rate"))
-    return simulators.carry_panel(f, p, lookback=3, rebalance=2).select("day", *[r6(c).alias(c) for c in ("price_pnl", "funding_pnl", "cost")])
+    f = p.select("day", "coin", ((F.pmod(F.col("day") * 7 + F.col("coin") * 3, F.lit(200)) - 100) / 8192.0).alias("rate"))
+    return simulators.carry_panel(f, p, lookback=3, rebalance=2).select("day", F.round("price_pnl", 4).alias("price_pnl"), F.round("funding_pnl", 4).alias("funding_pnl"), r6("cost").alias("cost"))
 
 
 @query("l4_carry_trade")
@@ -380,7 +395,9 @@ def _(spark, d):
     return simulators.carry_by_coin(c.select(F.col("s").cast("string").alias("coin"), F.col("d").alias("time_ms"), F.col("close").alias("spot"), (F.col("close") * 1.001).alias("perp"), F.lit(0.0001).alias("rate"))).select("coin", "hours", r6("funding").alias("funding"), r6("price_pnl").alias("price_pnl"), "rebalances")
 
 
-@query("l5_leverage_sweep")
+@query("l5_leverage_sweep", f"""WITH RECURSIVE {BARS}, g AS (SELECT s, close AS p, row_number() OVER (PARTITION BY s ORDER BY d) AS i FROM b), m AS (SELECT s, i, x AS margin, p AS entry, 0 AS breaches, 0.0::DOUBLE AS worst FROM g, (SELECT unnest([1.0, 0.5, 0.25, 0.2, 0.1]::DOUBLE[]) AS x) WHERE i = 1
+UNION ALL SELECT g.s, g.i, margin, CASE WHEN p / entry - 1 >= margin * 0.5 OR abs(p / entry - 1) > 0.1 THEN p ELSE entry END, breaches + (p / entry - 1 >= margin * 0.5)::INT, greatest(worst, p / entry - 1) FROM m JOIN g ON g.s = m.s AND g.i = m.i + 1)
+SELECT CAST(s AS VARCHAR) AS coin, margin, CAST(max(breaches) AS BIGINT) AS breaches, round(max(worst), 6) AS worst FROM m GROUP BY 1, 2""")
 def _(spark, d):
     return simulators.leverage_sweep(closes(spark, d).select(F.col("s").cast("string").alias("coin"), F.col("d").alias("time_ms"), F.col("close").alias("price"))).select("coin", "margin", "breaches", r6("worst").alias("worst"))
 

@@ -228,9 +228,13 @@ def _(spark, d):
     return windows.nearest_rank(events(spark, d), ["user_id"], "t", "value", {"p50": 0.5}, 5).select("event_id", "p50")
 
 
-@query("f22_window_tensor")
+@query("f22_window_tensor", f"""WITH {E}, w AS (SELECT event_id, list(value) OVER o AS v, list(k) OVER o AS k FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
+SELECT event_id, len(v) AS known, CAST(CAST(v[greatest(1, len(v) - 3)] AS FLOAT) AS DOUBLE) AS v0, CAST(CAST(v[greatest(1, len(v) - 2)] AS FLOAT) AS DOUBLE) AS v1, CAST(CAST(v[greatest(1, len(v) - 1)] AS FLOAT) AS DOUBLE) AS v2, CAST(k[greatest(1, len(k) - 3)] AS DOUBLE) AS k0, CAST(k[len(k)] AS DOUBLE) AS k3 FROM w""")
 def _(spark, d):
-    return windows.last_rows(events(spark, d), ["user_id"], "t", ["value", "k"], 4).select("event_id", F.array_join(F.transform(F.flatten("window"), lambda x: x.cast("string")), ",").alias("window"))
+    e = events(spark, d).withColumn("n", F.least(F.lit(4), F.row_number().over(Window.partitionBy("user_id").orderBy("t"))).cast("long"))
+    at = lambda i, j: F.get(F.get("window", F.lit(i)), F.lit(j)).cast("double")
+    w = windows.last_rows(e, ["user_id"], "t", ["value", "k"], 4)
+    return w.select("event_id", F.col("n").alias("known"), *[at(i, 0).alias(f"v{i}") for i in range(3)], at(0, 1).alias("k0"), at(3, 1).alias("k3"))
 
 
 # --- as-of joins and labels ------------------------------------------------------------------------
@@ -287,7 +291,8 @@ def _(spark, d):
     return bars.event_bars(events(spark, d), ["user_id"], ["t"], 5, "event_type <> 'purchase'").select("event_id")
 
 
-@query("j7_imbalance_bars")
+@query("j7_imbalance_bars", f"""WITH RECURSIVE {E}, s AS (SELECT event_id, event_type, t, k, nullif(sign(value - lag(value) OVER (PARTITION BY event_type ORDER BY t)), 0) AS g FROM e), q AS (SELECT event_id, event_type, k * coalesce(last_value(g IGNORE NULLS) OVER w, 0) AS q, row_number() OVER (PARTITION BY event_type ORDER BY t) AS i FROM s WINDOW w AS (PARTITION BY event_type ORDER BY t ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT event_id, event_type, i, CAST(q AS DOUBLE) AS level FROM q WHERE i = 1 UNION ALL SELECT q.event_id, q.event_type, q.i, CASE WHEN abs(level) >= 500 THEN 0 ELSE level END + q.q FROM m JOIN q ON q.event_type = m.event_type AND q.i = m.i + 1) SELECT event_id FROM m WHERE abs(level) >= 500""")
 def _(spark, d):
     t = windows.tick_rule(events(spark, d), ["event_type"], ["t"], price="value").withColumn("signed_qty", F.col("sign") * F.col("k"))
     return bars.imbalance_bars(t, ["event_type"], ["t"], 500.0).select("event_id")
@@ -347,25 +352,25 @@ def _(spark, d):
     return intervals.rolls(e, "g", "i", "t")
 
 
-@query("h_interval_subtract", f"""WITH {E}, {I}, {MERGED}, x AS (SELECT g, {START} AS a, {START + 10 * DAY} AS z FROM (SELECT DISTINCT g FROM i)), w AS (SELECT u.g, greatest(start_ns, a) AS s, least(end_ns, z) AS e FROM u JOIN x ON x.g = u.g WHERE least(end_ns, z) > greatest(start_ns, a)),
+@query("h_interval_subtract", f"""WITH {E}, {I}, {MERGED}, x AS (SELECT g, {START} AS a, {START + 40 * DAY} AS z FROM (SELECT DISTINCT g FROM i)), w AS (SELECT u.g, greatest(start_ns, a) AS s, least(end_ns, z) AS e FROM u JOIN x ON x.g = u.g WHERE least(end_ns, z) > greatest(start_ns, a)),
 c AS (SELECT g, a AS s FROM x UNION ALL SELECT g, e FROM w), f AS (SELECT g, z AS e FROM x UNION ALL SELECT g, s FROM w), n AS (SELECT g, s, row_number() OVER (PARTITION BY g ORDER BY s) AS n FROM c), m AS (SELECT g, e, row_number() OVER (PARTITION BY g ORDER BY e) AS n FROM f)
 SELECT n.g, n.s AS start_ns, m.e AS end_ns FROM n JOIN m ON n.g = m.g AND n.n = m.n WHERE m.e > n.s""")
 def _(spark, d):
     s = spans(spark, d)
-    whole = s.select("g").distinct().withColumn("start_ns", F.lit(START)).withColumn("end_ns", F.lit(START + 10 * DAY))
+    whole = s.select("g").distinct().withColumn("start_ns", F.lit(START)).withColumn("end_ns", F.lit(START + 40 * DAY))
     return intervals.subtract(whole, s, ["g"]).select("g", "start_ns", "end_ns")
 
 
-@query("e2_gap_accounts", f"""WITH {E}, s AS (SELECT event_type AS g, {START + DAY} AS a, {START + 5 * DAY} AS z FROM e GROUP BY 1), i AS (SELECT event_type AS g, t AS start_ns, t + CAST(floor(value) AS BIGINT) * 1000000 AS end_ns FROM e WHERE t < {START + 6 * DAY} AND k < 10),
-j AS (SELECT i.g, start_ns, end_ns, a, z, (start_ns < z AND end_ns > a) AS k FROM i JOIN s ON s.g = i.g WHERE start_ns < {START + 6 * DAY} AND end_ns > {START}),
+@query("e2_gap_accounts", f"""WITH {E}, s AS (SELECT event_type AS g, {START + DAY} AS a, {START + 29 * DAY} AS z FROM e GROUP BY 1), i AS (SELECT event_type AS g, t AS start_ns, t + CAST(floor(value) AS BIGINT) * 1000000 AS end_ns FROM e),
+j AS (SELECT i.g, start_ns, end_ns, a, z, (start_ns < z AND end_ns > a) AS k FROM i JOIN s ON s.g = i.g WHERE start_ns < {START + 40 * DAY} AND end_ns > {START}),
 p AS (SELECT *, max(end_ns) OVER (PARTITION BY g, k ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM j WHERE end_ns > start_ns), q AS (SELECT *, sum(CASE WHEN m IS NULL OR start_ns > m THEN 1 ELSE 0 END) OVER (PARTITION BY g, k ORDER BY start_ns, end_ns) AS n FROM p),
 u AS (SELECT g, k, min(start_ns) AS s, max(end_ns) AS e, min(a) AS a, min(z) AS z FROM q GROUP BY g, k, n)
 SELECT s.g, (SELECT count(*) FROM j WHERE j.g = s.g AND j.k) AS gaps_in_span, (SELECT count(*) FROM j WHERE j.g = s.g AND NOT j.k) AS gaps_outside_span,
  CAST(floor(coalesce((SELECT sum(greatest(0, least(e, u.z) - greatest(u.s, u.a))) FROM u WHERE u.g = s.g AND u.k), 0) / 1000000) AS BIGINT) AS gap_ms_in_span, CAST(floor(coalesce((SELECT sum(e - u.s) FROM u WHERE u.g = s.g AND NOT u.k), 0) / 1000000) AS BIGINT) AS gap_ms_outside_span FROM s""")
 def _(spark, d):
     e = events(spark, d)
-    gaps = e.where(f"t < {START + 6 * DAY} AND k < 10").select(F.col("event_type").alias("g"), F.col("t").alias("disconnect_ns"), (F.col("t") + F.floor("value").cast("long") * 1_000_000).alias("reconnect_ns"), F.lit("feed").alias("kind"))
-    s = e.select(F.col("event_type").alias("g")).distinct().withColumns({"span_start": F.lit(START + DAY), "span_end": F.lit(START + 5 * DAY), "day_start": F.lit(START), "day_end": F.lit(START + 6 * DAY)})
+    gaps = e.select(F.col("event_type").alias("g"), F.col("t").alias("disconnect_ns"), (F.col("t") + F.floor("value").cast("long") * 1_000_000).alias("reconnect_ns"), F.lit("feed").alias("kind"))
+    s = e.select(F.col("event_type").alias("g")).distinct().withColumns({"span_start": F.lit(START + DAY), "span_end": F.lit(START + 29 * DAY), "day_start": F.lit(START), "day_end": F.lit(START + 40 * DAY)})
     return intervals.account_gaps(gaps, s, ["g"]).select("g", "gaps_in_span", "gaps_outside_span", "gap_ms_in_span", "gap_ms_outside_span")
 
 

@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import json
+import subprocess
+import uuid
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import partition_symbol
+from ..schemas import LATENCY
+
+#: Rows of a file of a day table, about: a busy day of one symbol is several files, and tasks.
+FILE_ROWS = 4_000_000
 
 
 def day_table(rows: DataFrame, path: str, dataset: str) -> None:
     """Writes book or trade rows under p_venue=/p_symbol=/p_date=, sorted by time, and replaces only the days that it has.
 
-    Rows of a day are dealt to a few files by symbol and day: a shuffle of rows that each go to disk once.
+    Rows of a day go to files by symbol, day and stretch of time, as many as the day's rows need: a shuffle of rows
+    that each go to disk once, in which no task holds a busy day.
     """
     out = rows.withColumn("p_venue", F.col("venue")).withColumn("p_symbol", partition_symbol(F.col("symbol"))).withColumn("p_date", F.to_date(F.timestamp_micros(F.floor(F.col("ts_ns") / 1000))))
-    out = out.repartition("p_venue", "p_symbol", "p_date").sortWithinPartitions("p_venue", "p_symbol", "p_date", "ts_ns")
+    days = out.groupBy("p_venue", "p_symbol", "p_date").agg(F.ceil(F.count("*") / FILE_ROWS).alias("n"))
+    most = days.agg(F.max("n")).first()[0] or 1
+    stretch = F.floor(F.pmod(F.col("ts_ns"), F.lit(86_400_000_000_000)) / F.lit(86_400_000_000_000 // most))
+    out = out.withColumn("__s", stretch).repartition("p_venue", "p_symbol", "p_date", "__s").sortWithinPartitions("p_venue", "p_symbol", "p_date", "ts_ns").drop("__s")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("p_venue", "p_symbol", "p_date").parquet(f"{path}/{dataset}")
 
 
@@ -35,6 +46,33 @@ def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def log_experiment(spark: SparkSession, path: str, name: str, params: dict, metrics: dict, repo: str | None = None) -> dict:
+    """Appends one run (see raw.SIDECARS) with an id, the time and the commit of the repository it ran from; the record."""
+    sha = subprocess.run(["git", "rev-parse", "HEAD"], cwd=repo, capture_output=True, text=True, check=False).stdout.strip() or "unknown"
+    record = {"run_id": str(uuid.uuid4()), "git_sha": sha, "ts": datetime.now(UTC).isoformat(), "name": name, "params": json.dumps(params, sort_keys=True), "metrics": json.dumps(metrics, sort_keys=True)}
+    append_json(spark.createDataFrame([tuple(record.values())], ", ".join(f"{k} STRING" for k in record)).coalesce(1), path)
+    return record
+
+
+class LatencyStore:
+    """Latency rows (schemas.LATENCY) by day: a day is written anew, a store that starts again reads what is there, and the newest row of each venue is at hand."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def write_day(self, rows: DataFrame) -> None:
+        """Replaces the days that the rows have; rows of one venue and time are one."""
+        day = F.to_date(F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)))
+        rows.dropDuplicates(["venue", "ts_ns"]).withColumn("p_date", day).repartition("p_date").sortWithinPartitions("ts_ns").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("p_date").parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(f"{LATENCY}, p_date DATE").parquet(self.path)
+
+    def latest(self) -> DataFrame:
+        names = [c for c in self.rows().columns if c != "p_date"]
+        return self.rows().groupBy("venue").agg(F.max_by(F.struct(*names), "ts_ns").alias("r")).select("r.*")
+
+
 def rolls(rows: DataFrame, path: str) -> None:
     """Roll boundaries as one sorted file: there are a few a year."""
     rows.orderBy("ts_ns").coalesce(1).write.mode("overwrite").json(path)

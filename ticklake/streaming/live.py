@@ -7,8 +7,10 @@ where it was. Tests run the same transformations over files with availableNow an
 from __future__ import annotations
 
 import json
+import shutil
 import time
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ SUBSCRIPTIONS = {
 class ReplaySource(DataSource):
     """A stream of recorded messages: format "replay" with options path (NDJSON of {recv_ns, raw}) and rows (a batch's).
 
-    It stands for a live connection where there is no network: the offset is the line number, so a batch is
+    It stands for a live connection where there is no network: the offset is a place in the file, so a batch reads its own lines alone and is
     read again exactly after a failure. A live source differs in read() alone.
     """
 
@@ -50,25 +52,28 @@ class _Replay(SimpleDataSourceStreamReader):
         self.path, self.rows = options["path"], int(options.get("rows", "1000"))
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"line": 0}
+        return {"byte": 0}
 
-    def _lines(self, start: int, end: int) -> list[tuple[int, str]]:
+    def read(self, start: dict) -> tuple[Iterator[tuple[int, str]], dict]:
         out = []
-        with open(self.path, encoding="utf-8") as f:
-            for n, line in enumerate(f):
-                if n >= end:
-                    break
-                if n >= start:
+        with open(self.path, "rb") as f:
+            f.seek(start["byte"])
+            while len(out) < self.rows and (line := f.readline()):
+                try:
                     m = json.loads(line)
-                    out.append((m["recv_ns"], m["raw"]))
-        return out
-
-    def read(self, start: dict) -> tuple[Iterator[tuple[int, str]], dict]:
-        got = self._lines(start["line"], start["line"] + self.rows)
-        return iter(got), {"line": start["line"] + len(got)}
+                except ValueError:
+                    if line.endswith(b"\n"):
+                        raise
+                    break  # a line still being written waits
+                out.append((m["recv_ns"], m["raw"]))
+                at = f.tell()
+        return iter(out), {"byte": at if out else start["byte"]}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[int, str]]:  # noqa: N802
-        return iter(self._lines(start["line"], end["line"]))
+        with open(self.path, "rb") as f:
+            f.seek(start["byte"])
+            lines = f.read(end["byte"] - start["byte"]).splitlines()
+        return iter([(m["recv_ns"], m["raw"]) for m in map(json.loads, lines)])
 
 
 def raw_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -131,6 +136,15 @@ def with_late(rows: DataFrame, sink, late_sink, checkpoint: str, *, ts: str = "t
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
+def disk_status(path: str, warn_free_gb: float, critical_free_gb: float) -> dict:
+    """Free space where path lies, or will lie: level is ok, low or critical."""
+    probe = Path(path).absolute()
+    while not probe.exists() and probe != probe.parent:
+        probe = probe.parent
+    free = shutil.disk_usage(probe).free
+    return {"path": path, "free_bytes": free, "level": "critical" if free < critical_free_gb * 1e9 else "low" if free < warn_free_gb * 1e9 else "ok"}
+
+
 def progress(query: StreamingQuery) -> dict:
     """What a heartbeat reports: rows, rate and lag of the last batch."""
     p = query.lastProgress or {}
