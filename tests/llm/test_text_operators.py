@@ -905,6 +905,39 @@ def test_rows_without_an_id(spark):
     assert [r["page_id"] for r in warc.round_trip(spark, pages).collect()] == [1]
 
 
+def test_repeated_and_null_ids_and_clashing_columns_in_all_operators(spark):
+    """Every row is reported by its own text; operators that must name a row leave out those without an id; no helper column clashes."""
+    rng = random.Random(13)
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    long = "x" * 50_000 + " " + lorem(rng, 3_000)
+    texts = [f"mail a@b.co {lorem(rng, 60)}", f"token=abcdefabcdef1 {lorem(rng, 60)}", f"see {item} here", None, "", long, lorem(rng, 60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[1]), (0, texts[0]), (0, texts[0]), (None, texts[0]), (None, None), (5, item)]
+    clash = ["id", "hash", "row", "n", "sid", "rank", "times", "time", "size", "key", "kept", "score", "fold", "h", "bands", "rep", "said", "held", "digest", "first", "__piece", "__n", "__key", "x", "y"]
+    docs = spark.createDataFrame([(i, t, "s", *range(len(clash))) for i, t in rows], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in clash))
+    named = [r for r in rows if r[0] is not None]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    ids = lambda df: collections.Counter(r["doc_id"] for r in df.collect())
+    everyone, with_id = collections.Counter(i for i, _ in rows), collections.Counter(i for i, _ in named)
+    for all_ in (pii.report(docs), pii.masked(docs), secret_scan.report(docs), secret_scan.masked(docs), quality_rules.clean(docs), mixing.mix(docs), classifier.score(classifier.measured(docs), {"const": 0.5})):
+        assert ids(all_) == everyone
+    for some in (minhash.groups(docs), token_files.digest(spark, docs), hmm.score(docs, F.lit(None).cast("boolean"), passes=1)):
+        assert ids(some) == with_id
+    assert ids(decontam.leaks(docs, bench)) == {2: 1, 5: 1}
+    by = lambda df, *c: collections.Counter((r["doc_id"], *(r[x] for x in c)) for r in df.collect())
+    found = by(pii.report(docs), "n_email")
+    assert found[0, 1] == 3 and found[0, 0] == 1 and found[None, 1] == 1
+    assert by(secret_scan.report(docs), "n_assign")[0, 1] == 1
+    assert by(token_files.digest(spark, docs), "n_tokens")[5, len(token_files.encoder(token_files.tokenizer_path()).library.encode(item, add_special_tokens=False).ids) + 1] == 1
+    stats = classifier.measured(docs)
+    model = classifier.fit(stats, spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int"))
+    for whole in (minhash.deduplicate(docs), decontam.clean(docs, bench), mixing.mixed(docs), classifier.keep(docs, model), secret_scan.masked(docs)):
+        assert whole.columns == docs.columns and whole.count() >= 0
+    # Two of the six texts are alike enough; then those without words and without an id.
+    assert minhash.deduplicate(docs).count() == 5 + 2 + 2
+    pages = spark.createDataFrame([(i, "u", t, *range(len(clash))) for i, t in rows], "page_id long, url string, html string, " + ", ".join(f"`{c}` int" for c in clash))
+    assert collections.Counter(r["page_id"] for r in warc.round_trip(spark, pages).collect()) == with_id
+
+
 def test_queries_have_their_contracts_columns(spark, data):
     want = {
         "op1_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op2_minhash": "doc_id n_shingles component_id kept", "op3_token_files": "doc_id start n_tokens ids_crc32",

@@ -28,8 +28,10 @@ import hashlib
 import inspect
 import io
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -402,7 +404,7 @@ def reconciled(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     ends = [x[2] for x in items]
     value, take = [0.0], []
     for i, (_, a, _, s) in enumerate(items):
-        j = int(np.searchsorted(ends[:i], a, "right"))
+        j = bisect_right(ends, a, 0, i)
         take.append((value[j] + s > value[i] + 1e-12, j))
         value.append(max(value[i], value[j] + s))
     out, i = [], len(items)
@@ -462,15 +464,17 @@ def _whole(pieces: list[tuple]) -> list[tuple]:
     out = []
     for kind in range(len(KINDS)):
         group: list[tuple] = []
+        b = 0
         for piece in [*sorted(p for p in pieces if p[0] == kind), None]:
-            if group and (piece is None or piece[1] >= max(p[2] for p in group)):
-                a, b = min(p[1] for p in group), max(p[2] for p in group)
+            if group and (piece is None or piece[1] >= b):
+                a = group[0][1]
                 if any(p[1] == a and not p[4] for p in group) and any(p[2] == b and not p[5] for p in group):
                     long = sum(p[2] - p[1] for p in group)
                     out.append((kind, a, b, sum(p[3] * (p[2] - p[1]) for p in group) / long, False, False))
-                group = []
+                group, b = [], 0
             if piece is not None:
                 group.append(piece)
+                b = max(b, piece[2])
     return out
 
 
@@ -488,7 +492,8 @@ def model_spans(model: dict, chars: np.ndarray, offsets: np.ndarray) -> dict[int
     todo, done = {(int(d), int(j)) for d, j in np.unique(near, axis=0)}, set()
     found: dict[int, list] = {}
     cut: dict[int, list] = {}
-    while todo:  # where an edge cuts a span, the windows beside are run too
+    ahead = 1
+    while todo:  # where an edge cuts a span, the windows beside are run too, twice as many each time
         pairs = np.array(sorted(todo))
         done |= todo
         todo = set()
@@ -502,17 +507,26 @@ def model_spans(model: dict, chars: np.ndarray, offsets: np.ndarray) -> dict[int
                 for kind, a, b, s in spans:
                     left, right = a == 0 and k[j] > 0, b == WINDOW and k[j] < last[i]
                     (cut if left or right else found).setdefault(i, []).append((kind, first + a, first + b, s, left, right))
-                    todo |= {(i, int(k[j]) + step) for step, yes in ((-1, left), (1, right)) if yes} - done
+                    beside = [*(range(max(0, int(k[j]) - ahead), int(k[j])) if left else ()), *(range(int(k[j]) + 1, min(int(last[i]), int(k[j]) + ahead) + 1) if right else ())]
+                    todo |= {(i, w) for w in beside} - done
+        ahead *= 2
     for i, pieces in cut.items():
         found.setdefault(i, []).extend(_whole(pieces))
-    out: dict[int, list[tuple[int, int, int]]] = {}
+    out: dict[int, dict[tuple[int, int, int], None]] = {}
     for i, spans in found.items():
         text = chars[offsets[i] : offsets[i + 1]].tobytes().decode("latin-1")
         for kind, a, b, s in reconciled([x[:4] for x in spans]):
             a, b = _widened(text, *_trimmed(text, a, b)) if kind == 0 else _trimmed(text, a, b)
-            if s >= CONFIDENT and plausible(kind, text[a:b]) and (kind, a, b) not in out.get(i, []):
-                out.setdefault(i, []).append((kind, a, b))
-    return out
+            if s >= CONFIDENT and plausible(kind, text[a:b]):
+                out.setdefault(i, {})[kind, a, b] = None
+    return {i: list(spans) for i, spans in out.items()}
+
+
+def _clear(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that overlap none of base."""
+    order = sorted((p, q) for _, p, q in base)
+    starts, reach = [p for p, _ in order], [0, *accumulate((q for _, q in order), max)]
+    return [x for x in spans if reach[bisect_left(starts, x[2])] <= x[1]]
 
 
 def find(t: Texts, model: dict) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
@@ -522,7 +536,7 @@ def find(t: Texts, model: dict) -> list[tuple[list[tuple[int, int, int]], list[t
     offsets = np.concatenate([[0], np.cumsum(lead)])[t.offsets]
     base = pattern_spans(chars, offsets)
     extra = model_spans(model, chars, offsets)
-    return [(b, sorted(b + [x for x in extra.get(i, []) if not any(x[1] < q and p < x[2] for _, p, q in b)])) for i, b in enumerate(base)]
+    return [(b, sorted(b + _clear(extra[i], b)) if i in extra else b) for i, b in enumerate(base)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

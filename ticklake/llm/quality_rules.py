@@ -8,7 +8,10 @@ A line is what newlines separate; only lines with a word are judged. A line fail
 - it equals an earlier line of the document.
 The document is kept if what failed holds at most max_loss of its words, and unless base rules
 (too few words, or too many words in repeated 3-word windows) reject it.
-Nulls and empty texts have no words: all counts are 0 and they are not kept.
+Nulls and empty texts have no words: all counts are 0 and they are not kept; very long texts are judged
+whole. Every row is judged by itself, by its text alone: rows without an id or with one that repeats
+stay, in their order, equal texts get equal results, and other columns may have any names. Of equal
+lines the first stays. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,10 +26,17 @@ SYMBOLS = b"#*$%&|<>"
 SEPARATORS = (b"|", b"\xc2\xbb", b"\xe2\x80\xba", b"\xc2\xb7", b">")
 #: What may close a sentence, as last bytes; a closing quote or bracket counts.
 CLOSING = b".!?\"')]:;\xbb\x9d\xa6"
-BOILERPLATE = (
-    b"all rights reserved", b"terms of use", b"terms of service", b"privacy policy", b"cookie policy", b"use cookies",
-    b"lorem ipsum", b"javascript", b"sign in to", b"log in to", b"subscribe to", b"click here", b"share on", b"powered by",
-)
+#: Phrases of lines that belong to a page and not to its text, by language; lower-case, as A-Z are lowered before they are looked for.
+PHRASES = {
+    "en": (
+        "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies",
+        "lorem ipsum", "javascript", "sign in to", "log in to", "subscribe to", "click here", "share on", "powered by",
+    ),
+    "de": ("alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "hier klicken"),
+    "es": ("todos los derechos reservados", "términos de uso", "política de privacidad", "haga clic aquí"),
+    "fr": ("tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "cliquez ici"),
+}
+BOILERPLATE = tuple(p for phrases in PHRASES.values() for p in phrases)
 
 
 def _counts(flags: np.ndarray, edges_from: np.ndarray, edges_to: np.ndarray) -> np.ndarray:
@@ -66,7 +76,7 @@ def repeated_words(words: np.ndarray, doc: np.ndarray, n_docs: int, width: int =
     return np.bincount(doc[covered], minlength=n_docs)
 
 
-def judge(t: Texts, *, max_loss: float = 0.5, min_words: int = 50, max_repeat: int = 50, short: int = 5) -> dict:
+def judge(t: Texts, *, max_loss: float = 0.5, min_words: int = 50, max_repeat: int = 50, short: int = 5, phrases: tuple[str, ...] = BOILERPLATE) -> dict:
     """Measures of a chunk's documents, and its lines (start, end, document, failed)."""
     data, off, n = t.data, t.offsets, len(t)
     starts, ends, doc = word_spans(data, off)
@@ -110,7 +120,7 @@ def judge(t: Texts, *, max_loss: float = 0.5, min_words: int = 50, max_repeat: i
         shouting = (in_line >= 4) & (letters >= 12) & (10 * capitals >= 6 * letters)
         boiler = np.zeros(len(from_), bool)
         low = LOWER[data].tobytes()
-        for phrase in BOILERPLATE:
+        for phrase in (p.encode() for p in phrases):
             at = low.find(phrase)
             while at >= 0:
                 k = np.searchsorted(from_, at, "right") - 1
@@ -144,11 +154,11 @@ def _cleaned(t: Texts, lines: tuple) -> list[str]:
     return [b"\n".join(x).decode("utf-8", "replace") for x in out]
 
 
-def clean(docs: DataFrame, *, max_loss: float = 0.5, text: str = "text", key: str = "doc_id", with_text: bool = True) -> DataFrame:
+def clean(docs: DataFrame, *, max_loss: float = 0.5, phrases: tuple[str, ...] = BOILERPLATE, text: str = "text", key: str = "doc_id", with_text: bool = True) -> DataFrame:
     """Per document: its key, the measures, kept, and (with_text) the lines that passed as cleaned."""
 
     def run(t: Texts) -> dict:
-        found = judge(t, max_loss=max_loss)
+        found = judge(t, max_loss=max_loss, phrases=phrases)
         lines = found.pop("lines")
         return {key: t.batch.column(key), **found} | ({"cleaned": pa.array(_cleaned(t, lines), pa.string())} if with_text else {})
 

@@ -9,7 +9,10 @@ sizes. Files are written under temporary names and moved, so a task that runs ag
 Texts are encoded by the tokenizers library. A run of white space with what follows it is encoded
 alike wherever it stands (byte-level BPE never joins across the start of white space that follows
 something else), so distinct runs are encoded once and looked up, in a table of bounded size.
-A null text is empty and has the end id alone.
+A null or empty text has the end id alone; very long ones are encoded whole. Rows without an id can't be
+found again in the files and are left out; rows that repeat one stand side by side, by their text, which
+is also how ties are broken. Only the id and the text are read, whatever other columns are called. An
+empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from .common import SPACE, chunks, small_batches, span_hashes, stored, work_dir
 MAGIC, HEAD = b"TKLKIDS1", "<8sIIQQ"
 #: Slots of a worker's table of pieces (14 bytes each), of which half may be used; then it starts anew.
 TABLE = 1 << 22
-#: Documents of a shard, about.
-SHARD_ROWS = 8192
+#: Documents and bytes of text of a shard, about.
+SHARD_ROWS, SHARD_BYTES = 8192, 32 << 20
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -187,7 +192,8 @@ def write(docs: DataFrame, folder: str, *, path: str | None = None, end_id: int
     path = path or tokenizer_path()
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    n = max(1, -(-rows.count() // shard_rows))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n = max(1, -(-size["n"] // shard_rows), -(-size["bytes"] // SHARD_BYTES))
 
     def run(batches):
         enc = encoder(path)
