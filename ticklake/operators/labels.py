@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.scalars import net_label
 from . import asof
@@ -43,27 +47,46 @@ def first_touch(t: np.ndarray, entry: np.ndarray, vol: np.ndarray, ts: np.ndarra
 def triple_barrier(samples: DataFrame, mids: DataFrame, keys: list[str], *, ts: str = "ts_ns", entry: str = "entry_mid", vol: str = "vol", up: float = 2.0, down: float = 2.0, limit_ms: int = 30_000, mid_ts: str = "ts_ns", mid: str = "mid") -> DataFrame:
     """samples with barrier_label and barrier_ret_bps: which barrier the mids after the sample touch first.
 
-    Samples and mids of a key meet in one task by cogroup; keys should hold the date.
+    Times, entries and volatilities of samples and the mids of their key meet in one ordering; a task takes one key
+    after the other, as arrays of numbers. Samples travel once, to meet the answers of their own key, time, entry
+    and volatility. Keys should hold the date where one key's mids are more than a worker holds (16 bytes each).
     """
     if min(up, down, limit_ms) <= 0:
         raise ValueError("barriers and limit are positive")
-
-    names = [*samples.columns, "barrier_label", "barrier_ret_bps"]
-
-    def fold(s: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        if not len(s.columns) or not len(s):  # a key without samples
-            return pd.DataFrame(columns=names)
-        if not len(m.columns):  # a key without mids
-            m = pd.DataFrame({"__m": [], "__t": []})
-        m = m[m["__m"].notna()].sort_values("__t", kind="stable")
-        label, ret = first_touch(s[ts].to_numpy(np.int64), s[entry].to_numpy(float), s[vol].to_numpy(float), m["__t"].to_numpy(np.int64), m["__m"].to_numpy(float), up, down, limit_ms * MS)
-        return s.assign(barrier_label=pd.array(np.where(label == -128, 0, label), "Int32"), barrier_ret_bps=ret).assign(barrier_label=lambda x: x["barrier_label"].mask(label == -128))
-
-    schema = f"{samples._jdf.schema().toDDL()}, barrier_label INT, barrier_ret_bps DOUBLE"
-    # Names of their own keep the two sides' columns apart where both come from one table.
-    right = mids.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(mid_ts).alias("__t"), F.col(mid).alias("__m"))
-    out = samples.groupBy(*keys).cogroup(right.groupBy(*[f"__k{i}" for i in range(len(keys))])).applyInPandas(fold, schema)
-    return out.withColumn("barrier_ret_bps", F.when(~F.isnan("barrier_ret_bps"), F.col("barrier_ret_bps")))
+    num = lambda c: F.col(c).cast("double")
+    asked = samples.select(F.struct(*keys).alias("__k"), F.col(ts).cast("long").alias("__t"), num(entry).alias("__e"), num(vol).alias("__v"), F.lit(None).cast("double").alias("__m"), F.lit(True).alias("__q")).distinct()
+    known = mids.where(F.col(mid).isNotNull()).select(F.struct(*keys).alias("__k"), F.col(mid_ts).cast("long").alias("__t"), F.lit(None).cast("double").alias("__e"), F.lit(None).cast("double").alias("__v"), num(mid).alias("__m"), F.lit(False).alias("__q"))
+    rows = asked.union(known).repartition("__k").sortWithinPartitions("__k", "__t")
+    kind = rows.schema["__k"].dataType
+    out = StructType([StructField("__k", kind), *StructType.fromDDL("__t LONG, __e DOUBLE, __v DOUBLE, barrier_label INT, barrier_ret_bps DOUBLE").fields])
+    arrow = to_arrow_schema(out)
+
+    def answered(key, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t, e, v, m, q = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("__t", "__e", "__v", "__m", "__q"))
+        q = q.astype(bool)
+        label, ret = first_touch(t[q], e[q].astype(float), v[q].astype(float), t[~q], m[~q].astype(float), up, down, limit_ms * MS)
+        n = int(q.sum())
+        none = label == -128
+        return pa.RecordBatch.from_arrays([pa.array([key] * n, arrow.field("__k").type), pa.array(t[q]), pa.array(e[q].astype(float), from_pandas=True), pa.array(v[q].astype(float), from_pandas=True), pa.array(label.astype(np.int32), mask=none), pa.array(ret, mask=none)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+        for batch in batches:
+            own = batch.column("__k").to_pylist()
+            cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    if parts and own[a] != last:
+                        yield answered(last, parts)
+                        parts = []
+                    last = own[a]
+                    parts.append(batch.slice(a, b - a))
+        if parts:
+            yield answered(last, parts)
+
+    got = rows.mapInArrow(run, out)
+    on = F.struct(*[samples[k] for k in keys]).eqNullSafe(F.col("__k")) & samples[ts].cast("long").eqNullSafe(F.col("__t")) & samples[entry].cast("double").eqNullSafe(F.col("__e")) & samples[vol].cast("double").eqNullSafe(F.col("__v"))
+    return samples.join(got, on, "left").select(*[samples[c] for c in samples.columns], "barrier_label", "barrier_ret_bps")
 
 
 def net_labels(samples: DataFrame, costs: dict, horizons_ms: tuple[int, ...] = HORIZONS_MS) -> DataFrame:

@@ -47,33 +47,69 @@ def null_unsupported(rows: DataFrame) -> DataFrame:
     return rows.withColumns(new)
 
 
+def lookups(samples: DataFrame, streams: dict[str, DataFrame], keys: list[str], ts: str, widths: list[int], order: str | None = None) -> DataFrame:
+    """(keys, ts, <stream>_<width>): for each key and time of samples, structs of each stream's last row before ts - width.
+
+    At width 0 that is strictly before, else at ts - width or before it. All streams and widths are looked up in one
+    ordering, which shares a shuffle by the key; of a stream's rows at one time the last by order counts.
+    """
+    widths = sorted({0, *widths})
+    known = None
+    for name, rows in streams.items():
+        values = [c for c in rows.columns if c not in keys and c != order]
+        n = F.col(order).cast("long") if order in rows.columns else F.lit(0).cast("long")
+        one = rows.select(*keys, F.col(ts).alias("__t"), F.lit(1).alias("__o"), n.alias("__n"), F.struct(*values).alias(f"__{name}"))
+        known = one if known is None else known.unionByName(one, allowMissingColumns=True)
+    ends = F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("w"), F.lit(2 if w else 0).alias("o")) for w in widths]))
+    ask = samples.select(*keys, F.col(ts).alias("__ts")).distinct().withColumn("__e", ends)
+    ask = ask.select(*keys, (F.col("__ts") - F.col("__e.w")).alias("__t"), F.col("__e.o").alias("__o"), F.lit(0).cast("long").alias("__n"), "__ts", F.col("__e.w").alias("__w"))
+    w = Window.partitionBy(*keys).orderBy("__t", "__o", "__n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = known.unionByName(ask, allowMissingColumns=True)
+    found = both.withColumns({f"__{name}": F.last(f"__{name}", ignorenulls=True).over(w) for name in streams}).where("__w IS NOT NULL")
+    picks = [F.first(F.when(F.col("__w") == x, F.col(f"__{name}")), ignorenulls=True).alias(f"{name}_{x}") for name in streams for x in widths]
+    return found.groupBy(*keys, F.col("__ts").alias(ts)).agg(*picks)
+
+
+def _with(samples: DataFrame, answers: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """samples with the answers of their own key and time; null keys are keys."""
+    names = {c: f"__a{i}" for i, c in enumerate((*keys, ts))}
+    a = answers.select(*[F.col(c).alias(n) for c, n in names.items()], *[c for c in answers.columns if c not in names])
+    on = F.lit(True)
+    for c, n in names.items():
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return samples.join(a, on, "left").drop(*names.values())
+
+
+def _cumulated(rows: DataFrame, keys: list[str], ts: str, columns: list[str], more: list[str] = (), order: str | None = None) -> DataFrame:
+    """(keys, ts, order, columns, more): the columns as sums up to each row."""
+    cum = Window.partitionBy(*keys).orderBy(ts, *([order] if order else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select(*keys, ts, *([order] if order else []), *[F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(cum).alias(c) for c in columns], *more)
+
+
+def _between(stream: str, column: str, width: int) -> Column:
+    """The sum of a cumulated column over (ts - width, ts)."""
+    at = lambda x: F.coalesce(F.col(f"{stream}_{x}.{column}"), F.lit(0.0))
+    return at(0) - at(width)
+
+
 def sums_at(samples: DataFrame, events: DataFrame, keys: list[str], ts: str, wanted: dict[str, tuple[str, int]]) -> DataFrame:
     """samples with, by new name, the sum of an events column over (ts - width, ts); wanted: name -> (column, width). 0 where empty."""
-    columns = sorted({c for c, _ in wanted.values()})
-    widths = sorted({w for _, w in wanted.values()})
-    cum = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    row = F.struct(*[F.col(c) for c in samples.columns]).alias("__row")
-    kind = samples.select(row).schema["__row"].dataType
-    known = events.select(*keys, F.col(ts).alias("__t"), F.lit(1).alias("__o"), F.struct(*[F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(cum).alias(c) for c in columns]).alias("__v"), F.lit(None).cast(kind).alias("__row"), F.lit(None).cast("long").alias("__w"))
-    empty = F.lit(None).cast(known.schema["__v"].dataType).alias("__v")
-    ends = F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("w"), F.lit(2 if w else 0).alias("o")) for w in (0, *widths)])).alias("__e")
-    ask = samples.select(*keys, F.col(ts).alias("__ts"), row, ends).select(*keys, (F.col("__ts") - F.col("__e.w")).alias("__t"), F.col("__e.o").alias("__o"), empty, "__row", F.col("__e.w").alias("__w"))
-    w = Window.partitionBy(*keys).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = known.union(ask).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__row IS NOT NULL")
-    picks = [F.max(F.when(F.col("__w") == x, F.col("__v"))).alias(f"__{x}") for x in (0, *widths)]
-    got = found.groupBy("__row").agg(*picks)
-    part = lambda x, c: F.coalesce(F.col(f"__{x}.{c}"), F.lit(0.0))
-    return got.select("__row.*", *[(part(0, c) - part(width, c)).alias(name) for name, (c, width) in wanted.items()])
+    stream = _cumulated(events, keys, ts, sorted({c for c, _ in wanted.values()}))
+    got = lookups(samples, {"s": stream}, keys, ts, [w for _, w in wanted.values()])
+    got = got.select(*keys, ts, *[_between("s", c, w).alias(f"__{i}") for i, (c, w) in enumerate(wanted.values())])
+    return _with(samples, got, keys, ts).select(*samples.columns, *[F.col(f"__{i}").alias(n) for i, n in enumerate(wanted)])
 
 
 def features(samples: DataFrame, book: DataFrame, trades: DataFrame, *, keys: tuple[str, ...] = ("venue", "symbol"), reference: DataFrame | None = None, ts: str = "ts_ns") -> DataFrame:
     """samples (keys, ts_ns) with the feature columns, from rows strictly before ts_ns.
 
     book: stored book rows (kind event or bbo). trades: stored trades. reference: (keys, ts_ns, mid) of the venue
-    compared with. On venues with bbo rows these give touch and mids, and event rows the depth.
+    compared with. On venues with bbo rows these give touch and mids, and event rows the depth. Depth, touch, mids
+    and trades are looked up in one ordering, at the sample and at the start of each window.
     """
     keys = list(keys)
-    seq = [ts] + [c for c in ("seq",) if c in book.columns]
+    order = "seq" if "seq" in book.columns else None
+    seq = [ts, *([order] if order else [])]
     depth = book.where("kind = 'event'")
     w = Window.partitionBy(*keys).orderBy(*seq)
     prev = F.lag(F.struct("best_bid", "best_ask", "bid_qty", "ask_qty", "bid_qtys", "ask_qtys", "valid")).over(w)
@@ -84,56 +120,64 @@ def features(samples: DataFrame, book: DataFrame, trades: DataFrame, *, keys: tu
     mids = windows.log_returns(mids, keys, seq, "mid").withColumn("r2", F.col("log_ret") * F.col("log_ret"))
     flagged = F.when(F.col("venue").isin(*SIDE_FLAGGED), windows.venue_flag(F.col("venue_side")))
     t = windows.tick_rule(trades, keys, [ts], flag=flagged).withColumn("signed", F.col("sign") * F.col("qty")).withColumn("pq", F.col("price") * F.col("qty")).withColumn("one", F.lit(1.0))
-    out = samples
-    out = sums_at(out, depth, keys, ts, {f"{n}_{s}s": (n, s * S) for n in ("ofi_best", "ofi_deep") for s in (1, 5)})
-    out = sums_at(out, t, keys, ts, {f"signed_vol_{s}s": ("signed", s * S) for s in (1, 5, 30)} | {"trade_count_5s": ("one", 5 * S), "__pq": ("pq", 5 * S), "__q": ("qty", 5 * S)})
-    out = sums_at(out, mids, keys, ts, {f"__r2_{s}": ("r2", s * S) for s in (1, 5, 30)} | {"ret_1s": ("log_ret", S)})
-    out = asof.asof(out, mids, keys, ts, ts, ["mid"], prefix="__m_", order=seq[1:])
+    t = t.withColumn("recent", F.collect_list(ts).over(Window.partitionBy(*keys).orderBy(ts).rowsBetween(-49, 0)))
     touch = priced.where(F.when(F.col("__bbo"), F.col("kind") == "bbo").otherwise(F.col("kind") == "event")).select(*keys, *seq, (F.col("__bbo") | B.usable()).alias("ok"), B.spread().alias("spread_abs"), B.spread_bps().alias("spread_bps"), B.micro_minus_mid().alias("micro_minus_mid"), B.queue_imbalance().alias("qimb_best"))
     near = ["spread_abs", "spread_bps", "micro_minus_mid", "qimb_best"]
-    out = asof.asof(out, touch, keys, ts, ts, ["ok", *near], prefix="__t_", order=seq[1:])
-    out = out.withColumns({c: F.when(F.col("__t_ok"), F.col(f"__t_{c}")) for c in near})
     levels = {f"depth_{s}_{i}": B.depth(s, i) for s in ("bid", "ask") for i in range(1, LEVELS + 1)} | {f"slope_{s}": B.slope(s, LEVELS) for s in ("bid", "ask")} | {"book_asym": B.asymmetry(LEVELS), "dwp_minus_mid": B.depth_weighted_minus_mid(LEVELS)}
-    out = asof.asof(out, depth.select(*keys, *seq, B.usable().alias("ok"), *[c.alias(n) for n, c in levels.items()]), keys, ts, ts, ["ok", *levels], prefix="__d_", order=seq[1:])
-    out = out.withColumns({n: F.when(F.col("__d_ok"), F.col(f"__d_{n}")) for n in levels})
-    last50 = t.withColumn("recent", F.collect_list(ts).over(Window.partitionBy(*keys).orderBy(ts).rowsBetween(-49, 0)))
-    out = asof.asof(out, last50, keys, ts, ts, ["recent"], prefix="__i_")
-    out = windows.with_gap_stats(out.withColumn("__recent", F.filter("__i_recent", lambda x: x >= F.col(ts) - 60 * S)))
-    new = {
-        "entry_mid": F.col("__m_mid"),
-        "book_usable": F.coalesce("__d_ok", F.lit(False)),
-        "vwap_minus_mid_5s": F.when(F.col("__q") > 0, F.col("__pq") / F.col("__q") - F.col("__m_mid")),
-        "time_since_trade_ms": (F.col(ts) - F.col("__i_ts")) / 1e6,
-        "abs_ret_1s": F.abs("ret_1s"),
-    } | {f"rvol_{s}s": F.sqrt(F.greatest(F.col(f"__r2_{s}"), F.lit(0.0))) for s in (1, 5, 30)}
-    out = out.withColumns(new)
-    out = _cross_venue(out, mids, reference, keys, ts) if reference is not None else out.withColumns({c: F.lit(None).cast("double") for c in FEATURES if c.startswith("xv_")})
+    streams = {
+        "depth": _cumulated(depth, keys, ts, ["ofi_best", "ofi_deep"], [B.usable().alias("ok"), *[c.alias(n) for n, c in levels.items()]], order),
+        "touch": touch, "mids": _cumulated(mids, keys, ts, ["r2", "log_ret"], ["mid"], order), "trades": _cumulated(t, keys, ts, ["signed", "one", "pq", "qty"], ["recent"]),
+    }
+    got = lookups(samples, streams, keys, ts, [S, 5 * S, 30 * S], order)
+    mid, volume = F.col("mids_0.mid"), _between("trades", "qty", 5 * S)
+    new = {f"{n}_{s}s": _between("depth", n, s * S) for n in ("ofi_best", "ofi_deep") for s in (1, 5)} | {f"signed_vol_{s}s": _between("trades", "signed", s * S) for s in (1, 5, 30)}
+    new |= {f"rvol_{s}s": F.sqrt(F.greatest(_between("mids", "r2", s * S), F.lit(0.0))) for s in (1, 5, 30)}
+    new |= {c: F.when(F.col("touch_0.ok"), F.col(f"touch_0.{c}")) for c in near} | {n: F.when(F.col("depth_0.ok"), F.col(f"depth_0.{n}")) for n in levels}
+    new |= {
+        "trade_count_5s": _between("trades", "one", 5 * S), "ret_1s": _between("mids", "log_ret", S), "abs_ret_1s": F.abs(_between("mids", "log_ret", S)),
+        "entry_mid": mid, "__m_mid": mid, "book_usable": F.coalesce("depth_0.ok", F.lit(False)), "vwap_minus_mid_5s": F.when(volume > 0, _between("trades", "pq", 5 * S) / volume - mid),
+        "time_since_trade_ms": (F.col(ts) - F.col(f"trades_0.{ts}")) / 1e6, "__recent": F.filter("trades_0.recent", lambda x: x >= F.col(ts) - 60 * S),
+    }
+    got = got.select(*keys, ts, *[c.alias(n) for n, c in new.items()])
+    out = windows.with_gap_stats(_with(samples, got, keys, ts))
+    if reference is None:
+        out = out.withColumns({c: F.lit(None).cast("double") for c in FEATURES if c.startswith("xv_")})
+    else:
+        out = _with(out, _cross_venue(samples, mids, reference, keys, ts), keys, ts)
     extra = [c for c in samples.columns if c not in FEATURES]
     return null_unsupported(out.select(*extra, "entry_mid", "book_usable", *FEATURES))
 
 
-def _cross_venue(out: DataFrame, mids: DataFrame, reference: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Adds the difference to the reference mid, its z-score over a minute, and lead-lag correlations over completed 100 ms bins of a minute."""
+#: Lead-lag features by the reference's shift in bins of 100 ms. Fixed values.
+LEAD_LAGS = {"xv_leadlag_m500": -5, "xv_leadlag_m100": -1, "xv_leadlag_0": 0, "xv_leadlag_p100": 1, "xv_leadlag_p500": 5}
+
+
+def _cross_venue(samples: DataFrame, mids: DataFrame, reference: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """(keys, ts) of samples with the difference to the reference mid, its z-score over a minute, and lead-lag correlations over completed 100 ms bins of a minute.
+
+    Differences, both mids and the products of all shifts are streams of one lookup.
+    """
     ref = reference.where("mid > 0").select(*keys, ts, F.col("mid").alias("rmid"))
     at = asof.asof(mids.select(*keys, ts, "mid"), ref, keys, ts, ts, ["rmid"], ties=True, prefix="__x_")
     diffs = at.withColumn("d", 1e4 * (F.col("mid") - F.col("__x_rmid")) / F.col("__x_rmid")).where("d IS NOT NULL").withColumn("dd", F.col("d") * F.col("d")).withColumn("one", F.lit(1.0))
-    out = sums_at(out, diffs, keys, ts, {"__dn": ("one", 60 * S), "__ds": ("d", 60 * S), "__dd": ("dd", 60 * S)})
-    out = asof.asof(out, ref, keys, ts, ts, ["rmid"], prefix="__y_")
-    diff = 1e4 * (F.col("__m_mid") - F.col("__y_rmid")) / F.col("__y_rmid")
-    mean = F.col("__ds") / F.col("__dn")
-    var = F.col("__dd") / F.col("__dn") - mean * mean
-    out = out.withColumn("xv_mid_diff_bps", diff).withColumn("xv_diff_z", F.when((F.col("__dn") >= 30) & (var > 1e-12), (diff - mean) / F.sqrt(var)))
+    streams = {"own": mids.select(*keys, ts, "mid"), "ref": ref, "diff": _cumulated(diffs, keys, ts, ["one", "d", "dd"])}
     width = 100_000_000
     p, r = windows.binned_returns(mids, keys, ts, "mid", width), windows.binned_returns(ref, keys, ts, "rmid", width)
-    names = {"xv_leadlag_m500": -5, "xv_leadlag_m100": -1, "xv_leadlag_0": 0, "xv_leadlag_p100": 1, "xv_leadlag_p500": 5}
-    for name, shift in names.items():
+    moments = ["n1", "x", "y", "xx", "yy", "xy"]
+    for name, shift in LEAD_LAGS.items():
         pair = p.join(r.select(*keys, (F.col("bin") + shift).alias("bin"), F.col("ret").alias("y")), [*keys, "bin"]).withColumnRenamed("ret", "x").withColumn(ts, (F.col("bin") + 1) * width - 1)
         pair = pair.withColumns({"n1": F.lit(1.0), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")})
-        out = sums_at(out, pair, keys, ts, {f"__c_{c}": (c, 60 * S) for c in ("n1", "x", "y", "xx", "yy", "xy")})
-        c = lambda k: F.col(f"__c_{k}")
-        vx, vy = c("n1") * c("xx") - c("x") * c("x"), c("n1") * c("yy") - c("y") * c("y")
-        out = out.withColumn(name, F.when((c("n1") >= 30) & (vx > 1e-18) & (vy > 1e-18), (c("n1") * c("xy") - c("x") * c("y")) / F.sqrt(vx * vy))).drop(*[f"__c_{k}" for k in ("n1", "x", "y", "xx", "yy", "xy")])
-    return out
+        streams[name] = _cumulated(pair, keys, ts, moments)
+    got = lookups(samples, streams, keys, ts, [60 * S])
+    diff = 1e4 * (F.col("own_0.mid") - F.col("ref_0.rmid")) / F.col("ref_0.rmid")
+    n, d, dd = (_between("diff", c, 60 * S) for c in ("one", "d", "dd"))
+    var = F.when(n > 0, dd / n - (d / n) * (d / n))
+    new = {"xv_mid_diff_bps": diff, "xv_diff_z": F.when((n >= 30) & (var > 1e-12), (diff - d / n) / F.sqrt(var))}
+    for name in LEAD_LAGS:
+        k, x, y, xx, yy, xy = (_between(name, c, 60 * S) for c in moments)
+        vx, vy = k * xx - x * x, k * yy - y * y
+        new[name] = F.when((k >= 30) & (vx > 1e-18) & (vy > 1e-18), (k * xy - x * y) / F.sqrt(vx * vy))
+    return got.select(*keys, ts, *[c.alias(n) for n, c in new.items()])
 
 
 def extract(book: DataFrame, trades: DataFrame, gaps: DataFrame | None = None, *, keys: tuple[str, ...] = ("venue", "symbol"), every: int = 50, reference: DataFrame | None = None, horizons_ms: tuple[int, ...] = labels.HORIZONS_MS, lookback_s: int = 60, maker_bps: float = 2.0, taker_bps: float = 5.0) -> DataFrame:
@@ -143,15 +187,16 @@ def extract(book: DataFrame, trades: DataFrame, gaps: DataFrame | None = None, *
     """
     ks = list(keys)
     picked = bars.event_bars(book.where("kind = 'event'"), ks, ["ts_ns", *(["seq"] if "seq" in book.columns else [])], every, "true").select(*ks, "ts_ns").distinct()
-    out = features(picked, book, trades, keys=keys, reference=reference)
     valid_mids = book.where("kind = 'event' AND valid AND mid > 0")
-    out = labels.fixed_horizons(out, valid_mids, ks, horizons_ms=horizons_ms)
-    out = labels.triple_barrier(out.withColumn("vol", F.col("rvol_30s")), valid_mids, ks).drop("vol")
-    out = labels.net_labels(out, {"maker": 2 * maker_bps, "taker": 2 * taker_bps + F.coalesce("spread_bps", F.lit(0.0))}, horizons_ms)
-    spans = out.withColumn("start_ns", F.col("ts_ns") - lookback_s * S).withColumn("end_ns", F.col("ts_ns") + max(horizons_ms) * 1_000_000)
-    if gaps is not None:
-        spans = intervals.touched(spans, gaps, ks)
-    else:
-        spans = spans.withColumn("touched", F.lit(False))
+    # What depends on a sample's time alone is asked with the narrow samples, so features are computed for themselves and the barriers only.
+    exits = asof.resolved(picked, valid_mids, ks, "ts_ns", {f"__exit{h}": h * 1_000_000 for h in horizons_ms})
+    spans = picked.withColumn("start_ns", F.col("ts_ns") - lookback_s * S).withColumn("end_ns", F.col("ts_ns") + max(horizons_ms) * 1_000_000)
+    spans = intervals.touched(spans, gaps, ks) if gaps is not None else spans.withColumn("touched", F.lit(False))
+    out = features(picked, book, trades, keys=keys, reference=reference)
+    out = labels.triple_barrier(out.withColumn("vol", F.col("rvol_30s")), valid_mids, ks)
+    names = [c for c in out.columns if c not in ("vol", "barrier_label", "barrier_ret_bps")]
+    out = _with(_with(out, exits, ks, "ts_ns"), spans.select(*ks, "ts_ns", "touched"), ks, "ts_ns")
+    out = out.select(*names, *[asof.returns_bps(F.col(f"__exit{h}"), F.col("entry_mid")).alias(f"ret_{h}ms") for h in horizons_ms], "barrier_label", "barrier_ret_bps", "touched")
+    spans = labels.net_labels(out, {"maker": 2 * maker_bps, "taker": 2 * taker_bps + F.coalesce("spread_bps", F.lit(0.0))}, horizons_ms)
     ok = reduce(lambda a, b: a & b, [~F.col("touched"), F.col("book_usable"), F.col("entry_mid").isNotNull()])
-    return spans.withColumn("valid", ok).drop("start_ns", "end_ns", "touched")
+    return spans.withColumn("valid", ok).drop("touched")
