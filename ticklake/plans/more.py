@@ -293,12 +293,12 @@ def _(spark, d):
 
 
 @query("f7_vwap_minus_mid", f"""WITH {E}, p AS (SELECT event_id, user_id AS u, t, value AS mid FROM e WHERE event_type = 'view'), x AS (SELECT user_id AS u, t, value AS px, k AS q FROM e WHERE event_type = 'click'),
-j AS (SELECT p.event_id, p.mid, p.t, sum(x.px * x.q) AS pq, sum(x.q) AS q, count(x.t) AS n, max(x.t) AS top FROM p LEFT JOIN x ON x.u = p.u AND x.t > p.t - {3 * DAY} AND x.t < p.t GROUP BY 1, 2, 3) SELECT event_id, round(CASE WHEN q > 0 THEN pq / q - mid END, 6) AS vwap_minus_mid, n FROM j""")
+j AS (SELECT p.event_id, p.mid, p.t, sum(x.px * x.q) AS pq, sum(x.q) AS q, count(x.t) AS n, max(x.t) AS top FROM p LEFT JOIN x ON x.u = p.u AND x.t > p.t - {3 * DAY} AND x.t < p.t GROUP BY 1, 2, 3) SELECT event_id, round(CASE WHEN q > 0 THEN pq / q - mid END, 4) AS vwap_minus_mid, n FROM j""")
 def _(spark, d):
     e = events(spark, d)
     t = e.where("event_type = 'click'").select("user_id", "t", (F.col("value") * F.col("k")).alias("pq"), F.col("k").alias("q"), F.lit(1.0).alias("one"))
     out = samples.sums_at(e.where("event_type = 'view'").select("event_id", "user_id", "t", "value"), t, ["user_id"], "t", {"pq": ("pq", 3 * DAY), "q": ("q", 3 * DAY), "n": ("one", 3 * DAY)})
-    return out.select("event_id", r6(F.when(F.col("q") > 0.5, F.col("pq") / F.col("q") - F.col("value"))).alias("vwap_minus_mid"), F.col("n").cast("long").alias("n"))
+    return out.select("event_id", F.round(F.when(F.col("q") > 0.5, F.col("pq") / F.col("q") - F.col("value")), 4).alias("vwap_minus_mid"), F.col("n").cast("long").alias("n"))
 
 
 @query("f14_supply_class", f"""WITH {BARS}, x AS (SELECT s, d, close, (SELECT arg_max(y.close, y.d) FROM b y WHERE y.s = b.s AND y.d <= b.d - 7) AS p7, (SELECT arg_max(y.close, y.d) FROM b y WHERE y.s = b.s AND y.d <= b.d - 28) AS p28 FROM b), c AS (SELECT s, d, close / p7 - 1 AS c7, close / p28 - 1 AS c28 FROM x)
@@ -331,9 +331,9 @@ def _(spark, d):
     return m.select("event_id", F.row_number().over(Window.orderBy("ts_ns", "prio", "event_id")).cast("long").alias("n"))
 
 
-@query("g4_best_levels", f"WITH {E}, l AS (SELECT user_id, CAST(value AS INT) AS px, max(k) AS q FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY px DESC) AS b, row_number() OVER (PARTITION BY user_id ORDER BY px) AS a FROM l) SELECT user_id, max(px) FILTER (WHERE b = 1) AS bid1, max(px) FILTER (WHERE b = 2) AS bid2, max(px) FILTER (WHERE a = 1) AS ask1, max(q) FILTER (WHERE a = 2) AS ask2_qty FROM r GROUP BY 1")
+@query("g4_best_levels", f"WITH {E}, l AS (SELECT user_id, CAST(floor(value) AS INT) AS px, max(k) AS q FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY px DESC) AS b, row_number() OVER (PARTITION BY user_id ORDER BY px) AS a FROM l) SELECT user_id, max(px) FILTER (WHERE b = 1) AS bid1, max(px) FILTER (WHERE b = 2) AS bid2, max(px) FILTER (WHERE a = 1) AS ask1, max(q) FILTER (WHERE a = 2) AS ask2_qty FROM r GROUP BY 1")
 def _(spark, d):
-    l = events(spark, d).groupBy("user_id", F.round("value").cast("int").alias("px")).agg(F.max("k").alias("q"))  # noqa: E741
+    l = events(spark, d).groupBy("user_id", F.floor("value").cast("int").alias("px")).agg(F.max("k").alias("q"))  # noqa: E741
     m = l.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("px", "q"))).alias("m"))
     bid, ask = B.best_levels(F.col("m"), "bid", 2), B.best_levels(F.col("m"), "ask", 2)
     at = lambda a, i, f: F.get(a, F.lit(i))[f]
