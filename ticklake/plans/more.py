@@ -293,12 +293,13 @@ def _(spark, d):
 
 
 @query("f7_vwap_minus_mid", f"""WITH {E}, p AS (SELECT event_id, user_id AS u, t, value AS mid FROM e WHERE event_type = 'view'), x AS (SELECT user_id AS u, t, value AS px, k AS q FROM e WHERE event_type = 'click'),
-j AS (SELECT p.event_id, p.mid, p.t, sum(x.px * x.q) AS pq, sum(x.q) AS q, count(x.t) AS n, max(x.t) AS top FROM p LEFT JOIN x ON x.u = p.u AND x.t > p.t - {3 * DAY} AND x.t < p.t GROUP BY 1, 2, 3) SELECT event_id, round(CASE WHEN q > 0 THEN pq / q - mid END, 4) AS vwap_minus_mid, n FROM j""")
+j AS (SELECT p.event_id, p.mid, p.t, sum(x.px * x.q) AS pq, sum(x.q) AS q, count(x.t) AS n, max(x.t) AS top FROM p LEFT JOIN x ON x.u = p.u AND x.t > p.t - {3 * DAY} AND x.t < p.t GROUP BY 1, 2, 3) SELECT event_id, round(coalesce(pq, 0), 2) AS pq, CAST(coalesce(q, 0) AS BIGINT) AS q, CASE WHEN q > 0 THEN pq / q > mid + 0.001 END AS above_mid, n FROM j""")
 def _(spark, d):
     e = events(spark, d)
     t = e.where("event_type = 'click'").select("user_id", "t", (F.col("value") * F.col("k")).alias("pq"), F.col("k").alias("q"), F.lit(1.0).alias("one"))
     out = samples.sums_at(e.where("event_type = 'view'").select("event_id", "user_id", "t", "value"), t, ["user_id"], "t", {"pq": ("pq", 3 * DAY), "q": ("q", 3 * DAY), "n": ("one", 3 * DAY)})
-    return out.select("event_id", F.round(F.when(F.col("q") > 0.5, F.col("pq") / F.col("q") - F.col("value")), 4).alias("vwap_minus_mid"), F.col("n").cast("long").alias("n"))
+    above = F.when(F.col("q") > 0.5, F.col("pq") / F.col("q") > F.col("value") + 0.001)
+    return out.select("event_id", F.round("pq", 2).alias("pq"), F.round("q").cast("long").alias("q"), above.alias("above_mid"), F.col("n").cast("long").alias("n"))
 
 
 @query("f14_supply_class", f"""WITH {BARS}, x AS (SELECT s, d, close, (SELECT arg_max(y.close, y.d) FROM b y WHERE y.s = b.s AND y.d <= b.d - 7) AS p7, (SELECT arg_max(y.close, y.d) FROM b y WHERE y.s = b.s AND y.d <= b.d - 28) AS p28 FROM b), c AS (SELECT s, d, close / p7 - 1 AS c7, close / p28 - 1 AS c28 FROM x)
