@@ -284,7 +284,12 @@ def _(spark, d):
     return calendar.months_between(spark, "2023-11", "2024-03")
 
 
-@query("i11_open_hours")
+SUMMER = "CASE WHEN {x} >= make_date(year({x}), 3, 8) + CAST((7 - dayofweek(make_date(year({x}), 3, 8))) % 7 AS INT) AND {x} < make_date(year({x}), 11, 1) + CAST((7 - dayofweek(make_date(year({x}), 11, 1))) % 7 AS INT) THEN 5 ELSE 6 END"
+
+
+@query("i11_open_hours", f"""WITH {E}, d AS (SELECT DISTINCT CAST(make_timestamp(t) AS DATE) AS d FROM e), l AS (SELECT d, d + CAST(x AS INT) AS l FROM d, (SELECT unnest([-3, -2, -1, 0, 1]) AS x)), w AS (SELECT d, l, CASE WHEN dayofweek(l) = 5 THEN l + 2 ELSE l END AS z FROM l WHERE dayofweek(l) BETWEEN 1 AND 5),
+s AS (SELECT d, epoch(CAST(d AS TIMESTAMP)) AS o, epoch(CAST(l AS TIMESTAMP)) + (16 + {SUMMER.format(x='l')}) * 3600 AS a, epoch(CAST(z AS TIMESTAMP)) + (17 + {SUMMER.format(x='z')}) * 3600 AS b FROM w), c AS (SELECT d, sum(greatest(0, least(b, o + 86400) - greatest(a, o))) AS c FROM s GROUP BY 1)
+SELECT strftime(d.d, '%Y-%m-%d') AS date, CAST(86400 - coalesce(c, 0) AS BIGINT) * 1000000000 AS open_ns FROM d LEFT JOIN c ON c.d = d.d""")
 def _(spark, d):
     days = events(spark, d).select(F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd").alias("date")).distinct()
     return calendar.open_ns(days)
