@@ -81,7 +81,7 @@ def _mapped(x: np.ndarray, model: dict) -> np.ndarray:
     return np.hstack([np.ones((len(x), 1)), z, np.cos(z @ w + b) * np.sqrt(2 / model["features"])])
 
 
-def _summed(frame: DataFrame, fn, parts: int = 16) -> np.ndarray:
+def _summed(frame: DataFrame, fn, parts: int = 4) -> np.ndarray:
     """Arrays that fn makes of each partition's (x, y, fold), added on executors in parts, then on the driver."""
 
     def local(batches):

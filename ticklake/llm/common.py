@@ -7,6 +7,7 @@ calls. A null text counts as empty everywhere. Chunks hold about CHUNK bytes, or
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -28,6 +29,7 @@ ROWS = 256
 #: The ASCII white space of the contracts: space, and tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LIBC = ctypes.CDLL(None)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -76,15 +78,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 SHARE, PLENTY = 1024, 4096
 
 
-def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None, most: int | None = None) -> DataFrame:
     """left joined with right (a row a key) on one key column, with popular keys of left dealt into pieces.
 
     left should be a written table of narrow rows: its keys are counted first, map-side. There are at
     most SHARE popular keys, so their list may be broadcast; each is dealt by the rows' other columns
     into pieces of about that part, and its row of right is copied to them. rows: left's, if known (or
-    more); so few that no key can be popular aren't counted.
+    more); most: those of its most frequent key. So few that no key can be popular aren't counted.
     """
-    if rows is not None and rows <= PLENTY:
+    if min(rows if rows is not None else PLENTY + 1, most if most is not None else PLENTY + 1) <= PLENTY:
         return left.join(right, key, how)
     counts = left.groupBy(key).agg(F.count("*").alias("__n"))
     total, most = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
@@ -148,6 +150,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", key: str = "do
             to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
             yield as_texts(batch.slice(at, to - at), text, key)
             at = to
+    release()
+
+
+def release() -> None:
+    """Hands memory that this process holds but doesn't use back to the system: workers live on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_LIBC, "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def map_texts(df: DataFrame, fn: Callable[[Texts], dict], schema: str, *, text: str = "text", key: str = "doc_id", more: tuple[str, ...] = (), size: int = CHUNK) -> DataFrame:

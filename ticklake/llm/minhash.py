@@ -31,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, PLENTY, Texts, dealt_join, map_texts, mix, roll, small_batches, span_hashes, stored, word_spans
+from .common import LOWER, PLENTY, Texts, dealt_join, map_texts, mix, release, roll, small_batches, span_hashes, stored, word_spans
 
 #: Slots of a signature and bands of 4 slots: a pair at the threshold 0.8 shares no band with a
 #: chance of (1 - 0.8^4)^24 = 3e-6.
 SLOTS, BANDS = 96, 24
-#: Rounds of comparing bucket members with one leader each before the rest is compared completely.
-LEADER_ROUNDS = 2
+#: Rounds of comparing bucket members with one leader each before the rest is compared completely; the first is free of joins.
+LEADER_ROUNDS = 3
 #: Sets that a task holds while it compares others with them.
-BLOCK = 128
+BLOCK = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +179,7 @@ def _verify(percent: int):
                 both = int(np.count_nonzero(v[np.minimum(at, len(v) - 1)] == u)) if len(v) else 0
                 keep[i] = 100 * both >= percent * (len(u) + len(v) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        release()
 
     return run
 
@@ -278,9 +279,12 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = sig.where("n_shingles > 0").groupBy(*named).agg(F.min(F.struct("id", "hash", "bands")).alias("rep"))
     # A class's number is written with it, so it names the class from here on.
     classes = stored(classes.select(*named, "rep.*").withColumn("n", F.monotonically_increasing_id()), "minhash-classes")
-    rows = classes.select("n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    rows = stored(rows.join(shared, "bucket").select("n", "bucket"), "minhash-buckets")
+    rows = stored(classes.select("n", F.explode("bands").alias("bucket")), "minhash-bands")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("n").alias("leader")).where("members > 1")
+    shared = stored(shared, "minhash-shared")
+    most = shared.agg(F.coalesce(F.max("members"), F.lit(0))).first()[0]
+    # The first round's leaders, the least numbers, come with the buckets.
+    rows = stored(dealt_join(rows, shared.select("bucket", "leader"), "bucket", most=most).select("n", "bucket", "leader"), "minhash-buckets")
     near = classes.join(rows.select("n").distinct(), "n", "left_semi").select("id", "hash", "n")
     texts = docs.join(near.select("id", "hash"), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).join(near, ["id", "hash"])
     sets = stored(full_sets(texts.select("n", "text"), width, key="n"), "minhash-sets")
@@ -288,16 +292,19 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     found: DataFrame | None = None
     labels: DataFrame | None = None
     for k in range(LEADER_ROUNDS + 1):
-        left = rows.withColumn("comp", F.col("n")) if labels is None else rows.join(labels.withColumnRenamed("id", "n"), "n", "left").withColumn("comp", F.coalesce("comp", "n"))
-        if k < LEADER_ROUNDS:
-            # The first round takes the least number, later ones the least of a hash, of each bucket.
-            order = F.col("n") if k == 0 else F.xxhash64(F.lit(k), "n")
-            left = stored(left, f"minhash-members{k}")
-            lead = left.groupBy("bucket").agg(F.min_by(F.struct("n", "comp"), order).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-            met = dealt_join(left, stored(lead.select("bucket", F.col("lead.n").alias("leader"), F.col("lead.comp").alias("other")), f"minhash-leaders{k}"), "bucket")
-            links = verified(met.where("comp <> other").select(F.col("n").alias("a"), F.col("leader").alias("b")).distinct(), sets, percent)
+        if k == 0:
+            links = verified(rows.where("n <> leader").select(F.col("n").alias("a"), F.col("leader").alias("b")).distinct(), sets, percent)
         else:
-            links = _remaining(left, sets, percent)
+            left = rows.select("n", "bucket")
+            left = left.withColumn("comp", F.col("n")) if labels is None else left.join(labels.withColumnRenamed("id", "n"), "n", "left").withColumn("comp", F.coalesce("comp", "n"))
+            left = stored(left, f"minhash-members{k}")
+            if k < LEADER_ROUNDS:
+                # The least of a hash leads, of each bucket that isn't in one component.
+                lead = left.groupBy("bucket").agg(F.min_by(F.struct("n", "comp"), F.xxhash64(F.lit(k), "n")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+                met = dealt_join(left, stored(lead.select("bucket", F.col("lead.n").alias("leader"), F.col("lead.comp").alias("other")), f"minhash-leaders{k}"), "bucket", most=most)
+                links = verified(met.where("comp <> other").select(F.col("n").alias("a"), F.col("leader").alias("b")).distinct(), sets, percent)
+            else:
+                links = _remaining(left, sets, percent, most)
         links = stored(links, f"minhash-links{k}")
         if not links.head(1):
             if k >= LEADER_ROUNDS:
@@ -331,19 +338,19 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "t
     return found.select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _remaining(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _remaining(left: DataFrame, sets: DataFrame, percent: int, most: int | None = None) -> DataFrame:
     """Links within buckets that still hold several components, all pairs of different components tested.
 
     All but a bucket's largest component ask, all its members are asked. Asking rows of one
     neighbourhood (the largest component beside them) are dealt into blocks of about BLOCK, and every
     member of a bucket meets a block once, however many buckets they share; what meets a block is
-    dealt into pieces, so neither side of a task grows with a group.
+    dealt into pieces, so neither side of a task grows with a group. left is a written table, most the
+    rows of its largest bucket.
     """
     small_batches(left.sparkSession)
     counts = left.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     main = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    left = stored(left, "minhash-members")
-    open_ = stored(dealt_join(left, stored(main.select("bucket", "main"), "minhash-main"), "bucket").select("bucket", "n", "comp", "main"), "minhash-open")
+    open_ = stored(dealt_join(left, stored(main.select("bucket", "main"), "minhash-main"), "bucket", most=most).select("bucket", "n", "comp", "main"), "minhash-open")
     ask = open_.where("comp <> main").groupBy("n", "comp").agg(F.min("main").alias("home"))
     ask = stored(ask, "minhash-homes")
     near = ask.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
