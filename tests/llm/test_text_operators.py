@@ -620,6 +620,40 @@ def test_measures_equal_brute_force(parts):
             assert tuple(got[c][k] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == rules_by_hand(texts[int(t.ids[k])])
 
 
+def kept_by_hand(t):
+    """Words in lines that fail a rule, and whether the document stays."""
+    seen, lost = set(), 0
+    for line in (t or "").split("\n"):
+        w = WORD.findall(line)
+        if not w:
+            continue
+        lone = [x in ("|", "»", "›", "·", ">") for x in w]
+        letters, capitals = len(re.findall("[A-Za-z]", line)), len(re.findall("[A-Z]", line))
+        failed = (
+            line in seen or (w[-1].encode()[-1] not in quality_rules.CLOSING and len(w) < 5) or (sum(lone) >= 4 and 10 * sum(lone) >= len(w))
+            or 3 * sum(bool(re.search(r"[#*$%&|<>]", x)) and not y for x, y in zip(w, lone, strict=True)) >= len(w) or (len(w) >= 4 and letters >= 12 and 10 * capitals >= 6 * letters)
+            or any(p in lower(line) for p in quality_rules.BOILERPLATE)
+        )
+        seen.add(line)
+        lost += len(w) * failed
+    n = rules_by_hand(t)
+    return lost, not n[5] and lost <= 0.5 * n[0]
+
+
+def test_verdicts_equal_brute_force():
+    rng = random.Random(19)
+    lines = ["home | news | shop | help | more", "ALL CAPITALS ARE SHOUTING HERE", "Read our privacy policy now.", "Alle Rechte vorbehalten, 2024.", "menu", "a #b $c %d e", "short one.", "one » two » three » four » five words go", "", "  ", "«quoted» text…"]
+    texts = ["\n".join(rng.choice(lines) if rng.random() < share else lorem(rng, rng.randrange(3, 16)) + rng.choice([".", "", "!"]) for _ in range(rng.randrange(0, 25))) for share in (0.1, 0.4, 0.7) for _ in range(60)]
+    some = set()
+    for t in texts_of(texts):
+        got = quality_rules.judge(t)
+        for k in range(len(t)):
+            want = kept_by_hand(texts[int(t.ids[k])])
+            assert (got["n_lost_words"][k], got["kept"][k]) == want
+            some.add(want[1])
+    assert some == {True, False}
+
+
 def test_rules_drop_bad_lines_and_bad_documents(spark):
     rng = random.Random(9)
     good = "\n".join(lorem(rng, 12) + "." for _ in range(8))

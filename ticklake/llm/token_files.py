@@ -17,6 +17,7 @@ empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from functools import lru_cache
@@ -69,6 +70,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, table: int = TABLE):
+        # A worker is one of many on its machine: the library's own threads would only cost memory and time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
