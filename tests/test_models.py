@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ticklake.operators import models, simulators, stats
+from ticklake.operators import boosting, models, simulators, stats
 from ticklake.sources import sinks
 from ticklake.streaming import live
 
@@ -49,9 +49,9 @@ def frame(spark, n=600):
 def test_scorer_is_kept_and_read_again(spark, tmp_path):
     rows = frame(spark)
     scorer = models.train_scorer(rows, ["a", "b", "c"], "y", trees=5)
-    top = models.importances(spark, scorer.model, ["a", "b", "c"]).collect()
+    top = boosting.importances(spark, scorer.model).collect()
     assert top[0]["feature"] == "a" and abs(sum(r["share"] for r in top) - 1) < 1e-9
-    assert [r["feature"] for r in models.importances(spark, scorer.model, ["a", "b", "c"], 1).collect()] == ["a"]
+    assert [r["feature"] for r in boosting.importances(spark, scorer.model, 1).collect()] == ["a"]
     scorer.save(spark, str(tmp_path))
     again = models.Scorer.load(spark, str(tmp_path))
     assert again.features == ["a", "b", "c"] and again.base_rate == scorer.base_rate

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import boosting
 from .ordering import numbered
 
 DAYS = 365
@@ -218,16 +219,9 @@ def ridge(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarra
     return np.linalg.solve(z.T @ z + penalty * np.eye(x.shape[1]), z.T @ y), mean, sd
 
 
-def gradient_boosting(train: DataFrame, test: DataFrame, features: list[str], label: str, *, trees: int = 50, depth: int = 4, seed: int = 1) -> DataFrame:
-    """test with probability of label 1 by boosted trees of Spark's ML library; null features count as -1."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    asm = VectorAssembler(inputCols=features, outputCol="__x")
-    fill = lambda d: asm.transform(d.fillna(-1.0, subset=features))
-    model = GBTClassifier(featuresCol="__x", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed).fit(fill(train))
-    return model.transform(fill(test)).withColumn("probability", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "prediction")
+def gradient_boosting(train: DataFrame, test: DataFrame, features: list[str], label: str, *, trees: int = 50, depth: int = 4, seed: int = 1, **more) -> DataFrame:
+    """test with the probability of label 1 by boosted trees of train; missing values take the better side."""
+    return boosting.train(train, features, label, trees=trees, max_depth=depth, seed=seed, **more).predict(test)
 
 
 def perceptron(train: DataFrame, test: DataFrame, features: list[str], label: str, *, hidden: tuple[int, ...] = (16,), seed: int = 1) -> DataFrame:
@@ -246,7 +240,8 @@ def out_of_fold(folds: DataFrame, features: list[str], label: str, n_folds: int,
     """Predictions of each fold's test rows by a model of its training rows; folds come from purged_folds."""
     out = None
     for k in range(n_folds):
-        got = gradient_boosting(folds.where(f"fold = {k} AND NOT is_test"), folds.where(f"fold = {k} AND is_test"), features, label, **how)
+        of = folds.where(F.col("fold") == k)
+        got = gradient_boosting(of.where("NOT is_test"), of.where("is_test"), features, label, **how)
         out = got if out is None else out.union(got)
     return out
 
