@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ticklake.llm import classifier, decontam, hmm, minhash, mixing, pii, quality_rules, queries, secret_scan, token_files, warc
-from ticklake.llm.common import as_texts, chunks, dealt_join
+from ticklake.llm.common import as_texts, chunks, dealt_join, span_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -42,6 +42,51 @@ def texts_of(rows):
     return list(chunks(iter([pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["doc_id", "text"])])))
 
 
+# --- hashes of spans -----------------------------------------------------------------------------------
+
+
+def thue_morse(n, letters="ab"):
+    """Two strings of n letters that sums over powers modulo 2^64 can't tell apart from 1,024 on."""
+    s = "".join(letters[bin(i).count("1") % 2] for i in range(n))
+    return s, s.translate(str.maketrans(letters, letters[::-1]))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 16384])
+def test_pieces_of_two_letters_are_told_apart(n, library):
+    a, b = thue_morse(n)
+    t = texts_of([f"x {a} y", f"x {b} y"])[0]
+    h = span_hashes(t.data, np.array([2, 2 + t.offsets[1]]), np.array([2 + n, 2 + n + t.offsets[1]]))
+    assert h[0] != h[1]
+    enc = token_files.Encoder(token_files.tokenizer_path())
+    ids, per = enc.encode(t.data, t.offsets)
+    for text, got in zip((f"x {a} y", f"x {b} y"), np.split(ids, [per[0]]), strict=True):
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+    flat, off = minhash.shingle_sets(t.data, t.offsets, 3)
+    assert flat[off[0] : off[1]].tolist() != flat[off[1] :].tolist()
+    lines = texts_of([f"{a}\n{b}\n{a}"])[0]
+    assert quality_rules.judge(lines)["n_dup_lines"].tolist() == [1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=8), st.integers(0, 9))
+def test_hashes_depend_on_bytes_alone(spans, shift):
+    data = np.frombuffer(b"z" * shift + b"".join(spans), np.uint8)
+    ends = shift + np.cumsum([len(x) for x in spans])
+    h, again = span_hashes(data, ends - [len(x) for x in spans], ends, (0, 1))
+    one = [int(span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]) for x in spans]
+    assert h.tolist() == one and (h != again).all() and len(set(one)) == len(set(spans))
+
+
+def test_a_piece_whose_hash_is_taken_is_encoded_by_itself(library, monkeypatch):
+    real = token_files.span_hashes
+    monkeypatch.setattr(token_files, "span_hashes", lambda d, a, b, salts: (np.full(len(a), 5, np.uint64), real(d, a, b, (1,))))
+    enc = token_files.Encoder(token_files.tokenizer_path())
+    text = "one two three one four"
+    for t in (texts_of([text])[0], texts_of(["other words", text])[0]):
+        ids, per = enc.encode(t.data, t.offsets)
+        assert ids[len(ids) - per[-1] :].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 # --- near-duplicates ---------------------------------------------------------------------------------
 
 

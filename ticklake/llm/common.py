@@ -202,22 +202,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-_POWERS: dict[str, np.ndarray] = {}
-_BASE = np.uint64(0x9E3779B97F4A7C13)  # odd, 3 modulo 8
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + 1)
-        for name, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), on uint64 arrays."""
     x = x ^ (x >> np.uint64(30))
@@ -228,12 +212,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], the same wherever the bytes stand."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_CELL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: tuple[int, ...] = (0,)) -> np.ndarray | tuple[np.ndarray, ...]:
+    """64-bit hashes of data[start:end], the same wherever the bytes stand; with several salts, one array for each.
+
+    A span is cut into cells of 8 bytes from its start. Every cell is mixed with its number before the
+    cells are added up, so no arrangement of few letters (as in sums over powers) can cancel out.
+    """
+    if not len(starts):
+        out = tuple(np.zeros(0, np.uint64) for _ in salts)
+        return out if len(out) > 1 else out[0]
+    size = ends - starts
+    cells = np.maximum((size + 7) >> 3, 1)
+    first = np.cumsum(cells) - cells
+    at = np.arange(int(cells.sum())) - np.repeat(first, cells)  # number of the cell in its span
+    place = np.repeat(starts, cells) + (at << 3)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    words = np.lib.stride_tricks.as_strided(padded.view(np.uint8)[:8].view("<u8"), (len(data) + 1,), (1,))
+    cell = words[place] & _CELL[np.clip(np.repeat(size, cells) - (at << 3), 0, 8)]
+    out = []
+    for salt in salts:
+        key = mix(at.astype(np.uint64) + np.uint64((salt * 0xD1342543DE82EF95 + 0x9E3779B97F4A7C15) & (2**64 - 1)))
+        sums = np.add.reduceat(mix(mix(cell + key) ^ key), first)
+        out.append(mix(sums + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return tuple(out) if len(out) > 1 else out[0]
 
 
 def roll(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -10,10 +10,11 @@ same least values as going element by element.
 Equal sets are merged first (a map-side min), so a group of exact copies costs one row, a class with
 a number of its own. Bands of the signature make buckets of the classes. In each of a few leader
 rounds every member of a bucket meets one leader of that bucket and the pair is verified on full sets;
-what is linked is united. Whatever still shares a bucket without being united is compared completely,
-in blocks. So no pair of a bucket goes untested unless both sides are in one group already, and no
-step makes all pairs of a group of copies. Joins whose key can be popular (a leader, a component) deal
-such keys into pieces.
+what is linked is united. Whatever still shares a bucket without being united meets by a prefix filter:
+of each set only its rarest elements, as many as two sets at the threshold can't all lack, bring
+candidates together, which are compared in blocks. So no pair of a bucket goes untested unless both
+sides are in one group already, and no step makes all pairs of a group. Joins whose key can be
+popular (a leader, a component, an element) deal such keys into pieces.
 
 A row is known by its id and its text's 64-bit hash, so rows that repeat an id are documents of their
 own unless their texts are equal too. Null texts and texts without words have empty sets and are linked
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, PLENTY, Texts, dealt_join, map_texts, mix, release, roll, small_batches, span_hashes, stored, word_spans
@@ -338,21 +339,52 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "t
     return found.select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n, comp, items -> a row for each element of a set: h, n, comp, size."""
+    for batch in batches:
+        for n, comp, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            x = np.frombuffer(items.as_buffer(), np.int64)
+            for at in range(0, len(x), 1 << 16):
+                h = x[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(np.full(len(h), v)) for v in (n, comp, len(x)))], names=["h", "n", "comp", "size"])
+    release()
+
+
+def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, n, comp): the elements by which a member of (n, comp) can meet one of another component.
+
+    A pair at the threshold shares at least percent of either set. So if a set's elements are put in one
+    order, the same for all sets, the first size - ceil(percent size) + 1 of each of the two have one in
+    common. Elements that only one component has come first, as they are in no such pair, and rare ones before
+    frequent ones; what has more of the former than may be missing has no partner at all.
+    """
+    rows = stored(members.join(sets, "n").select("n", "comp", "items").mapInArrow(_elements, "h long, n long, comp long, size long"), "minhash-elements")
+    shared = rows.groupBy("h").agg(F.count("*").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    met = stored(dealt_join(rows, stored(shared.select("h", "held"), "minhash-held"), "h"), "minhash-met")
+    spare = F.col("size") - F.ceil(F.col("size") * percent / F.lit(100))
+    able = met.groupBy("n").agg(F.first("size").alias("size"), F.count("*").alias("of")).select("n", (spare + 1 - F.col("size") + F.col("of")).alias("first")).where("first > 0")
+    order = Window.partitionBy("n").orderBy("held", "h")
+    return met.join(able, "n").withColumn("place", F.row_number().over(order)).where("place <= first").select(F.col("h").alias("bucket"), "n", "comp")
+
+
 def _remaining(left: DataFrame, sets: DataFrame, percent: int, most: int | None = None) -> DataFrame:
-    """Links within buckets that still hold several components, all pairs of different components tested.
+    """Links between members of buckets that still hold several components, none left out.
 
-    All but a bucket's largest component ask, all its members are asked. Asking rows of one
+    Members of such buckets meet by the elements of _prefixes instead, which most of them share with few or none.
+    Of those who share one, all but the largest component ask, all are asked. Asking rows of one
     neighbourhood (the largest component beside them) are dealt into blocks of about BLOCK, and every
-    member of a bucket meets a block once, however many buckets they share; what meets a block is
-    dealt into pieces, so neither side of a task grows with a group. left is a written table, most the
-    rows of its largest bucket.
+    member meets a block once, however many elements they share; what meets a block is dealt into
+    pieces, so neither side of a task grows with a group. left is a written table, most the rows of its
+    largest bucket.
     """
     small_batches(left.sparkSession)
-    counts = left.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    several = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    members = dealt_join(left, stored(several, "minhash-several"), "bucket", most=most).select("n", "comp").distinct()
+    rows = stored(_prefixes(stored(members, "minhash-open"), sets, percent), "minhash-prefixes")
+    counts = rows.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     main = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = stored(dealt_join(left, stored(main.select("bucket", "main"), "minhash-main"), "bucket", most=most).select("bucket", "n", "comp", "main"), "minhash-open")
-    ask = open_.where("comp <> main").groupBy("n", "comp").agg(F.min("main").alias("home"))
-    ask = stored(ask, "minhash-homes")
+    open_ = stored(dealt_join(rows, stored(main.select("bucket", "main"), "minhash-main"), "bucket").select("bucket", "n", "comp", "main"), "minhash-meeting")
+    ask = stored(open_.where("comp <> main").groupBy("n", "comp").agg(F.min("main").alias("home")), "minhash-homes")
     near = ask.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     ask = stored(dealt_join(ask, near, "home").select("n", "comp", F.xxhash64("home", F.pmod(F.xxhash64("n"), "blocks")).alias("block")), "minhash-asking")
     blocks = open_.where("comp <> main").join(ask.select("n", "block"), "n").select("bucket", "block").distinct()

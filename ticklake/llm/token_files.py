@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, chunks, small_batches, span_hashes, stored, work_dir
 
 MAGIC, HEAD = b"TKLKIDS1", "<8sIIQQ"
-#: Slots of a worker's table of pieces (14 bytes each), of which half may be used; then it starts anew.
+#: Slots of a worker's table of pieces (18 bytes each), of which half may be used; then it starts anew.
 TABLE = 1 << 22
 #: Documents and bytes of text of a shard, about.
 SHARD_ROWS, SHARD_BYTES = 8192, 32 << 20
@@ -66,7 +66,8 @@ class Encoder:
     """encode gives the ids of a chunk's documents, as the library's own encode does on whole texts.
 
     Ids of pieces are kept in a hash table in arrays (open addressing over 64-bit hashes), so a chunk
-    costs a few array operations and the library sees new pieces alone.
+    costs a few array operations and the library sees new pieces alone. What is found must also agree in 32
+    bits of a second hash; a piece that doesn't, like a very long one, is encoded by itself.
     """
 
     def __init__(self, path: str, table: int = TABLE):
@@ -84,6 +85,7 @@ class Encoder:
     def _clear(self) -> None:
         n = int(self.mask) + 1
         self.keys, self.at, self.size = np.zeros(n, np.uint64), np.zeros(n, np.uint32), np.zeros(n, np.uint16)
+        self.proof = np.zeros(n, np.uint32)
         self.pool, self.used, self.held = np.zeros(1 << 16, self.dtype), 0, 0
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
@@ -122,7 +124,7 @@ class Encoder:
             out[i] = e.ids
         return out
 
-    def _add(self, h: np.ndarray, texts: list[str]) -> None:
+    def _add(self, h: np.ndarray, proof: np.ndarray, texts: list[str]) -> None:
         ids = self._plain(texts)
         size = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter((i for x in ids for i in x), self.dtype, int(size.sum()))
@@ -137,7 +139,7 @@ class Encoder:
             free = self.keys[slot] == 0
             self.keys[slot[free]] = h[todo[free]]
             won = free & (self.keys[slot] == h[todo])
-            self.at[slot[won]], self.size[slot[won]] = at[todo[won]], size[todo[won]]
+            self.at[slot[won]], self.size[slot[won]], self.proof[slot[won]] = at[todo[won]], size[todo[won]], proof[todo[won]]
             todo = todo[~won]
             step += 1
 
@@ -147,7 +149,8 @@ class Encoder:
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(len(offsets) - 1, np.int64)
         end = np.append(start[1:], len(data))
-        h = span_hashes(data, start, end) | np.uint64(1 << 63)
+        h, second = span_hashes(data, start, end, (0, 1))
+        h, proof = h | np.uint64(1 << 63), (second >> np.uint64(32)).astype(np.uint32)
         long = np.flatnonzero(end - start > 1 << 14)  # their ids may be too many for the table
         known = np.ones(len(h), bool)
         known[long] = False
@@ -162,8 +165,10 @@ class Encoder:
                     self.mask = self.mask * np.uint64(2) + np.uint64(1)
                 self._clear()
             raw = data.tobytes()
-            self._add(h[new], [raw[start[i] : end[i]].decode("utf-8", "replace") for i in new])
+            self._add(h[new], proof[new], [raw[start[i] : end[i]].decode("utf-8", "replace") for i in new])
             slot = self._slots(h)
+        known &= self.proof[slot] == proof
+        long = np.flatnonzero(~known)
         size = np.where(known, self.size[slot], 0).astype(np.int64)
         from_ = self.at[slot].astype(np.int64)
         extra = {}
