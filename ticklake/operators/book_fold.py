@@ -1,26 +1,24 @@
 """The order book as an ordered fold: levels, validity, snapshots by event and by interval.
 
 A book isn't a window function: depth is cut off for good, and a gap or a wrong checksum empties it.
-One Python state per (venue, symbol) serves batch and stream; state moves between them as rows, so a
-day starts from the end of the day before (warm start) and a stream resumes after a lost executor.
+One Python state per (venue, symbol) serves batch and stream (streaming.books); state moves between them
+as rows, so a day starts from the end of the day before (warm start).
 """
 
 from __future__ import annotations
 
-import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..schemas import BOOK
+from ..schemas import BOOK, LEVEL
 
 #: What a fold reports for each event beside its book row.
 RESULTS = ("snapshot", "applied", "ignored", "seq_gap", "checksum_failed")
@@ -39,16 +37,7 @@ class Book:
         self.prices: tuple[list[Decimal], list[Decimal]] = ([], [])
         self.valid, self.last_seq, self.next_tick = False, None, None
 
-    # state to and from text, for streams and warm starts
-    def dump(self) -> str:
-        return json.dumps([[[str(p), str(q)] for p, q in s.items()] for s in self.sides] + [self.valid, self.last_seq, self.next_tick])
-
-    def load(self, text: str) -> Book:
-        bids, asks, self.valid, self.last_seq, self.next_tick = json.loads(text)
-        self._hold(*({Decimal(p): Decimal(q) for p, q in s} for s in (bids, asks)))
-        return self
-
-    def _hold(self, bids: dict, asks: dict) -> None:
+    def hold(self, bids: dict, asks: dict) -> None:
         self.sides = (bids, asks)
         self.prices = (sorted(bids), sorted(asks))
 
@@ -88,13 +77,13 @@ class Book:
         if seq is not None:
             self.last_seq = seq
         if snapshot:
-            self._hold(*({p: q for p, q in levels if q > 0} for levels in (bids, asks)))
+            self.hold(*({p: q for p, q in levels if q > 0} for levels in (bids, asks)))
             self._cut()
             self.valid = True
             return "snapshot", False
         if jumped:
             self.valid = False
-            self._hold({}, {})
+            self.hold({}, {})
             return "seq_gap", False
         if not self.valid:
             return "ignored", False
@@ -105,7 +94,7 @@ class Book:
         if checksum is not None and self.precision is not None:
             if self.checksum() != checksum:
                 self.valid = False
-                self._hold({}, {})
+                self.hold({}, {})
                 return "checksum_failed", True
             return "applied", True
         return "applied", False
@@ -147,7 +136,7 @@ def fold_rows(book: Book, venue: str, symbol: str, events: Iterable[tuple], dept
             book.next_tick = due[-1] + interval_ns
         if due and not after_event:
             for t in due:
-                yield (*book.row(venue, symbol, t, "interval", seq, depth), None, warm, False)
+                yield (*book.row(venue, symbol, t, "interval", book.last_seq, depth), None, warm, False)
         levels = [[(x["price"], x["qty"]) for x in side] if side is not None else [] for side in (bids, asks)]
         result, checked = book.apply(bool(is_snapshot), *levels, seq, checksum)
         if due and after_event:
@@ -192,24 +181,34 @@ def fold(events: DataFrame, *, depth: int = 100, out_depth: int = 10, interval_m
     return rows.mapInArrow(run, OUT)
 
 
-def fold_stream(events: DataFrame, *, depth: int = 100, out_depth: int = 10, interval_ms: int = 1000, precision: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """As fold, on a stream: each (venue, symbol) keeps its book as text in the state store; events of a batch are put in order."""
+CLOSING = f"venue STRING, symbol STRING, bids ARRAY<{LEVEL}>, asks ARRAY<{LEVEL}>, valid BOOLEAN, last_seq LONG, next_tick LONG"
+
+
+def closing(events: DataFrame, *, depth: int = 100, interval_ms: int = 1000, precision: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Each symbol's whole book after its last event: what a stream of the next day starts from."""
     precision = precision or {}
-    names = StructType.fromDDL(OUT).names
-
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        venue, symbol = key
-        book = Book(depth, precision.get(symbol))
-        if state.exists:
-            book.load(state.get[0])
-        got = pd.concat(list(pdfs))
-        got = got.sort_values(["recv_ns", "item"] if "item" in got else ["recv_ns"], kind="stable")
-        events = ((int(e.recv_ns), e.is_snapshot, e.bids, e.asks, None if pd.isna(e.seq) else int(e.seq), None if pd.isna(e.checksum) else int(e.checksum), False) for e in got.itertuples(index=False))
-        rows = list(fold_rows(book, venue, symbol, events, out_depth, interval_ms * 1_000_000, False))
-        state.update((book.dump(),))
-        yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("exchange_ns", "seq", "bid_n", "ask_n")})
-
-    return events.groupBy("venue", "symbol").applyInPandasWithState(run, OUT, "book STRING", "append", "NoTimeout")
+    schema = to_arrow_schema(StructType.fromDDL(CLOSING))
+    order = ["recv_ns", *(["item"] if "item" in events.columns else [])]
+    warm = F.lit(False).alias("is_warmup")
+    rows = events.repartition("venue", "symbol").sortWithinPartitions("venue", "symbol", *order).select("venue", "symbol", *EVENT[:-1], warm)
+
+    def levels(side: dict[Decimal, Decimal]) -> list[dict]:
+        return [{"price": p, "qty": q} for p, q in side.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, book = None, None
+        for batch in batches:
+            for venue, symbol, *event in zip(*(batch.column(c).to_pylist() for c in ("venue", "symbol", *EVENT)), strict=True):
+                if (venue, symbol) != last:
+                    if book is not None:
+                        yield _batch([(*last, *map(levels, book.sides), book.valid, book.last_seq, book.next_tick)], schema)
+                    last, book = (venue, symbol), Book(depth, precision.get(symbol))
+                for _ in fold_rows(book, venue, symbol, (event,), 0, interval_ms * 1_000_000, False):
+                    pass
+        if book is not None:
+            yield _batch([(*last, *map(levels, book.sides), book.valid, book.last_seq, book.next_tick)], schema)
+
+    return rows.mapInArrow(run, CLOSING)
 
 
 def warm_start(previous: DataFrame, today: DataFrame) -> DataFrame:

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boosting
-from .queries import query
+from ..sources import parsers
+from ..staging import Run
+from ..streaming.books import stream_books
+from ..streaming.labels import stream_labels
+from .panels import messages_of
+from .queries import DAY, E, query, with_times
 
 # --- boosted trees -----------------------------------------------------------------------------------
 
@@ -41,3 +46,39 @@ def _(spark, d):
 def _(spark, d):
     model = boosting.train(items(spark, d), ["quantity", "discount", "tax", "extendedprice", "day"], "returned", trees=4, max_depth=3, rate=0.3)
     return boosting.importances(spark, model).select("feature", F.round("share", 9).alias("share"))
+
+
+# --- streams that run to their end -------------------------------------------------------------------
+
+
+def event_stream(spark, d):
+    """The events table as a stream, a file a batch. The path is a pattern, as a stream takes a lone file by no other."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return with_times(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/[e]vents.parquet"))
+
+
+def drained(stream, name):
+    """All that a stream gives until its input ends, as a table in the shared folder."""
+    run = Run(stream.sparkSession, name)
+    query_ = stream.writeStream.format("parquet").option("path", f"{run.path}/rows").option("checkpointLocation", f"{run.path}/checkpoint").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{run.path}/rows")
+
+
+@query("j1_stream_books")
+def _(spark, d):
+    b = stream_books(parsers.kraken_books(messages_of(event_stream(spark, d))), depth=10, out_depth=5, interval_ms=86_400_000)
+    return drained(b, "stream-books").select("symbol", "ts_ns", "kind", "result", "valid", "crossed", "best_bid", "best_ask", F.size("bid_prices").alias("bids"))
+
+
+@query("j9_stream_labels", f"""WITH {E}, w AS (SELECT (max(t) // 1000 - 10000) * 1000 AS until FROM e WHERE event_type IN ('view', 'purchase')),
+m AS (SELECT user_id AS u, t, event_id, value AS mid FROM e, w WHERE event_type = 'view' AND t < until), s AS (SELECT user_id AS u, t, event_id FROM e, w WHERE event_type = 'purchase' AND t < until),
+top AS (SELECT u, max(t) AS top FROM m GROUP BY 1)
+SELECT s.event_id, s.u, coalesce((SELECT arg_min(m.mid, m.event_id) FROM m WHERE m.u = s.u AND m.t = s.t + {DAY}), (SELECT arg_max(m.mid, (m.t, m.event_id)) FROM m WHERE m.u = s.u AND m.t < s.t + {DAY})) AS exit_mid
+FROM s JOIN top ON top.u = s.u AND top.top >= s.t + {DAY}""")
+def _(spark, d):
+    ns = (F.col("t") * 1000).alias("ts_ns")
+    mids = event_stream(spark, d).where("event_type = 'view'").select(F.col("user_id").alias("u"), ns, F.col("event_id").alias("seq"), F.col("value").alias("mid"))
+    asked = event_stream(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("u"), ns, "event_id")
+    out = stream_labels(asked, mids, ["u"], "ts_ns", {"exit_mid": DAY * 1000})
+    return drained(out, "stream-labels").select("event_id", "u", "exit_mid")

@@ -431,7 +431,10 @@ def _(spark, d):
 
 def messages(spark, d):
     """Kraken-like book and trade messages made of events."""
-    e = events(spark, d)
+    return messages_of(events(spark, d))
+
+
+def messages_of(e):
     lv = lambda p, q: F.format_string('[{"price":%.2f,"qty":%d}]', p, q)
     book = F.format_string('{"channel":"book","type":"%s","data":[{"symbol":"U/%d","bids":%s,"asks":%s}]}', F.when(F.col("k") < 20, "snapshot").otherwise("update"), F.col("user_id"), lv(F.col("value"), F.col("k")), lv(F.col("value") + 0.5, F.col("k") + 1))
     trade = F.format_string('{"channel":"trade","type":"update","data":[{"symbol":"U/%d","price":%.2f,"qty":%d,"side":"buy","trade_id":%d,"timestamp":"2024-01-01T00:00:00.000000001Z"}]}', F.col("user_id"), F.col("value"), F.col("k"), F.col("event_id"))

@@ -42,7 +42,11 @@ def r6(c: Column | str) -> Column:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet")
+    return with_times(spark.read.parquet(f"{d}/events.parquet"))
+
+
+def with_times(e: DataFrame) -> DataFrame:
+    """Events of a batch or a stream with whole microseconds and the quantity in their properties."""
     return e.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import book_fold
 from ..schemas import RAW
 from ..sources import parsers
+from .books import stream_books
 
 #: Subscription messages by venue and channel. Fixed values.
 SUBSCRIPTIONS = {
@@ -93,7 +93,7 @@ def trades(rows: DataFrame, venue: str) -> DataFrame:
 
 
 def books(rows: DataFrame, venue: str, **how) -> DataFrame:
-    return book_fold.fold_stream(parsers.books(rows, venue), **how)
+    return stream_books(parsers.books(rows, venue), **how)
 
 
 def run_all(queries: list[StreamingQuery]) -> None:
