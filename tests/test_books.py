@@ -15,6 +15,7 @@ from ticklake.operators import book_fold
 from ticklake.schemas import BOOK, TRADES
 from ticklake.sources import parsers, raw, sinks
 from ticklake.streaming import live
+from ticklake.streaming.capture import CaptureSource
 
 
 def raws(spark, messages):
@@ -159,8 +160,8 @@ def test_replay_source_bars_and_late_rows(spark, tmp_path):
     msgs = [{"channel": "trade", "type": "update", "data": [{"symbol": "X", "price": p, "qty": 1, "side": "buy", "trade_id": i, "timestamp": ""}]} for i, p in enumerate([5, 7, 6, 8])]
     times = [10, 20, 70, 5]  # the last is late
     (tmp_path / "m.ndjson").write_text("".join(json.dumps({"recv_ns": t * 10**9, "raw": json.dumps(m)}) + "\n" for t, m in zip(times, msgs, strict=True)))
-    spark.dataSource.register(live.ReplaySource)
-    rows = live.trades(spark.readStream.format("replay").option("path", str(tmp_path / "m.ndjson")).option("rows", "3").load(), "kraken")
+    spark.dataSource.register(CaptureSource)
+    rows = live.trades(spark.readStream.format("capture").option("path", str(tmp_path)).option("batch_bytes", "600").load().select("recv_ns", "raw"), "kraken")
     kept, late = [], []
     q = live.with_late(rows, lambda d, _: kept.extend(d.collect()), lambda d, _: late.extend(d.collect()), str(tmp_path / "ck"), delay_ns=30 * 10**9, available_now=False)
     q.processAllAvailable()

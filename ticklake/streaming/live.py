@@ -1,4 +1,4 @@
-"""Streams: raw messages to books and trades, windows with watermarks, late rows, a replayable source.
+"""Streams: raw messages to books and trades, windows with watermarks, late rows.
 
 Structured Streaming keeps offsets and state in the checkpoint folder; a query that starts again goes on
 where it was. Tests run the same transformations over files with availableNow and hold them against batch.
@@ -6,15 +6,12 @@ where it was. Tests run the same transformations over files with availableNow an
 
 from __future__ import annotations
 
-import json
 import shutil
 import time
-from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import RAW
@@ -29,53 +26,6 @@ SUBSCRIPTIONS = {
 }
 
 
-class ReplaySource(DataSource):
-    """A stream of recorded messages: format "replay" with options path (NDJSON of {recv_ns, raw}) and rows (a batch's).
-
-    It stands for a live connection where there is no network: the offset is a place in the file, so a batch reads its own lines alone and is
-    read again exactly after a failure. A live source differs in read() alone.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "replay"
-
-    def schema(self) -> str:
-        return RAW
-
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return _Replay(self.options)
-
-
-class _Replay(SimpleDataSourceStreamReader):
-    def __init__(self, options):
-        self.path, self.rows = options["path"], int(options.get("rows", "1000"))
-
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {"byte": 0}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple[int, str]], dict]:
-        out = []
-        with open(self.path, "rb") as f:
-            f.seek(start["byte"])
-            while len(out) < self.rows and (line := f.readline()):
-                try:
-                    m = json.loads(line)
-                except ValueError:
-                    if line.endswith(b"\n"):
-                        raise
-                    break  # a line still being written waits
-                out.append((m["recv_ns"], m["raw"]))
-                at = f.tell()
-        return iter(out), {"byte": at if out else start["byte"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[int, str]]:  # noqa: N802
-        with open(self.path, "rb") as f:
-            f.seek(start["byte"])
-            lines = f.read(end["byte"] - start["byte"]).splitlines()
-        return iter([(m["recv_ns"], m["raw"]) for m in map(json.loads, lines)])
-
-
 def raw_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """New hour files of raw messages as they appear."""
     return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").json(path)
