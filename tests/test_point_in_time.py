@@ -174,3 +174,12 @@ def test_tick_rule_and_flags(spark):
     df = spark.createDataFrame(rows, "k string, t long, price double, side string")
     got = windows.tick_rule(df, ["k"], ["t"], flag=windows.venue_flag(F.col("side"))).orderBy("t").collect()
     assert [r["sign"] for r in got] == [0, 0, 1, 1, 1, 1, -1]
+
+
+def test_wide_sums_keep_equal_rows_and_any_columns(spark):
+    rows = spark.createDataFrame([("a", 1, 2, {"x": 1}), ("a", 1, 2, {"x": 1}), ("a", 3, 5, {}), (None, 2, 1, None), (None, 4, 1, None), ("a", None, 9, None)], "k string, t long, v long, m map<string,int>")
+    got = windows.wide_window_sums(rows, ["k"], "t", 3, {"s": "v"})
+    assert got.columns == ["k", "t", "v", "m", "s"] and got.count() == 6
+    key = lambda r: (str(r["k"]), r["t"] or -1, r["v"])
+    narrow = windows.window_sums(rows.where("t is not null").drop("m"), ["k"], "t", 3, {"s": "v"}).collect()
+    assert sorted((key(r), r["s"]) for r in got.collect() if r["t"] is not None) == sorted((key(r), int(r["s"])) for r in narrow)

@@ -65,3 +65,20 @@ def test_numbered(spark):
         for k in {r["k"] for r in got} if keys else {0}:
             part = [r for r in got if not keys or r["k"] == k]
             assert [r["n"] for r in sorted(part, key=lambda r: r["t"])] == sorted(r["n"] for r in part) == list(range(len(part))) and {r["all"] for r in part} == {len(part)}
+
+
+def test_numbered_deals_outliers_and_one_popular_time_into_ranges(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ticklake.operators import ordering
+
+    monkeypatch.setattr(ordering, "STRETCH", 200)
+    hot = spark.range(2000).select(F.when(F.col("id") == 7, 10**15).when(F.col("id") % 3 > 0, 5).otherwise(F.col("id")).alias("t"), "id", F.lit("k").alias("k"), F.create_map(F.lit("a"), "id").alias("m"))
+    for keys in ([], ["k"]):
+        df = numbered(hot, keys, "t", "n", "all", ties=("id",))
+        got = sorted(df.collect(), key=lambda r: r["n"])
+        assert [r["n"] for r in got] == list(range(2000)) and {r["all"] for r in got} == {2000}
+        assert [(r["t"], r["id"]) for r in got] == sorted((r["t"], r["id"]) for r in got)
+    ranges = hot.repartitionByRange(10, "t", "id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert ranges < 2 * 200
+    assert numbered(hot.limit(0), [], "t").count() == 0

@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import Run
+
 #: Rows of a stretch, about.
 STRETCH = 100_000
 
 
-def numbered(rows: DataFrame, keys: list[str], order: str, name: str = "n", total: str | None = None) -> DataFrame:
-    """rows with their number by a whole-number column, from 0 per key, and the key's total.
+def numbered(rows: DataFrame, keys: list[str], order: str, name: str = "n", total: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """rows with their number by (order, *ties), from 0 per key, and the key's total. Nulls come first.
 
-    Values are cut into stretches of equal width (about STRETCH rows each if they are spread evenly). Stretches are
-    counted and the counts accumulated, which is a row a stretch; rows are put in order within their stretch alone.
-    Nulls come first. Rows at one value are numbered in no certain order.
+    Rows are dealt into ranges of (keys, order, ties) of about STRETCH rows, by a sample of them, and written with
+    their range's number; ranges are counted and the counts accumulated, which is a row a range, and rows are put
+    in order within their range alone. So neither an outlier nor a time that most rows share puts them into one
+    task, as long as ties tell them apart; rows that agree in all of these are numbered in no certain order.
     """
-    s = rows.agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo = s["lo"] or 0
-    width = max(1, ((s["hi"] or 0) - lo + 1) // max(1, -(-s["n"] // STRETCH)))
-    cut = rows.withColumn("__s", F.coalesce(F.floor((F.col(order) - lo) / width), F.lit(-1)))
+    by = [F.asc_nulls_first(c) for c in (order, *ties)]
+    n = rows.count()
+    if n <= STRETCH:
+        w = Window.partitionBy(*keys)
+        out = rows.withColumn(name, F.row_number().over(w.orderBy(*by)).cast("long") - 1)
+        return out.withColumn(total, F.count("*").over(w)) if total else out
+    ranges = rows.repartitionByRange(-(-n // STRETCH), *[F.asc_nulls_first(k) for k in keys], *by)
+    cut = Run(rows.sparkSession, "numbered").put(ranges.withColumn("__s", F.spark_partition_id()), "cut")
     sums = cut.groupBy(*keys, "__s").agg(F.count("*").alias("__c"))
     before = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__s").alias("__b"), F.coalesce(before, F.lit(0)).alias("__base"), F.sum("__c").over(Window.partitionBy(*keys)).alias("__total"))
     on = F.col("__s") == F.col("__b")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    out = cut.join(sums, on)
-    n = F.col("__base") + F.row_number().over(Window.partitionBy(*keys, "__s").orderBy(order)) - 1
-    return out.select(*rows.columns, n.alias(name), *([F.col("__total").alias(total)] if total else []))
+    place = F.col("__base") + F.row_number().over(Window.partitionBy(*keys, "__s").orderBy(*by)) - 1
+    return cut.join(sums, on).select(*rows.columns, place.cast("long").alias(name), *([F.col("__total").alias(total)] if total else []))

@@ -27,22 +27,29 @@ def window_sums(rows: DataFrame, keys: list[str], ts: str, width: int, values: d
 
 
 def wide_window_sums(rows: DataFrame, keys: list[str], ts: str, width: int, values: dict[str, str]) -> DataFrame:
-    """As window_sums, for frames of many rows: prefix sums at two times, both looked up in one ordering.
+    """As window_sums, for frames of many rows: sums up to two times, both looked up in one ordering.
 
-    Decimals keep the difference exact; doubles may differ in the last places. Needs one shuffle by the key.
+    Sums are accumulated once a time, and asked for once a (key, time); rows travel once, to meet the answers, so
+    equal rows stay and columns may have any type. Decimals keep the difference exact; doubles may differ in
+    the last places.
     """
+    names = list(values)
+    at = rows.groupBy(*keys, ts).agg(*[F.sum(c).alias(f"__p{i}") for i, c in enumerate(values.values())])
     inner = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ids = rows.withColumn("__row", F.struct(*[F.col(c) for c in rows.columns]))
-    sums = {f"__p{i}": F.sum(F.coalesce(F.col(c), F.lit(0))).over(inner) for i, c in enumerate(values.values())}
-    known = ids.withColumns(sums).select(*keys, F.col(ts).alias("__t"), F.lit(1).alias("__o"), F.struct(*sums).alias("__v"), F.lit(None).cast(ids.schema["__row"].dataType).alias("__row"))
-    # Before t: sums at the last row earlier than t. Up to t - width: sums at the last row not later than that.
-    ask = lambda shift, order: ids.select(*keys, (F.col(ts) - shift).alias("__t"), F.lit(order).alias("__o"), F.lit(None).cast(known.schema["__v"].dataType).alias("__v"), "__row")
+    upto = F.struct(*[F.sum(F.coalesce(f"__p{i}", F.lit(0))).over(inner).alias(f"__p{i}") for i in range(len(names))])
+    known = at.select(*keys, F.col(ts).alias("__t"), F.lit(1).alias("__o"), upto.alias("__v"), F.lit(None).cast(at.schema[ts].dataType).alias("__ts"))
+    nothing = F.lit(None).cast(known.schema["__v"].dataType).alias("__v")
+    # Before t: sums at the last time earlier than t. Up to t - width: sums at the last time not later than that.
+    ask = lambda shift, order: at.select(*keys, (F.col(ts) - shift).alias("__t"), F.lit(order).alias("__o"), nothing, F.col(ts).alias("__ts"))
     w = Window.partitionBy(*keys).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = known.union(ask(0, 0)).union(ask(width, 2)).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__row IS NOT NULL")
+    both = known.union(ask(0, 0)).union(ask(width, 2)).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__o <> 1")
     pick = lambda order: F.max(F.when(F.col("__o") == order, F.col("__v")))
-    got = both.groupBy(*keys, "__row").agg(pick(0).alias("__hi"), pick(2).alias("__lo"))
-    out = got.select("__row.*", *[(F.coalesce(F.col(f"__hi.__p{i}"), F.lit(0)) - F.coalesce(F.col(f"__lo.__p{i}"), F.lit(0))).alias(n) for i, n in enumerate(values)])
-    return out
+    got = both.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__ts").alias("__at")).agg(pick(0).alias("__hi"), pick(2).alias("__lo"))
+    on = F.col(ts).eqNullSafe(F.col("__at"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    sums = [(F.coalesce(F.col(f"__hi.__p{i}"), F.lit(0)) - F.coalesce(F.col(f"__lo.__p{i}"), F.lit(0))).alias(n) for i, n in enumerate(names)]
+    return rows.join(got, on, "left").select(*[F.col(c) for c in rows.columns], *sums)
 
 
 def log_returns(rows: DataFrame, keys: list[str], order: list[str], mid: str, name: str = "log_ret") -> DataFrame:

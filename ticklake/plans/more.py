@@ -9,6 +9,7 @@ from ..functions import book as B
 from ..functions import scalars
 from ..operators import aggregates as A
 from ..operators import asof, intervals, models, samples, simulators, stats, studies, windows
+from ..operators.ordering import numbered
 from ..sources import sinks
 from .panels import RATES, QUOTES, panel, quotes, rates
 from .queries import BARS, DAY, HOUR, START, E, O, closes, events, orders, query, r6
@@ -22,11 +23,11 @@ def _(spark, d):
     return e.select("event_id", intervals.overlaps(F.col("t"), F.col("t") + F.col("k") * HOUR, F.lit(START + DAY), F.lit(START + 2 * DAY)).alias("hit"))
 
 
-@query("c4_explained", f"WITH {E}, g AS (SELECT event_type AS v, t - 1000000000 AS a, t + 60000000 + 5000000000 AS z FROM e WHERE k = 1) SELECT event_id, EXISTS (SELECT 1 FROM g WHERE g.v = event_type AND e.t BETWEEN g.a AND g.z) AS inside FROM e WHERE k > 40")
+@query("c4_explained", f"WITH {E}, g AS (SELECT event_type AS v, t - 1000000000 AS a, t + 60000000 + 5000000000 AS z FROM e WHERE k = 1) SELECT event_id, EXISTS (SELECT 1 FROM g WHERE g.v = event_type AND e.t BETWEEN g.a AND g.z) AS inside FROM e")
 def _(spark, d):
     e = events(spark, d)
     g = e.where("k = 1").select("event_type", F.col("t").alias("start_ns"), (F.col("t") + 60_000_000).alias("end_ns"))
-    return intervals.inside(e.where("k > 40"), g, ["event_type"], "t", before=intervals.SECOND, after=5 * intervals.SECOND, closed=True).select("event_id", "inside")
+    return intervals.inside(e, g, ["event_type"], "t", before=intervals.SECOND, after=5 * intervals.SECOND, closed=True).select("event_id", "inside")
 
 
 @query("c6_capabilities", f"WITH {E} SELECT event_id, CASE WHEN event_type <> 'click' THEN value END AS ofi_best_1s, k AS spread_bps FROM e")
@@ -131,13 +132,13 @@ def _(spark, d):
     return A.executable(*names(spark, d)).where("listed_as IS NULL").select("symbol")
 
 
-@query("d22_funding_boundaries", f"""WITH {E}, h AS (SELECT DISTINCT event_type AS s, (t // {HOUR}) * 3600000 AS hour_ms FROM e), a AS (SELECT event_type AS s, CAST(round_even(t / 1000.0 / 3600000, 0) AS BIGINT) * 3600000 AS hour_ms, arg_max(k, t) AS r FROM e WHERE k < 20 GROUP BY 1, 2)
-SELECT h.s, h.hour_ms, coalesce(a.r, (SELECT arg_max(e.k * 10, e.t) FROM e WHERE e.event_type = h.s AND e.k >= 90 AND e.t < h.hour_ms * 1000)) AS rate, (SELECT arg_max(e.value, e.t) FROM e WHERE e.event_type = h.s AND e.k >= 90 AND e.t < h.hour_ms * 1000) AS mark FROM h LEFT JOIN a ON a.s = h.s AND a.hour_ms = h.hour_ms""")
+@query("d22_funding_boundaries", f"""WITH {E}, h AS (SELECT DISTINCT event_type AS s, (t // {HOUR}) * 3600000 AS hour_ms FROM e), a AS (SELECT event_type AS s, CAST(round_even(t / 1000.0 / 3600000, 0) AS BIGINT) * 3600000 AS hour_ms, arg_max(k, t) AS r FROM e WHERE k < 50 GROUP BY 1, 2)
+SELECT h.s, h.hour_ms, coalesce(a.r, (SELECT arg_max(e.k * 10, e.t) FROM e WHERE e.event_type = h.s AND e.k >= 50 AND e.t < h.hour_ms * 1000)) AS rate, (SELECT arg_max(e.value, e.t) FROM e WHERE e.event_type = h.s AND e.k >= 50 AND e.t < h.hour_ms * 1000) AS mark FROM h LEFT JOIN a ON a.s = h.s AND a.hour_ms = h.hour_ms""")
 def _(spark, d):
     e = events(spark, d).withColumnRenamed("event_type", "s")
     hours = e.select("s", (F.floor(F.col("t") / HOUR) * 3_600_000).alias("hour_ms")).distinct()
-    archive = e.where("k < 20").select("s", (F.col("t") / 1000).alias("time_ms"), F.col("k").alias("rate"))
-    context = e.where("k >= 90").select("s", (F.col("t") * 1000).alias("ts_ns"), (F.col("k") * 10).alias("funding"), F.col("value").alias("mark"))
+    archive = e.where("k < 50").select("s", (F.col("t") / 1000).alias("time_ms"), F.col("k").alias("rate"))
+    context = e.where("k >= 50").select("s", (F.col("t") * 1000).alias("ts_ns"), (F.col("k") * 10).alias("funding"), F.col("value").alias("mark"))
     return simulators.funding_boundaries(hours, archive, context, ["s"])
 
 
@@ -293,13 +294,16 @@ def _(spark, d):
 
 
 @query("f7_vwap_minus_mid", f"""WITH {E}, p AS (SELECT event_id, user_id AS u, t, value AS mid FROM e WHERE event_type = 'view'), x AS (SELECT user_id AS u, t, value AS px, k AS q FROM e WHERE event_type = 'click'),
-j AS (SELECT p.event_id, p.mid, p.t, sum(x.px * x.q) AS pq, sum(x.q) AS q, count(x.t) AS n, max(x.t) AS top FROM p LEFT JOIN x ON x.u = p.u AND x.t > p.t - {3 * DAY} AND x.t < p.t GROUP BY 1, 2, 3) SELECT event_id, round(coalesce(pq, 0), 2) AS pq, CAST(coalesce(q, 0) AS BIGINT) AS q, CASE WHEN q > 0 THEN pq / q > mid + 0.001 END AS above_mid, n FROM j""")
+j AS (SELECT p.event_id, p.mid, p.t, sum(x.px * x.q) AS pq, sum(x.q) AS q, count(x.t) AS n, max(x.t) AS top FROM p LEFT JOIN x ON x.u = p.u AND x.t > p.t - {3 * DAY} AND x.t < p.t GROUP BY 1, 2, 3) SELECT event_id, CASE WHEN q > 0 THEN (CAST(round(pq * 10000) AS BIGINT) - CAST(round(mid * 10000) AS BIGINT) * CAST(q AS BIGINT)) / (10000.0::DOUBLE * q) END AS vwap_minus_mid, n FROM j""")
 def _(spark, d):
     e = events(spark, d)
     t = e.where("event_type = 'click'").select("user_id", "t", (F.col("value") * F.col("k")).alias("pq"), F.col("k").alias("q"), F.lit(1.0).alias("one"))
     out = samples.sums_at(e.where("event_type = 'view'").select("event_id", "user_id", "t", "value"), t, ["user_id"], "t", {"pq": ("pq", 3 * DAY), "q": ("q", 3 * DAY), "n": ("one", 3 * DAY)})
-    above = F.when(F.col("q") > 0.5, F.col("pq") / F.col("q") > F.col("value") + 0.001)
-    return out.select("event_id", F.round("pq", 2).alias("pq"), F.round("q").cast("long").alias("q"), above.alias("above_mid"), F.col("n").cast("long").alias("n"))
+    # Prices have at most four places, so the difference is one of whole numbers; sums of doubles depend on their order.
+    whole = lambda c: F.round(c * 10_000).cast("long")
+    q = F.round("q").cast("long")
+    diff = F.when(q > 0, (whole(F.col("pq")) - whole(F.col("value")) * q) / (F.lit(10_000.0) * q))
+    return out.select("event_id", diff.alias("vwap_minus_mid"), F.col("n").cast("long").alias("n"))
 
 
 @query("f14_supply_class", f"""WITH {BARS}, x AS (SELECT s, d, close, (SELECT arg_max(y.close, y.d) FROM b y WHERE y.s = b.s AND y.d <= b.d - 7) AS p7, (SELECT arg_max(y.close, y.d) FROM b y WHERE y.s = b.s AND y.d <= b.d - 28) AS p28 FROM b), c AS (SELECT s, d, close / p7 - 1 AS c7, close / p28 - 1 AS c28 FROM x)
@@ -329,7 +333,7 @@ def _(spark, d):
 def _(spark, d):
     e = events(spark, d).withColumn("ts_ns", F.floor(F.col("t") / DAY))
     m = asof.merged([(e.where("k < 50"), 0), (e.where("k >= 50"), 1)])
-    return m.select("event_id", F.row_number().over(Window.orderBy("ts_ns", "prio", "event_id")).cast("long").alias("n"))
+    return numbered(m, [], "ts_ns", "n", ties=("prio", "event_id")).select("event_id", (F.col("n") + 1).alias("n"))
 
 
 @query("g4_best_levels", f"WITH {E}, l AS (SELECT user_id, CAST(floor(value) AS INT) AS px, max(k) AS q FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY px DESC) AS b, row_number() OVER (PARTITION BY user_id ORDER BY px) AS a FROM l) SELECT user_id, max(px) FILTER (WHERE b = 1) AS bid1, max(px) FILTER (WHERE b = 2) AS bid2, max(px) FILTER (WHERE a = 1) AS ask1, max(q) FILTER (WHERE a = 2) AS ask2_qty FROM r GROUP BY 1")

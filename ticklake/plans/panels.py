@@ -9,6 +9,7 @@ from ..functions import calendar, scalars
 from ..functions import book as B
 from ..operators import aggregates as A
 from ..operators import asof, book_fold, simulators, stats, studies
+from ..operators.ordering import numbered
 from ..sources import parsers
 from ..sources.raw import last_wins
 from .queries import BARS, DAY, HOUR, E, O, closes, events, orders, query, r6
@@ -468,7 +469,7 @@ def _(spark, d):
 def _(spark, d):
     e = events(spark, d)
     m = asof.merged([(e.where("event_type = 'click'"), 0), (e.where("event_type = 'purchase'"), 1)])
-    return m.select("event_id", F.row_number().over(Window.orderBy("t", "prio", "event_id")).cast("long").alias("n"))
+    return numbered(m, [], "t", "n", ties=("prio", "event_id")).select("event_id", (F.col("n") + 1).alias("n"))
 
 
 @query("d6_adverse_moves", f"""WITH {E}, q AS (SELECT event_type AS g, user_id AS s, t, value + 0.5 AS mid FROM e WHERE event_type IN ('click', 'view')), m AS (SELECT s, max(t) AS top FROM q GROUP BY 1), p AS (SELECT event_id, user_id AS s, t, CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS g, (SELECT arg_max(q.mid, q.t) FROM q WHERE q.s = e.user_id AND q.t < e.t) AS m0, (SELECT arg_max(q.mid, q.t) FROM q WHERE q.s = e.user_id AND q.t <= e.t + {HOUR}) AS m1 FROM e WHERE event_type = 'purchase')

@@ -385,8 +385,8 @@ def _(spark, d):
     return intervals.downtime(m).select("venue", "disconnect_ns", "reconnect_ns", "kind")
 
 
-@query("e3_unexplained", f"""WITH {E}, g AS (SELECT event_type AS v, t - 1000000000 AS a, t + 60000000 + 5000000000 AS z FROM e WHERE k = 1) SELECT event_type AS v, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.v = event_type AND e.t BETWEEN g.a AND g.z)) AS unexplained, count(*) AS anomalies FROM e WHERE k > 40 GROUP BY 1""")
+@query("e3_unexplained", f"""WITH {E}, g AS (SELECT event_type AS v, t - 1000000000 AS a, t + 60000000 + 5000000000 AS z FROM e WHERE k = 1) SELECT event_type AS v, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.v = event_type AND e.t BETWEEN g.a AND g.z)) AS unexplained, count(*) AS anomalies FROM e GROUP BY 1""")
 def _(spark, d):
     e = events(spark, d).withColumnRenamed("event_type", "v")
     g = e.where("k = 1").select("v", F.col("t").alias("disconnect_ns"), (F.col("t") + 60_000_000).alias("reconnect_ns"))
-    return intervals.unexplained(e.where("k > 40"), g, ["v"], "t")
+    return intervals.unexplained(e, g, ["v"], "t")
