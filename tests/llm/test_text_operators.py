@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import io
 import math
 import random
 import re
@@ -675,7 +676,7 @@ def kept_by_hand(t):
         lone = [x in ("|", "»", "›", "·", ">") for x in w]
         letters, capitals = len(re.findall("[A-Za-z]", line)), len(re.findall("[A-Z]", line))
         failed = (
-            line in seen or (w[-1].encode()[-1] not in quality_rules.CLOSING and len(w) < 5) or (sum(lone) >= 4 and 10 * sum(lone) >= len(w))
+            line in seen or (w[-1][-1] not in quality_rules.CLOSING and max(len(w), sum(ord(c) >= 0x800 and not 0x2000 <= ord(c) < 0x3000 for c in line) // 2) < 5) or (sum(lone) >= 4 and 10 * sum(lone) >= len(w))
             or 3 * sum(bool(re.search(r"[#*$%&|<>]", x)) and not y for x, y in zip(w, lone, strict=True)) >= len(w) or (len(w) >= 4 and letters >= 12 and 10 * capitals >= 6 * letters)
             or any(p in lower(line) for p in quality_rules.BOILERPLATE)
         )
@@ -699,6 +700,14 @@ def test_verdicts_equal_brute_force():
     assert some == {True, False}
 
 
+def test_lines_close_by_code_points_in_any_script():
+    lines = ["Ende mit æ", "fin en û", "これは文です。", "これは長い文で終わりの印がない", "是的", "вот так", "вот так!", "क्या है।", "a 🙂", "x”"]
+    got = quality_rules.judge(texts_of(["\n".join(lines)])[0])["lines"][3].tolist()
+    assert got == [True, True, False, False, True, True, False, False, True, False]
+    points = quality_rules.last_points(np.frombuffer("aé。🙂".encode(), np.uint8), np.array([1, 3, 6, 10]))
+    assert points.tolist() == [ord(c) for c in "aé。🙂"]
+
+
 def test_rules_drop_bad_lines_and_bad_documents(spark):
     rng = random.Random(9)
     good = "\n".join(lorem(rng, 12) + "." for _ in range(8))
@@ -728,6 +737,20 @@ def test_language_model_counts_equal_brute_force(spark):
         assert math.isfinite(r["score"]) and r["score"] < 0
 
 
+def test_a_start_is_bounded_whatever_the_ids(spark, monkeypatch):
+    """All rows with one id, one of them most of all tokens: what reaches the driver stays about START_TOKENS."""
+    monkeypatch.setattr(hmm, "START_TOKENS", 4096)
+    rng = random.Random(4)
+    rows = [(7, lorem(rng, 300)) for _ in range(150)] + [(7, lorem(rng, 60_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    encoded = hmm.encode(docs, hmm.Lexicon(hmm.counts(docs), 100))
+    total = encoded.agg(F.sum("n_tokens")).first()[0]
+    some = hmm.start_pieces(encoded, total // 4096)
+    assert 1024 < sum(map(len, some)) < 3 * 4096
+    whole = hmm.start_pieces(encoded, 1)
+    assert sum(map(len, whole)) == total
+
+
 def test_rare_tokens_by_join_score_like_broadcast_ones(spark, monkeypatch):
     rng = random.Random(1)
     docs = frame(spark, [lorem(rng, 30) + f" only{i % 9}" for i in range(40)])
@@ -879,6 +902,18 @@ class Bytes:
         return out
 
 
+def test_folded_fields_and_messages_without_a_blank_line():
+    block = b"<html>" + b"x" * 200
+    folded = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: http://a.example/\r\n long/path\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    body = b"HTTP/1.1 200 OK\r\n" + b"y" * (3 << 20)
+    http = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    reader = warc.Salvage(io.BytesIO(folded + http + folded))
+    found = list(reader)
+    assert [f.size for f in found] == [len(block), len(body), len(block)] and not reader.gaps
+    assert found[0].fields["warc-target-uri"] == "http://a.example/ long/path"
+    assert found[1].digest == hashlib.sha256(body).hexdigest()
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_salvage_goes_on_after_damage(compress):
     recs, body = records(6, compress)

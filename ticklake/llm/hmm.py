@@ -10,8 +10,10 @@ rarer word has within its bucket.
 Baum-Welch passes run over all training texts, whole: a text's pieces of SPAN tokens are worked on at
 once, with what comes before and after each carried over as products of the pieces' matrices, so
 expected counts are those of the uncut text. Partitions' sums are added on executors, then on the
-driver (states x classes numbers). The first pass starts from passes over a bounded sample of about
-START_DOCS documents. The forward recursion of scoring runs over whole texts in the same way.
+driver (states x classes numbers). The first pass starts from passes over a sample of about START_TOKENS
+tokens, in pieces of SPAN picked by their own hash, whatever their documents' lengths and ids; passes
+over all texts end early where the likelihood gains less than ENOUGH of itself. The forward recursion
+of scoring runs over whole texts in the same way.
 
 Counts of tokens that make up at least one part in KNOWN of the training tokens are broadcast (so at
 most KNOWN pairs of numbers); each row lists its other tokens, which are joined with the table of
@@ -38,8 +40,10 @@ from .common import LOWER, Texts, chunks, map_texts, mix, small_batches, span_ha
 
 WORDS, BUCKETS, STATES, PASSES, SPAN = 4096, 512, 8, 3, 128
 KNOWN = 1 << 20
-#: About so many documents' passes on the driver give the first full pass its starting point; and those passes.
-START_DOCS, START_PASSES = 1000, 12
+#: Passes over about so many tokens on the driver give the first full pass its starting point; and how many passes.
+START_TOKENS, START_PASSES = 1 << 18, 12
+#: A pass over all texts that gains less than this part of the likelihood is the last.
+ENOUGH = 1e-4
 END = np.uint64(0x5EED0E0D)
 #: Distinct tokens that a task holds before it hands on their counts.
 HELD = 1_500_000
@@ -307,13 +311,30 @@ def _unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(zlib.decompress(x), "<u2") for x in batch.column("seq").to_pylist()]
 
 
+def start_pieces(encoded: DataFrame, step: int) -> list[np.ndarray]:
+    """One in step of all pieces of SPAN tokens, by a hash of the document's id, the piece's number and its tokens; equal ones count once."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, seq in zip(batch.column("doc_id").to_pylist(), _unpacked(batch), strict=True):
+                for k in range(0, len(seq), SPAN):
+                    piece = seq[k : k + SPAN].tobytes()
+                    if zlib.crc32(piece, zlib.crc32(f"{i}:{k}".encode())) % step == 0:
+                        out.append((i, k, piece))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "nth", "piece"])
+
+    found = encoded.select("doc_id", "seq").mapInArrow(run, "doc_id long, nth long, piece binary").distinct().collect()
+    return [np.frombuffer(bytes(r["piece"]), "<u2") for r in sorted(found)]
+
+
 def train(encoded: DataFrame, *, passes: int = PASSES, parts: int = 8, seed: int = 5, classes: int = WORDS + BUCKETS + 1) -> dict:
     """Baum-Welch over all encoded rows that aren't held out. The model's key seen lists log10 likelihoods before each pass over all."""
+    small_batches(encoded.sparkSession)
     rows = encoded.where("not held_out").select("seq")
-    # About START_DOCS documents, by a hash of the id: a limit would send so many of every task to the driver.
-    step = max(1, rows.count() // START_DOCS)
-    some = encoded.where("not held_out").where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("doc_id", "seq").collect()
-    some = [np.frombuffer(zlib.decompress(r["seq"]), "<u2") for r in sorted(some)]
+    total = encoded.where("not held_out").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    some = start_pieces(encoded.where("not held_out"), max(1, total // START_TOKENS))
     model = start_model(seed, classes)
     if not some:
         return model
@@ -344,6 +365,8 @@ def train(encoded: DataFrame, *, passes: int = PASSES, parts: int = 8, seed: int
         sums = sum(np.frombuffer(r["sums"]) for r in got)
         seen.append(float(sums[-1]))
         model = updated(sums)
+        if len(seen) > 1 and seen[-1] - seen[-2] < ENOUGH * abs(seen[-1]):
+            break
     return model | {"seen": seen}
 
 

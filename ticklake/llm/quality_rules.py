@@ -1,7 +1,7 @@
 """Line-first cleaning: rules judge each line, failing lines go, and a document that loses too much goes too.
 
 A line is what newlines separate; only lines with a word are judged. A line fails if
-- it is short and ends without closing punctuation (headings, buttons, menus),
+- it is short and ends without closing punctuation of any script (headings, buttons, menus),
 - it is navigation: many of its words are separators, or too many of its words carry symbols,
 - it shouts: most of its ASCII letters are capitals and there are several words,
 - it holds a boilerplate phrase,
@@ -24,8 +24,8 @@ from .common import LOWER, Texts, map_texts, mix, roll, span_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = (b"|", b"\xc2\xbb", b"\xe2\x80\xba", b"\xc2\xb7", b">")
-#: What may close a sentence, as last bytes; a closing quote or bracket counts.
-CLOSING = b".!?\"')]:;\xbb\x9d\xa6"
+#: What may close a sentence, in any script; a closing quote or bracket counts.
+CLOSING = ".!?\"')]:;»”’›…。！？」』】〉》）：；؟۔؛।॥።፧។៕။༎།።՞։"
 #: Phrases of lines that belong to a page and not to its text, by language; lower-case, as A-Z are lowered before they are looked for.
 PHRASES = {
     "en": (
@@ -52,12 +52,34 @@ def _lut(chars: bytes) -> np.ndarray:
     return t
 
 
-_SYMBOL, _CLOSING = _lut(SYMBOLS), _lut(CLOSING)
+_SYMBOL, _CLOSING = _lut(SYMBOLS), np.array(sorted(set(map(ord, CLOSING))))
 _UPPER, _ALPHA = _lut(bytes(range(65, 91))), _lut(bytes([*range(65, 91), *range(97, 123)]))
 _CONT = np.zeros(256, bool)
 _CONT[0x80:0xC0] = True
 
 
+# Lead bytes of scripts that are written without spaces or in long words (from U+0800 on, but for general punctuation).
+_WIDE = np.zeros(256, bool)
+_WIDE[0xE0:0xF5] = True
+_WIDE[0xE2] = False
+
+
+def last_points(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The code point that ends just before each end (0 where there is none)."""
+    at = ends - 1
+    point = np.where(at >= 0, data[np.maximum(at, 0)], 0).astype(np.int64)
+    open_ = (point >= 0x80) & (point < 0xC0)
+    point = np.where(open_, point & 0x3F, point)
+    for shift in (6, 12, 18):
+        at = at - 1
+        byte = data[np.maximum(at, 0)].astype(np.int64)
+        more = (byte >= 0x80) & (byte < 0xC0)
+        bits = np.where(more, byte & 0x3F, byte & (0x7F >> (1 + shift // 6)))
+        point = np.where(open_, point | bits << shift, point)
+        open_ = open_ & more
+    return point
+
+
 def repeated_words(words: np.ndarray, doc: np.ndarray, n_docs: int, width: int = 3) -> np.ndarray:
     """Per document, the words in width-word windows that occur twice or more in it."""
     if len(words) < width:
@@ -103,8 +125,9 @@ def judge(t: Texts, *, max_loss: float = 0.5, min_words: int = 50, max_repeat: i
         _, first = np.unique(line, return_index=True)
         again = np.ones(len(line), bool)
         again[first] = False
-        last = data[ends[b - 1] - 1]
-        abrupt = ~_CLOSING[last] & (in_line < short)
+        # Two characters of a script without spaces count as a word here.
+        closed = np.isin(last_points(data, ends[b - 1]), _CLOSING)
+        abrupt = ~closed & (np.maximum(in_line, _counts(_WIDE[data], from_, to) // 2) < short)
         flagged = _counts(_SYMBOL[data], starts, ends) > 0
         lone = np.zeros(len(starts), bool)
         for s in SEPARATORS:

@@ -41,6 +41,8 @@ MEMBER = b"\x1f\x8b\x08"
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
 BLOCK = 1 << 20
+#: An HTTP message whose head is longer counts as one without a head: its payload is the block, and only the block's digest is checked.
+HTTP_HEAD = 1 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -89,12 +91,16 @@ class _Block:
         lines = head.split(b"\r\n")
         if not lines[0].startswith(b"WARC/"):
             raise ValueError("no version line")
-        fields = {}
+        fields, name = {}, None
         for x in lines[1:]:
-            name, colon, value = x.partition(b":")
+            if x[:1] in (b" ", b"\t") and name is not None:  # a field goes on
+                fields[name] = f"{fields[name]} {x.strip().decode('utf-8', 'replace')}".strip()
+                continue
+            key, colon, value = x.partition(b":")
             if not colon:
                 raise ValueError("a broken field")
-            fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+            name = key.strip().lower().decode("utf-8", "replace")
+            fields[name] = value.strip().decode("utf-8", "replace")
         length = fields.get("content-length", "")
         if not (length.isascii() and length.isdigit() and len(length) < 19):
             raise ValueError("no length")
@@ -138,10 +144,13 @@ class _Block:
             if self.payload is None:
                 self._payload(block)
             else:
+                # The blank line is looked for in what is new alone, and up to HTTP_HEAD bytes in all.
+                since = max(0, len(self.payload) - 3)
                 self.payload += block
-                head, sep, body = self.payload.partition(b"\r\n\r\n")
-                if sep:
-                    if b"\r\ntransfer-encoding:" in head.lower():
+                at = self.payload.find(b"\r\n\r\n", since)
+                if at >= 0 or len(self.payload) > HTTP_HEAD:
+                    head, body = (self.payload[:at], self.payload[at + 4 :]) if at >= 0 else (b"", self.payload)
+                    if at < 0 or b"\r\ntransfer-encoding:" in head.lower():
                         self.checks = [x for x in self.checks if x[0] == "block"]
                     self.payload = None
                     self._payload(body)
