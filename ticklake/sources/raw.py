@@ -171,12 +171,13 @@ def vendor_records(rows: DataFrame, symbol: str) -> DataFrame:
     side = lambda p, q: F.filter(F.transform("levels", lambda x: F.struct(px(x[p]).alias("p"), x[q].cast("double").alias("q"))), lambda x: x["p"].isNotNull() & (x["q"] > 0))
     out = rows.withColumn("__b", side("bid_px", "bid_sz")).withColumn("__a", side("ask_px", "ask_sz"))
     first = lambda c, f: F.get(F.col(c), F.lit(0))[f]
+    column = lambda c, f: F.transform(c, lambda x: x[f])
     bid, bq, ask, aq = first("__b", "p"), first("__b", "q"), first("__a", "p"), first("__a", "q")
     return out.select(
         F.lit("cme").alias("venue"), F.lit(symbol).alias("symbol"), F.col("ts_recv").alias("ts_ns"), F.col("ts_event").alias("exchange_ns"), F.lit("vendor").alias("source"), F.lit("event").alias("kind"),
         (bid.isNotNull() & ask.isNotNull()).alias("valid"), F.coalesce(bid > ask, F.lit(False)).alias("crossed"), F.coalesce(bid == ask, F.lit(False)).alias("locked"),
         bid.alias("best_bid"), bq.alias("bid_qty"), ask.alias("best_ask"), aq.alias("ask_qty"), ((bid + ask) / 2).alias("mid"), F.when(bq + aq > 0, (bq * ask + aq * bid) / (bq + aq)).alias("microprice"),
-        *[F.transform(c, lambda x, f=f: x[f]).alias(n) for c, f, n in (("__b", "p", "bid_prices"), ("__b", "q", "bid_qtys"), ("__a", "p", "ask_prices"), ("__a", "q", "ask_qtys"))],
+        *[column(c, f).alias(n) for c, f, n in (("__b", "p", "bid_prices"), ("__b", "q", "bid_qtys"), ("__a", "p", "ask_prices"), ("__a", "q", "ask_qtys"))],
         F.col("sequence").alias("seq"), F.get("levels", F.lit(0))["bid_ct"].cast("long").alias("bid_n"), F.get("levels", F.lit(0))["ask_ct"].cast("long").alias("ask_n"),
     )
 
