@@ -36,12 +36,25 @@ def test_recurrent_learns_from_the_past_alone(spark):
     x = rng.normal(size=(900, 6, 2))
     y = (x[:, 1, 0] + x[:, 4, 1] > 0).astype(int)
     rows = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(900)], "id long, window array<array<double>>, y int")
-    out = models.recurrent(rows.where("id < 700"), rows.where("id >= 700"), "y", epochs=40).collect()
+    out = models.recurrent(rows.where("id < 700"), rows.where("id >= 700"), "y", epochs=60, rate=0.05).collect()
     assert sum((r["probability"] > 0.5) == bool(r["y"]) for r in out) / len(out) > 0.85
     with pytest.raises(ValueError):
         models.recurrent(rows.limit(0), rows, "y")
 
 
+def test_steps_over_blocks_equal_one_process(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(200, 4, 2)), rng.integers(0, 2, 200)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    rows = spark.createDataFrame([(i, [[None if np.isnan(v) else float(v) for v in step] for step in x[i]], int(y[i])) for i in range(200)], "id long, window array<array<double>>, y int").repartition(3)
+    model, losses = models.fit_recurrent(rows, "y", hidden=4, epochs=5, seed=3)
+    one = models.Recurrent(2, 4, 3).fit(x, y.astype(float), epochs=5, batch=1000)
+    assert len(losses) == 5 and losses[-1] < losses[0]
+    assert np.allclose(model.probability(x), one.probability(x), atol=1e-9) and np.allclose(model.mean, one.mean)
+    _, more = models.fit_recurrent(rows, "y", hidden=4, epochs=2, steps=3, seed=3)
+    assert 2 <= len(more) <= 6
+
+
 def frame(spark, n=600):
     return spark.range(n).select("id", (F.col("id") * 37 % 101 / 101).alias("a"), (F.col("id") * 53 % 97 / 97).alias("b"), F.when(F.col("id") % 9 > 0, F.lit(1.0)).alias("c")).withColumn("y", (F.col("a") > 0.5).cast("int"))
 
