@@ -95,3 +95,20 @@ def test_frames_hold_what_the_plain_reader_reads(spark, tmp_path):
     (plain / "m.ndjson").write_text(text)
     want = sorted(r["recv_ns"] for r in raw.raw_messages(spark, str(tmp_path / "plain"), "v").collect())
     assert sorted(r["recv_ns"] for r in frames.framed_messages(spark, str(tmp_path), venue="v", split_bytes=300).collect()) == want
+
+
+def test_bronze_appends_frames_and_a_batch_again_replaces_its_own(spark, tmp_path):
+    from ticklake.streaming import live
+
+    (tmp_path / "in").mkdir()
+    hour = 3_600 * 10**9
+    (tmp_path / "in/a.ndjson").write_text("".join(json.dumps({"recv_ns": i * hour // 4, "raw": f"é{i}"}) + "\n" for i in range(20)))
+    run = lambda: live.bronze(live.raw_stream(spark, str(tmp_path / "in")), "v", str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination()
+    run()
+    (tmp_path / "in/b.ndjson").write_text(json.dumps({"recv_ns": 5, "raw": "late"}) + "\n")
+    run()
+    back = frames.framed_messages(spark, str(tmp_path / "log")).collect()
+    assert sorted((r["recv_ns"], r["raw"]) for r in back) == sorted([(i * hour // 4, f"é{i}") for i in range(20)] + [(5, "late")])
+    assert {(r["date"], r["hour"]) for r in back} == {("1970-01-01", f"{h:02d}") for h in range(5)}
+    made = frames.write_frames(spark.createDataFrame([("w", "1970-01-01", "00", 1, "x")], "venue string, date string, hour string, recv_ns long, raw string"), str(tmp_path / "log"), "r")
+    assert [r["lines"] for r in made.collect()] == [1] and frames.write_frames(frames.framed_messages(spark, str(tmp_path / "log"), venue="none"), str(tmp_path / "log")).count() == 0

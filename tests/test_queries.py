@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from ticklake.functions.register import register
 from ticklake.operators.ordering import numbered
-from ticklake.plans import learned, more, panels  # noqa: F401
+from ticklake.plans import learned, more, panels, stored  # noqa: F401
 from ticklake.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"

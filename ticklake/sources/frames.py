@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -199,3 +200,45 @@ def framed_messages(spark: SparkSession, raw_dir: str, *, venue: str | None = No
     for condition in (F.col("venue") == venue if venue else None, F.col("date").isin(dates) if dates else None, F.col("raw").contains(coin) if coin else None):
         rows = rows if condition is None else rows.where(condition)
     return rows
+
+
+def write_frames(rows: DataFrame, path: str, run: str = "0", level: int = 6) -> DataFrame:
+    """Writes (venue, date, hour, recv_ns, raw) as a recorder's log under path, a frame and file an hour; returns (file, lines).
+
+    An hour's rows come to one task, in order, and go to a hidden file that is moved to its name when it is whole. The
+    name holds the run's, so a run that is written again replaces its own files alone.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        made: list[tuple[str, int]] = []
+        hour, out, sink, lines, hidden = None, None, None, 0, ""
+
+        def close() -> None:
+            if hour is None:
+                return
+            out.close()
+            sink.close()
+            name = f"{hidden.rpartition('/')[0]}/messages-{run}.ndjson.zst"
+            fs.move(hidden, name)
+            made.append((name, lines))
+
+        for batch in batches:
+            for *place, recv_ns, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if place != hour:
+                    close()
+                    folder = "{}/venue={}/date={}/hour={}".format(base.rstrip("/"), *place)
+                    fs.create_dir(folder, recursive=True)
+                    hour, lines, hidden = place, 0, f"{folder}/.{uuid.uuid4().hex}.tmp"
+                    sink = fs.open_output_stream(hidden, compression=None)
+                    out = zstandard.ZstdCompressor(level=level).stream_writer(sink, closefd=False)
+                out.write(json.dumps({"recv_ns": recv_ns, "raw": raw}, ensure_ascii=False).encode() + b"\n")
+                lines += 1
+        close()
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made]), pa.array([m[1] for m in made], pa.int64())], names=["file", "lines"])
+
+    hours = rows.select("venue", "date", "hour", F.col("recv_ns").cast("long").alias("recv_ns"), "raw").repartition("venue", "date", "hour")
+    spark = rows.sparkSession
+    made = hours.sortWithinPartitions("venue", "date", "hour", "recv_ns").mapInArrow(write, "file string, lines long").toArrow()
+    return spark.createDataFrame(made) if made.num_rows else spark.createDataFrame([], "file string, lines long")

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import RAW
 from ..sources import parsers
+from ..sources.frames import write_frames
 from .books import stream_books
 
 #: Subscription messages by venue and channel. Fixed values.
@@ -32,10 +33,14 @@ def raw_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> Da
 
 
 def bronze(rows: DataFrame, venue: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends raw messages by venue, date and hour."""
-    ts = F.timestamp_micros(F.floor(F.col("recv_ns") / 1000))
-    out = rows.withColumn("venue", F.lit(venue)).withColumn("date", F.date_format(ts, "yyyy-MM-dd")).withColumn("hour", F.date_format(ts, "HH"))
-    return out.writeStream.partitionBy("venue", "date", "hour").format("json").option("compression", "zstd").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
+    """Appends raw messages by venue, date and hour, a compressed frame a batch and hour; a batch that runs again replaces its own."""
+    ts = F.timestamp_micros(F.expr("recv_ns div 1000"))
+    out = rows.select(F.lit(venue).alias("venue"), F.date_format(ts, "yyyy-MM-dd").alias("date"), F.date_format(ts, "HH").alias("hour"), "recv_ns", "raw")
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        write_frames(df, path, f"{epoch:010d}")
+
+    return out.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def trades(rows: DataFrame, venue: str) -> DataFrame:
