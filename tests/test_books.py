@@ -235,3 +235,34 @@ def test_scalars(spark):
 def test_reports(spark):
     df = spark.createDataFrame([(1, "a", None)], BOOK.split(",")[0].replace("venue STRING", "n int, s string, z array<double>"))
     assert "| 1 | a |  |" in sinks.markdown(df, "T") and "n: number | null" in sinks.typescript(df, "R") and '"name": "z"' in sinks.json_schema(df)
+
+
+def test_late_rows_stay_late_after_a_restart_and_in_a_batch_that_runs_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+
+    def add(k, times):
+        spark.createDataFrame([(t * 10**9,) for t in times], "ts_ns long").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+
+    kept, late, die = [], [], [False]
+
+    def sink(df, epoch):
+        kept.append((epoch, sorted(r["ts_ns"] // 10**9 for r in df.collect())))
+        if die[0]:
+            raise RuntimeError("killed")
+
+    def run():
+        stream = spark.readStream.schema("ts_ns long").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        live.with_late(stream, sink, lambda df, epoch: late.append((epoch, sorted(r["ts_ns"] // 10**9 for r in df.collect()))), str(tmp_path / "ck"), delay_ns=30 * 10**9).awaitTermination()
+
+    add(0, [100, 5])
+    run()
+    add(1, [80, 60, 300])
+    die[0] = True
+    with pytest.raises(Exception, match="killed"):
+        run()
+    die[0] = False
+    run()  # the batch again
+    add(2, [200, 290])
+    run()  # and after a restart
+    assert kept == [(0, [5, 100]), (1, [80, 300]), (1, [80, 300]), (2, [290])]
+    assert late == [(0, []), (1, [60]), (2, [200])]

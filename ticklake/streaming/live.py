@@ -76,16 +76,23 @@ def sessions(rows: DataFrame, gap: str = "5 minutes") -> DataFrame:
 def with_late(rows: DataFrame, sink, late_sink, checkpoint: str, *, ts: str = "ts_ns", delay_ns: int = 10_000_000_000, available_now: bool = True) -> StreamingQuery:
     """foreachBatch that sends rows older than the newest of earlier batches less the delay to late_sink, others to sink.
 
-    The newest time comes from each batch by an aggregate; a query that starts again takes it from its first batch.
+    Each batch's newest time is written under the checkpoint once its sinks are done, by the batch's number. A batch
+    takes those of the numbers before its own, so one that runs again, or first after a restart, divides its rows as
+    it would have; the sinks are told the number, to write by it.
     """
-    newest = {"ns": None}
+    known = f"{checkpoint}/newest"
 
     def batch(df: DataFrame, epoch: int) -> None:
-        df = df.withColumn("late", F.col(ts) < F.lit(newest["ns"] - delay_ns) if newest["ns"] is not None else F.lit(False))
-        sink(df.where("NOT late").drop("late"), epoch)
-        late_sink(df.where("late").drop("late"), epoch)
-        top = df.agg(F.max(ts)).first()[0]
-        newest["ns"] = top if newest["ns"] is None else max(newest["ns"], top or newest["ns"])
+        spark = df.sparkSession
+        past = spark.read.schema("ns LONG, epoch LONG").option("pathGlobFilter", "*.json").json(known).where(F.col("epoch") < epoch) if epoch else None
+        newest = past.agg(F.max("ns")).first()[0] if past is not None else None
+        df = df.withColumn("late", F.coalesce(F.col(ts) < newest - delay_ns, F.lit(False)) if newest is not None else F.lit(False)).persist()
+        try:
+            sink(df.where("NOT late").drop("late"), epoch)
+            late_sink(df.where("late").drop("late"), epoch)
+            df.agg(F.max(ts).cast("long").alias("ns")).coalesce(1).write.mode("overwrite").json(f"{known}/epoch={epoch}")
+        finally:
+            df.unpersist()
 
     out = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()
