@@ -270,6 +270,17 @@ def test_addresses_without_digits_and_at_signs_are_found(spark):
     assert {r["doc_id"] for r in pii.masked(frame(spark, texts)).collect() if r["text"].startswith("please write to [EMAIL] or")} == set(want)
 
 
+def test_windows_that_are_not_run_hold_no_spans(spark, data, monkeypatch):
+    """The network over all windows of whole texts finds what it finds near the places that a span can be at."""
+    model = pii.trained(spark)
+    docs = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").where("n_chars < 900").orderBy("doc_id").limit(2).collect()]
+    docs = [x[:120] for x in docs] + ["mail me: jan [at] firm [dot] com or +44 20 7946 0958", "no data at all, just words and words", "card 4111 1111 1111 1111 and 10.0.0.1"]
+    t = texts_of(docs)[0]
+    some = [pii.find(t, model)]
+    monkeypatch.setattr(pii, "anchors", lambda chars: np.arange(len(chars)))
+    assert some == [pii.find(t, model)] and any(spans for _, spans in some[0])
+
+
 def test_long_runs_of_characters(spark):
     texts = ["1.2.3." + "5" * 5000, "0" * 50 + "1.2.3.004", "a" * 300_000 + "@", "x@" + "b" * 300_000, "7" * 300_000 + ".2.3", "1.2.3.4." * 20_000, "+1" + "(" * 300_000, "@" * 100_000, "4 " * 100_000]
     rows = {r["doc_id"]: r for r in pii.report(frame(spark, texts)).collect()}
@@ -866,6 +877,20 @@ def test_classifier_on_labels_held_out(spark, data):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_summed_equations_equal_a_plain_solve_over_all_rows(spark, data):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = classifier.fit(classifier.measured(docs.repartition(7)), labels)
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    rows = [r for r in docs.collect() if r["doc_id"] in y]
+    x = np.concatenate([classifier.statistics(t) for t in texts_of([r["text"] for r in rows])])
+    target = np.array([y[r["doc_id"]] for r in rows], float)
+    assert np.allclose(model["mean"], x.mean(0)) and np.allclose(model["scale"], np.sqrt(np.maximum(x.var(0), 1e-8)))
+    w = np.where(target > 0.5, len(target) / (2 * target.sum()), len(target) / (2 * (1 - target).sum()))
+    z = classifier._mapped(x, model)
+    beta = np.linalg.solve((z * w[:, None]).T @ z + classifier.RIDGE * np.eye(z.shape[1]), (z * w[:, None]).T @ (2 * target - 1))
+    assert np.allclose(model["beta"], beta, atol=1e-6)
+
+
 def test_classifier_without_labels_and_on_odd_texts(spark):
     docs = frame(spark, ODD)
     stats = classifier.measured(docs)
