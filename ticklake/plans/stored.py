@@ -17,9 +17,6 @@ from .learned import drained
 from .panels import messages
 from .queries import DAY, HOUR, START, E, events, query
 
-NS = (F.col("t") * 1000).alias("ns")
-TEXT = "printf('%.2f', value)"
-
 
 def said(e: DataFrame, body: Column) -> DataFrame:
     """Raw messages of events."""
@@ -234,7 +231,7 @@ def market(spark, d) -> tuple[DataFrame, DataFrame]:
     """Book rows and trades of three instruments, made of events."""
     e = events(spark, d)
     book = books_of(e.where("event_type IN ('click', 'view')")).drop("p_date")
-    trades = e.where("event_type = 'purchase'").select(F.lit("v").alias("venue"), F.concat(F.lit("U/"), F.col("user_id") % 3).alias("symbol"), NS.alias("ts_ns"), F.col("value").alias("price"), F.col("k").cast("double").alias("qty"), F.lit("buy").alias("venue_side"))
+    trades = e.where("event_type = 'purchase'").select(F.lit("v").alias("venue"), F.concat(F.lit("U/"), F.col("user_id") % 3).alias("symbol"), (F.col("t") * 1000).alias("ts_ns"), F.col("value").alias("price"), F.col("k").cast("double").alias("qty"), F.lit("buy").alias("venue_side"))
     return book, trades
 
 
