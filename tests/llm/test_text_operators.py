@@ -270,11 +270,10 @@ def test_addresses_without_digits_and_at_signs_are_found(spark):
     assert {r["doc_id"] for r in pii.masked(frame(spark, texts)).collect() if r["text"].startswith("please write to [EMAIL] or")} == set(want)
 
 
-def test_windows_that_are_not_run_hold_no_spans(spark, data, monkeypatch):
+def test_windows_that_are_not_run_hold_no_spans(spark, monkeypatch):
     """The network over all windows of whole texts finds what it finds near the places that a span can be at."""
     model = pii.trained(spark)
-    docs = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").where("n_chars < 900").orderBy("doc_id").limit(2).collect()]
-    docs = [x[:120] for x in docs] + ["mail me: jan [at] firm [dot] com or +44 20 7946 0958", "no data at all, just words and words", "card 4111 1111 1111 1111 and 10.0.0.1"]
+    docs = ["mail me: jan [at] firm [dot] com or +44 20 7946 0958", "no data at all, just words and words", "card 4111 1111 1111 1111 and 10.0.0.1"]
     t = texts_of(docs)[0]
     some = [pii.find(t, model)]
     monkeypatch.setattr(pii, "anchors", lambda chars: np.arange(len(chars)))
