@@ -247,6 +247,7 @@ def _(spark, d):
     book, trades = market(spark, d)
     horizon = HOUR // 1000
     rows = samples.extract(book, trades, every=10, horizons_ms=(horizon,)).withColumn("ret_1s", F.lit(0.0))
+    rows = Run(spark, "samples").put(rows, "rows")  # folds and passes read them many times
     got = models.evaluate(rows, ["qimb_best", "spread_bps"], (horizon,), folds=2, trees=1, depth=2, min_rows=20)
     return got.select("horizon_ms", "model", "trades", F.round("hit_rate", 6).alias("hit_rate"), F.round("net_bps", 6).alias("net_bps"))
 
