@@ -183,3 +183,23 @@ def test_wide_sums_keep_equal_rows_and_any_columns(spark):
     key = lambda r: (str(r["k"]), r["t"] or -1, r["v"])
     narrow = windows.window_sums(rows.where("t is not null").drop("m"), ["k"], "t", 3, {"s": "v"}).collect()
     assert sorted((key(r), r["s"]) for r in got.collect() if r["t"] is not None) == sorted((key(r), int(r["s"])) for r in narrow)
+
+
+def test_windows_of_many_rows_cost_no_frame_a_row(spark):
+    """Sums and scores of trailing windows are running aggregates of blocks, and equal Spark's own sliding frames on ties, nulls, negative times and infinite values."""
+    rows = [("k" if i % 4 else None, None if i == 7 else (i * 37) % 211 - 90, None if i % 11 == 0 else float(i % 13), i) for i in range(400)] + [("z", 5, float("inf"), 400), ("z", 30, 1.0, 401), ("z", 50, 2.0, 402)]
+    df = spark.createDataFrame(rows, "k string, t long, v double, i long")
+    got = windows.window_sums(df, ["k"], "t", 40, {"s": "v"}, "n")
+    scored = windows.diff_z(df, ["k"], "t", "v", width=40, least=3)
+    w = Window.partitionBy("k").orderBy("t").rangeBetween(-39, -1)
+    z = F.when((F.count("v").over(w) >= 3) & (F.var_pop("v").over(w) > 0), (F.col("v") - F.avg("v").over(w)) / F.sqrt(F.var_pop("v").over(w)))
+    want = df.select("i", F.coalesce(F.sum("v").over(w), F.lit(0.0)).alias("s"), F.count("*").over(w).alias("n"), z.alias("z"))
+    wanted = {r["i"]: r for r in want.collect()}
+    found, scores = got.collect(), scored.collect()
+    assert len(found) == len(scores) == len(rows) and got.columns == ["k", "t", "v", "i", "s", "n"] and scored.columns == ["k", "t", "v", "i", "z"]
+    assert {r["i"]: (r["s"], r["n"]) for r in found} == {i: (r["s"], r["n"]) for i, r in wanted.items()}
+    assert {r["i"]: r["z"] and round(r["z"], 9) for r in scores} == {i: r["z"] and round(r["z"], 9) for i, r in wanted.items()}
+    assert any(r["z"] for r in scores)
+    for out in (got, scored):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "RangeFrame, unboundedpreceding" in plan and "windowframe(RangeFrame, -" not in plan
