@@ -39,6 +39,23 @@ def test_query(spark, data, duck, name):
     assert sorted(rows, key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("name", ["d5_triple_barrier"])
+def test_values_of_zero_equal_the_sql(spark, tmp_path, name):
+    """A first, middle and last value of zero, and zeros in a row, are prices like others."""
+    minute = lambda i: f"TIMESTAMP '2024-01-01' + INTERVAL {i} MINUTE"
+    users = {1: [0.0, 5.0, 0.0, 7.5, 0.0, 0.0, 3.0], 2: [4.0, 0.0, 0.0, 6.0, 0.0, 2.0, 0.0], 3: [0.0] * 7, 4: [1.5, 2.5, 3.5, 3.0, 2.0, 1.0, 9.0]}
+    kinds = [(u, i, kind, v) for u, vs in users.items() for i, (kind, v) in enumerate(zip(["click", "purchase", "view", "purchase", "purchase", "click", "view"], vs, strict=True))]
+    kinds += [(5, i, "purchase" if i % 3 else "click", v) for i, v in enumerate([0.0, 0.0, 2.0, 3.0, 0.0, 4.0, 1.0])]
+    con = duckdb.connect()
+    rows = ", ".join(f"({n}, {minute(u + 11 * i)}, {u}, '{kind}', {v}::DOUBLE, '{{\"k\": {3 * n % 29}}}')" for n, (u, i, kind, v) in enumerate(kinds))
+    con.execute(f"COPY (SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, value, props FROM (VALUES {rows}) AS t(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = plans.QUERIES[name](spark, str(tmp_path))
+    got = sorted(tuple(str(plain(v)) for v in r) for r in df.collect())
+    want = sorted(tuple(str(plain(v)) for v in r) for r in con.execute(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES[name]})").fetchall())
+    assert got == want and len(got) >= 4
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns == ["event_id", "user_id", "sum_1h", "count_1h", "entry_mid", "ret_6h_bps", "gap_touched"]
