@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ratio
 from . import asof
 
 NS_HOUR = 3_600_000_000_000
@@ -72,13 +73,16 @@ def census(parts: DataFrame, keys: list[str], sums: list[str], least: list[str]
     return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most])
 
 
-def adverse_moves(trades: DataFrame, quotes: DataFrame, keys: list[str], horizons_ms: tuple[int, ...], ts: str = "ts_ns") -> DataFrame:
-    """trades (sign, qty, price) with the spread at the trade and, by horizon, the move against the maker in basis points, null where it isn't known."""
-    q = quotes.where("bid > 0 AND ask > bid").withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
+def adverse_moves(trades: DataFrame, quotes: DataFrame, keys: list[str], horizons_ms: tuple[int, ...], ts: str = "ts_ns", quoted: str = "bid > 0 AND ask > bid") -> DataFrame:
+    """trades (sign, qty, price) with the spread at the trade and, by horizon, the move against the maker in basis points, null where it isn't known.
+
+    quoted: which quotes count. Where it lets mids of zero count, what is measured against them is infinite or NaN.
+    """
+    q = quotes.where(quoted).withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
     out = asof.asof(trades, q, keys, ts, ts, ["mid", "bid", "ask"], prefix="q_")
-    out = out.withColumn("spread_bps", (F.col("q_ask") - F.col("q_bid")) / F.col("q_mid") * 1e4)
+    out = out.withColumn("spread_bps", ratio(F.col("q_ask") - F.col("q_bid"), F.col("q_mid")) * 1e4)
     later = asof.resolved(out, q.select(*keys, ts, "mid"), keys, ts, {f"__x{h}": h * 1_000_000 for h in horizons_ms}, mid_ts=ts)
-    return later.select(*out.columns, *[(F.col("sign") * (F.col(f"__x{h}") - F.col("q_mid")) / F.col("q_mid") * 1e4).alias(f"adverse_{h}ms") for h in horizons_ms])
+    return later.select(*out.columns, *[(ratio(F.col("sign") * (F.col(f"__x{h}") - F.col("q_mid")), F.col("q_mid")) * 1e4).alias(f"adverse_{h}ms") for h in horizons_ms])
 
 
 def clustered(rows: DataFrame, keys: list[str], value: str, ts: str = "ts_ns") -> DataFrame:
