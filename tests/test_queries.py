@@ -39,7 +39,7 @@ def test_query(spark, data, duck, name):
     assert sorted(rows, key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("name", ["d5_triple_barrier", "d6_adverse_moves", "f4_realised_volatility"])
+@pytest.mark.parametrize("name", ["d5_triple_barrier", "d6_adverse_moves", "f4_realised_volatility", "l7_inventory"])
 def test_values_of_zero_equal_the_sql(spark, tmp_path, name):
     """A first, middle and last value of zero, and zeros in a row, are prices like others."""
     minute = lambda i: f"TIMESTAMP '2024-01-01' + INTERVAL {i} MINUTE"
