@@ -203,3 +203,25 @@ def test_windows_of_many_rows_cost_no_frame_a_row(spark):
     for out in (got, scored):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "RangeFrame, unboundedpreceding" in plan and "windowframe(RangeFrame, -" not in plan
+
+
+def test_imbalance_bars_pass_a_batch_at_a_time(spark):
+    """Flows are carried from batch to batch, keys (null too) stay apart, and no task holds a key's rows as one table."""
+    rows = [(["a", "b", None][i % 3], (i * 7919) % 3001, float(i % 17 - 6) if i % 19 else None, i) for i in range(3001)]
+    df = spark.createDataFrame(rows, "k string, t long, signed_qty double, i long")
+    want = set()
+    for k in ("a", "b", None):
+        level = 0.0
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            level += r[2] or 0.0
+            if abs(level) >= 25:
+                want.add(r[3])
+                level = 0.0
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        got = bars.imbalance_bars(df, ["k"], ["t"], 25.0)
+        assert {r["i"] for r in got.collect()} == want and len(want) > 100
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got.columns == df.columns and "FlatMapGroupsIn" not in got._jdf.queryExecution().optimizedPlan().toString()
