@@ -99,3 +99,9 @@ def test_numbered_deals_outliers_and_one_popular_time_into_ranges(spark, monkeyp
     ranges = hot.repartitionByRange(10, "t", "id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert ranges < 2 * 200
     assert numbered(hot.limit(0), [], "t").count() == 0
+
+
+@pytest.mark.parametrize("name", ["a9_hyperliquid_books", "a6_parse_books", "a11_parse_trades", "a7_coinbase_books", "j2_interval_rows"])
+def test_a_message_is_parsed_once(spark, data, name):
+    plan = plans.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
