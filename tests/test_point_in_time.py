@@ -225,3 +225,15 @@ def test_imbalance_bars_pass_a_batch_at_a_time(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert got.columns == df.columns and "FlatMapGroupsIn" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sums_at_samples_hold_two_widths_a_task(spark):
+    """Repeated samples stay, null keys are keys, an infinite value counts in its own windows alone, and no task orders a whole key."""
+    events = [("k" if i % 3 else None, (i * 13) % 97, float(i % 5)) for i in range(150)] + [("k", 40, float("inf")), ("k", None, 9.0), ("k", 41, None)]
+    asked = [("k" if i % 2 else None, (i * 7) % 110, i) for i in range(60)] + [("k", 50, 60), ("k", 50, 60), ("k", None, 61), ("x", 5, 62)]
+    got = samples.sums_at(spark.createDataFrame(asked, "k string, t long, id int"), spark.createDataFrame(events, "k string, t long, v double"), ["k"], "t", {"short": ("v", 10), "v": ("v", 45)})
+    total = lambda k, t, w: sum((v for n, u, v in events if n == k and None not in (u, t, v) and t - w < u < t), 0.0)
+    want = [(k, t, i, total(k, t, 10), total(k, t, 45)) for k, t, i in asked]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and all("__block" in line for line in plan.splitlines() if "windowspecdefinition" in line)
