@@ -237,3 +237,24 @@ def test_sums_at_samples_hold_two_widths_a_task(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and all("__block" in line for line in plan.splitlines() if "windowspecdefinition" in line)
+
+
+def test_lookups_order_stretches_of_a_key(spark, monkeypatch):
+    """Last rows pass over stretches in which their stream is silent, keys (null too) stay apart, and no question is ordered with a whole key."""
+    monkeypatch.setattr(samples, "STRETCH", 20)
+    own = [("k" if i % 4 else None, (i * 13) % 400, i, float(i)) for i in range(300)]
+    few = [("k", 3, 1, 1.0), ("k", 3, 2, 2.0), (None, 250, 3, 3.0), ("x", 5, 4, 4.0)]
+    asked = [("k" if i % 2 else None, (i * 7) % 450) for i in range(120)] + [("x", 9), ("k", 3), ("y", 1)]
+    kind = "k string, t long, n long, v double"
+    got = samples.lookups(spark.createDataFrame(asked, "k string, t long"), {"own": spark.createDataFrame(own, kind), "few": spark.createDataFrame(few, kind)}, ["k"], "t", [30], "n")
+
+    def last(rows, k, until):
+        known = [(t, n, v) for key, t, n, v in rows if key == k and t < until]
+        return max(known)[2] if known else None
+
+    found = {(r["k"], r["t"]): tuple(r[c]["v"] if r[c] is not None else None for c in ("own_0", "own_30", "few_0", "few_30")) for r in got.collect()}
+    assert found == {(k, t): (last(own, k, t), last(own, k, t - 29), last(few, k, t), last(few, k, t - 29)) for k, t in asked}
+    plan = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "windowspecdefinition" in line and "last(" in line]
+    assert plan and all("__s" in line for line in plan)
+    cut = samples._stretches(spark.createDataFrame(own, kind), ["k"], "t").collect()
+    assert len(cut) == 2 and all(len(r["__bounds"]) >= 3 for r in cut)
