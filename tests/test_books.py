@@ -185,6 +185,21 @@ def test_tables_are_overwritten_by_day(spark, tmp_path):
     assert sinks.late_days(spark.createDataFrame([(1, 5), (2, day + 1), (3, 7)], "o long, ts_ns long"), "o") == 1
 
 
+def test_days_of_many_symbols_share_files(spark, tmp_path):
+    """Files are as many as the days; a symbol's day is replaced alone, other symbols and days of it stay; null symbols and times are kept."""
+    day = 86_400_000_000_000
+    row = lambda s, ts, px, venue="7": (venue, s, ts, None, px, 1.0, "buy", "1", "recorder")
+    first = [row(f"S{i}/USD", ts, 1.0) for i in range(40) for ts in (5, 9, day + 5)] + [row(None, 7, 2.0), row("S1/USD", None, 2.0), row("S1/USD", 5, 2.0, "8")]
+    again = [row("S1/USD", 6, 3.0), row("S99/USD", 2 * day, 3.0)]
+    for rows in (first, again):
+        sinks.day_table(spark.createDataFrame(rows, TRADES), str(tmp_path), "trades")
+    got = raw.stored(spark, str(tmp_path), "trades")
+    want = [r for r in first if not (r[1] == "S1/USD" and r[0] == "7" and r[2] in (5, 9))] + again
+    assert sorted(map(str, ((r["venue"], r["symbol"], r["ts_ns"], r["price"]) for r in got.collect()))) == sorted(str((r[0], r[1], r[2], r[4])) for r in want)
+    assert [r["price"] for r in raw.stored(spark, str(tmp_path), "trades", symbols=["S1/USD"], dates=["1970-01-01"]).where("venue = '7'").collect()] == [3.0]
+    assert len(list((tmp_path / "trades").rglob("*.parquet"))) == 5
+
+
 def test_raw_logs_and_sidecars(spark, tmp_path):
     d = tmp_path / "venue=kraken/date=2024-01-01/hour=00"
     d.mkdir(parents=True)
