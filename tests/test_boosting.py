@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,18 @@ def test_out_of_fold_predictions_beat_chance(spark):
     assert stats.auc(got.withColumn("g", F.lit(1)), ["g"], "y", "probability").first()["auc"] > 0.8
     top = boosting.importances(spark, boosting.train(rows, ["a", "b", "c"], "y", trees=2, min_rows=10), top=2).collect()
     assert top[0]["feature"] == "a" and len(top) == 2
+
+
+def test_blocks_are_read_one_at_a_time():
+    """No batch is copied whole beside itself."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 9, (2000, 3)).astype(np.uint8), rng.random(2000)
+    batch = pa.Table.from_batches([boosting._block([(x, y)], 0.25)] * 100).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    n = 0
+    for block, bins, label, margin in boosting._read(batch):
+        assert block == 0 and (bins == x).all() and (label == y).all() and (margin == 0.25).all()
+        n += 1
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 100 and most < batch.nbytes / 4
