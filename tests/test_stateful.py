@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticklake.operators import asof, book_fold
+from ticklake.plans.learned import event_stream
+from ticklake.plans.panels import messages_of
 from ticklake.schemas import BOOK_EVENTS
+from ticklake.sources import parsers
 from ticklake.streaming import books, labels
 
 S = 1_000_000_000
@@ -97,6 +100,107 @@ def test_books_start_from_the_day_before(spark, tmp_path):
     assert plain(got.where(of)) == plain(whole.where(of))
 
 
+class Store:
+    """One key's state, which counts what is asked of it."""
+
+    def __init__(self):
+        self.values, self.maps, self.timers, self.calls = {}, {}, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return State(self, self.values, name)
+
+    def getMapState(self, name, *schema):  # noqa: N802
+        return State(self, self.maps.setdefault(name, {}), None)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class State:
+    def __init__(self, store, held, name):
+        self.store, self.held, self.name = store, held, name
+
+    def __getattribute__(self, name):
+        if name in ("exists", "get", "update", "clear", "iterator", "updateValue", "removeKey"):
+            self.store.calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return self.name in self.held
+
+    def get(self):
+        return self.held.get(self.name)
+
+    def update(self, value):
+        self.held[self.name] = value
+
+    def clear(self):
+        self.held.clear() if self.name is None else self.held.pop(self.name, None)
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.held[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.held.pop(key, None)
+
+
+def fed(spark, store, events):
+    """Rows of a batch of one key's events, and how often its state was asked."""
+    rows = spark.createDataFrame(events, BOOK_EVENTS).select("recv_ns", books._text(F.lit(0)).alias("event")).collect()
+    p = books.BookProcessor(10, 3, 2000, {})
+    p.init(store)
+    store.calls = 0
+    out = [tuple(r) for some in p.handleInputRows(("v", "A"), iter(rows), None) for r in some["rows"]]
+    return out, store.calls
+
+
+def test_a_key_asks_its_state_a_few_times_a_batch_however_many_levels_changed(spark):
+    levels = lambda base: [(Decimal(base + i), Decimal(1 + i)) for i in range(10)]
+    events = [("v", "A", (5 + i) * S, i == 0, levels(100 - i), levels(120 + i), None, None) for i in range(4)]
+    store = Store()
+    first, calls = fed(spark, store, events[:2])
+    assert calls <= 5
+    more, calls = fed(spark, store, events[2:])
+    assert calls <= 5 and len(store.timers) == 1
+    whole = book_fold.fold(spark.createDataFrame(events, BOOK_EVENTS), depth=10, out_depth=3, interval_ms=2000).collect()
+    assert sorted(map(str, first + more)) == sorted(str(tuple(r)) for r in whole)
+
+
+def test_books_of_old_checkpoints_are_carried_over(spark):
+    store = Store()
+    store.maps = {"bids": {("1.5",): ("2",)}, "asks": {("3",): ("4",)}}
+    store.values = {"head": (True, 7, 8 * S, 6 * S, 8000)}
+    store.timers = {8000}
+    event = ("v", "A", 7 * S, False, [(Decimal(1), Decimal(5))], None, 8, None)
+    (row,), _ = fed(spark, store, [event])
+    assert row[books.OUT.split(", ").index("bid_prices ARRAY<DOUBLE>")] == [1.5, 1.0] and row[-3] == "applied"
+    assert not any(store.maps.values()) and list(store.values) == ["book"] and store.timers == {8000}
+    assert fed(spark, store, [("v", "A", 7 * S - 1, False, [], [], 9, None)])[0][0][-3] == "late"
+
+
+def test_levels_and_fields_that_are_null_pass_as_text(spark):
+    side = [(Decimal("0.000000000000000001"), Decimal(0)), (None, Decimal(1)), (Decimal(-3), Decimal("1e19"))]
+    row = spark.createDataFrame([("v", "A", 5, None, side, None, None, 4), ("v", "A", 6, True, [], [], 2, None)], BOOK_EVENTS).select(books._text(F.lit(None).cast("long")).alias("e")).collect()
+    kept = [{"price": p, "qty": q} for p, q in side if p is not None]
+    assert [books._event(r["e"]) for r in row] == [(5, 0, (5, False, kept, [], None, 4, False)), (6, 0, (6, True, [], [], 2, None, False))]
+
+
+def test_messages_of_a_stream_are_made_and_parsed_after_it_is_spread(spark, capsys):
+    parsers.kraken_books(messages_of(event_stream(spark, "/root/testdata/sf0.001"))).explain()
+    plan = capsys.readouterr().out.split("\n")
+    spread = [i for i, line in enumerate(plan) if "Exchange" in line]
+    assert len(spread) == 1 and not any("format_string" in line or "from_json" in line for line in plan[spread[0] :])
+    assert sum("format_string" in line for line in plan) == 1
+
+
 MIDS, SAMPLES = "s STRING, ts_ns LONG, seq LONG, mid DOUBLE", "s STRING, t LONG, id LONG"
 HORIZONS = {"x1": S, "x5": 5 * S}
 

@@ -8,7 +8,7 @@ as rows, so a day starts from the end of the day before (warm start).
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
@@ -32,36 +32,42 @@ class Book:
 
     def __init__(self, depth: int, precision: tuple[int, int] | None = None):
         self.depth, self.precision = depth, precision
-        # Each side's quantities by price, and its prices from low to high.
+        # Each side's quantities by price, its prices from low to high, and both as floats in that order.
         self.sides: tuple[dict[Decimal, Decimal], dict[Decimal, Decimal]] = ({}, {})
         self.prices: tuple[list[Decimal], list[Decimal]] = ([], [])
+        self.floats: tuple[list[tuple[float, float]], list[tuple[float, float]]] = ([], [])
         self.valid, self.last_seq, self.next_tick = False, None, None
 
     def hold(self, bids: dict, asks: dict) -> None:
         self.sides = (bids, asks)
         self.prices = (sorted(bids), sorted(asks))
+        self.floats = tuple([(float(p), float(s[p])) for p in order] for s, order in zip(self.sides, self.prices, strict=True))
 
     def _set(self, side: int, price: Decimal, qty: Decimal) -> None:
-        s, order = self.sides[side], self.prices[side]
+        s, order, floats = self.sides[side], self.prices[side], self.floats[side]
+        at = bisect_left(order, price)
         if qty > 0:
-            if price not in s:
-                insort(order, price)
+            if price in s:
+                floats[at] = (floats[at][0], float(qty))
+            else:
+                order.insert(at, price)
+                floats.insert(at, (float(price), float(qty)))
             s[price] = qty
         elif s.pop(price, None) is not None:
-            del order[bisect_left(order, price)]
+            del order[at], floats[at]
 
     def best(self, side: int, n: int) -> list[tuple[Decimal, Decimal]]:
         s, order = self.sides[side], self.prices[side]
         return [(p, s[p]) for p in (order[: -n - 1 : -1] if side == 0 else order[:n])]
 
     def _cut(self) -> None:
-        for side, (s, order) in enumerate(zip(self.sides, self.prices, strict=True)):
+        for side, (s, order, floats) in enumerate(zip(self.sides, self.prices, self.floats, strict=True)):
             extra = len(order) - self.depth
             if extra > 0:
                 gone = slice(0, extra) if side == 0 else slice(self.depth, None)
                 for p in order[gone]:
                     del s[p]
-                del order[gone]
+                del order[gone], floats[gone]
 
     def checksum(self) -> int:
         places = self.precision or (0, 0)
@@ -101,12 +107,12 @@ class Book:
 
     def row(self, venue: str, symbol: str, ts: int, kind: str, seq: int | None, depth: int) -> tuple:
         """The book as a stored row, in the order of schemas.BOOK."""
-        bids, asks = self.best(0, depth), self.best(1, depth)
-        prices, sizes = [[float(p) for p, _ in side] for side in (bids, asks)], [[float(q) for _, q in side] for side in (bids, asks)]
+        bids, asks = self.floats[0][: -depth - 1 : -1], self.floats[1][:depth]
+        prices, sizes = [[p for p, _ in side] for side in (bids, asks)], [[q for _, q in side] for side in (bids, asks)]
         crossed = locked = False
         mid = micro = None
         if bids and asks:
-            (b, bq), (a, aq) = bids[0], asks[0]
+            (b, bq), (a, aq) = (self.prices[0][-1], self.sides[0][self.prices[0][-1]]), (self.prices[1][0], self.sides[1][self.prices[1][0]])
             crossed, locked, mid = b > a, b == a, float((b + a) / 2)
             micro = float((bq * a + aq * b) / (bq + aq)) if bq + aq else None
         touch = (prices[0][0], sizes[0][0]) if bids else (None, None)

@@ -117,9 +117,12 @@ def _(spark, d):
 
 
 def event_stream(spark, d):
-    """The events table as a stream, a file a batch. The path is a pattern, as a stream takes a lone file by no other."""
+    """The events table as a stream, a file a batch. The path is a pattern, as a stream takes a lone file by no other.
+
+    A file is read by few tasks, by one if it is a single group of rows; what is made of its rows is spread over all.
+    """
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return with_times(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/[e]vents.parquet"))
+    return with_times(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/[e]vents.parquet").repartition("event_id"))
 
 
 def drained(stream, name):
@@ -133,7 +136,7 @@ def drained(stream, name):
 @query("j1_stream_books")
 def _(spark, d):
     b = stream_books(parsers.kraken_books(messages_of(event_stream(spark, d))), depth=10, out_depth=5, interval_ms=86_400_000)
-    return drained(b, "stream-books").select("symbol", "ts_ns", "kind", "result", "valid", "crossed", "best_bid", "best_ask", F.size("bid_prices").alias("bids"))
+    return drained(b.select("symbol", "ts_ns", "kind", "result", "valid", "crossed", "best_bid", "best_ask", F.size("bid_prices").alias("bids")), "stream-books")
 
 
 @query("j9_stream_labels", f"""WITH {E}, w AS (SELECT (max(t) // 1000 - 10000) * 1000 AS until FROM e WHERE event_type IN ('view', 'purchase')),
