@@ -56,6 +56,25 @@ def test_values_of_zero_equal_the_sql(spark, tmp_path, name):
     assert got == want and len(got) >= 4
 
 
+def test_volatility_with_missing_and_equal_times_and_minus_zero_equals_the_sql(spark, tmp_path):
+    """A row without a time comes last, minus zero is a price with a sign; equal times, which the SQL leaves open, go by event_id."""
+    users = {1: [(None, 8.0), (0, 5.0), (1, 6.0), (2, 3.0)], 2: [(0, 2.0), (1, -0.0), (2, 4.0), (3, 7.0)], 3: [(0, 4.0), (1, 0.0), (2, 4.0), (3, 7.0)]}
+    users |= {u: [(i // 3, float(1 + (i * 7 + u) % 11)) for i in range(12)] for u in range(4, 10)}
+    rows = [(100 * u + n, u, m, v) for u, vs in users.items() for n, (m, v) in enumerate(vs)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE r (event_id BIGINT, user_id BIGINT, m INT, value DOUBLE)")
+    con.executemany("INSERT INTO r VALUES (?, ?, ?, ?)", rows)
+    con.execute(f"COPY (SELECT event_id, TIMESTAMP '2024-01-01' + to_minutes(m) AS ts, user_id, 'click' AS event_type, value, '{{\"k\": 1}}' AS props FROM r ORDER BY event_id DESC) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    sql, lag = plans.ORACLES["f4_realised_volatility"], "PARTITION BY user_id ORDER BY t)) AS g"
+    assert sql.count(lag) == 1
+    got = {r["event_id"]: str(plain(r["rvol"])) for r in plans.QUERIES["f4_realised_volatility"](spark, str(tmp_path)).collect()}
+    for q, known in ((sql, "event_id < 400"), (sql.replace(lag, "PARTITION BY user_id ORDER BY t, event_id)) AS g"), "true")):
+        want = {i: str(plain(v)) for i, v in con.execute(f"SELECT event_id, rvol FROM ({q}) WHERE {known}").fetchall()}
+        assert {i: got[i] for i in want} == want and len(want) >= 12
+    assert len(got) == len(rows)
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns == ["event_id", "user_id", "sum_1h", "count_1h", "entry_mid", "ret_6h_bps", "gap_touched"]
