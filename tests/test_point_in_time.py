@@ -1,5 +1,6 @@
 """As-of joins, windows, labels and samples: brute force, prefix invariance, and a planted future that must show."""
 
+import math
 import random
 
 import numpy as np
@@ -130,6 +131,16 @@ def test_features_by_hand(extracted):
     assert rows[-1]["ret_500ms"] is None  # the stream ends before it resolves
 
 
+def test_the_last_return_is_that_of_the_last_move(extracted):
+    out, book, _ = extracted
+    rows = out.collect()
+    for r in rows:
+        mids = [b[13] for b in book if b[2] < r["ts_ns"] and b[13] > 0]
+        moves = [math.log(b / a) for a, b in zip(mids, mids[1:], strict=False) if a != b]
+        assert abs(r["last_ret"] - moves[-1]) < 1e-12
+    assert any(r["last_ret"] > 0 for r in rows) and any(r["last_ret"] < 0 for r in rows)
+
+
 def test_features_do_not_see_the_future(spark, extracted):
     out, _, _ = extracted
     cut = out.orderBy("ts_ns").collect()[8]["ts_ns"]

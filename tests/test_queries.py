@@ -75,6 +75,21 @@ def test_volatility_with_missing_and_equal_times_and_minus_zero_equals_the_sql(s
     assert len(got) == len(rows)
 
 
+def test_the_last_sign_is_that_of_the_last_move(spark, data, duck):
+    """Baselines of k14_evaluation by SQL: of samples with both mids, in the direction of the last return that is not zero, between usable mids strictly before."""
+    cur = duck.execute(f"""WITH {plans.E}, b AS (SELECT user_id % 3 AS s, t, event_id, k, value + 0.25 AS mid, row_number() OVER (PARTITION BY user_id % 3 ORDER BY t, event_id) AS n FROM e WHERE event_type IN ('click', 'view')),
+    m AS (SELECT *, ln(mid / lag(mid) OVER (PARTITION BY s ORDER BY t, event_id)) AS g FROM b WHERE k > 5), x AS (SELECT s, t FROM b WHERE n % 10 = 0),
+    y AS (SELECT (SELECT arg_max(m.mid, (m.t, m.event_id)) FROM m WHERE m.s = x.s AND m.t < x.t) AS entry, (SELECT sign(arg_max(m.g, (m.t, m.event_id))) FROM m WHERE m.s = x.s AND m.t < x.t AND m.g <> 0) AS sign,
+      (SELECT arg_max(m.mid, (m.t, m.event_id)) FROM m WHERE m.s = x.s AND m.t <= x.t + {plans.HOUR}) AS ex, (SELECT max(m.t) FROM m WHERE m.s = x.s) >= x.t + {plans.HOUR} AS known FROM x),
+    r AS (SELECT coalesce(sign, 0) AS sign, 1e4 * (ex - entry) / entry AS r FROM y WHERE known AND entry IS NOT NULL)
+    SELECT count(*) FILTER (WHERE sign <> 0), avg(CAST(sign * r > 0 AS INT)) FILTER (WHERE sign <> 0), avg(CASE WHEN sign <> 0 THEN sign * r - 5.0 ELSE 0 END) FROM r""")
+    trades, hits, net = cur.fetchone()
+    got = {r["model"]: r for r in plans.QUERIES["k14_evaluation"](spark, data).collect()}
+    assert (got["zero"]["trades"], got["zero"]["net_bps"]) == (0, 0.0)
+    last = got["last_sign"]
+    assert last["trades"] == trades > 20 and abs(last["hit_rate"] - hits) < 1e-5 and abs(last["net_bps"] - net) < 1e-4
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns == ["event_id", "user_id", "sum_1h", "count_1h", "entry_mid", "ret_6h_bps", "gap_touched"]
